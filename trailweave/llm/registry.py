@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .audio import op7_telephony
 from .packing import op6_packing
 from .pieces import op8_pieces
+from .suffixes import op10_suffixes
 from .topk import OP9_SQL, op9_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_telephony": op7_telephony,
     "op8_pieces": op8_pieces,
     "op9_topk": op9_topk,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLES: dict[str, str] = {"op9_topk": OP9_SQL}
