@@ -10,11 +10,13 @@ from .audio import op7_telephony
 from .minhash import op3_minhash
 from .packing import op6_packing
 from .pieces import op8_pieces
+from .quality import op5_quality
 from .suffixes import op10_suffixes
 from .topk import OP9_SQL, op9_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_telephony": op7_telephony,
     "op8_pieces": op8_pieces,
