@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, table, width
-from .tokenize import WordTokenizer, default_path
+from .tokenize import default_path, tokenizer_at
 
 END = np.array([1], "<u4").tobytes()
 
@@ -89,7 +89,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """Pieces of the token ids of every text, each text ended by id 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_at(path)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -69,3 +70,9 @@ class WordTokenizer:
                 self.ids.clear()
             self._learn([w for w in dict.fromkeys(chunks) if w not in self.ids])
         return b"".join(map(self.ids.__getitem__, chunks))
+
+
+@lru_cache(maxsize=1)
+def tokenizer_at(path: str) -> WordTokenizer:
+    """The tokenizer of this worker; the words it has met stay for the next task."""
+    return WordTokenizer(path)
