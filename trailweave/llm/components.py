@@ -31,5 +31,5 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(pairs, least, large, low)
         pairs = after
         if state == before:
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())
         before = state

@@ -13,9 +13,11 @@ from .pieces import op8_pieces
 from .quality import op5_quality
 from .suffixes import op10_suffixes
 from .topk import OP9_SQL, op9_topk
+from .urls import OP4_SQL, op4_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
+    "op4_urls": op4_urls,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_telephony": op7_telephony,
@@ -24,4 +26,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffixes": op10_suffixes,
 }
 
-ORACLES: dict[str, str] = {"op9_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_urls": OP4_SQL, "op9_topk": OP9_SQL}
