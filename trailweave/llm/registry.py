@@ -11,11 +11,13 @@ from .minhash import op3_minhash
 from .packing import op6_packing
 from .pieces import op8_pieces
 from .quality import op5_quality
+from .sentences import op2_sentences
 from .suffixes import op10_suffixes
 from .topk import OP9_SQL, op9_topk
 from .urls import OP4_SQL, op4_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentences": op2_sentences,
     "op3_minhash": op3_minhash,
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,

@@ -18,7 +18,6 @@ within an anchor's group by 64 bits more, and windows by 128 bits.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .hashing import Rolling, sliding_min
 from .scratch import Scratch, table
+from .spans import cut_out, keyed, others
 
 #: Bytes of an anchor's string, windows of one third digit, and starts handled at once.
 GRAM, STRIDE, CHUNK = 64, 16, 1 << 19
@@ -143,14 +143,6 @@ def _windows(width: int):
     return run
 
 
-def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of half-open intervals as maximal ones."""
-    by = np.argsort(starts, kind="stable")
-    starts, reach = starts[by], np.maximum.accumulate(ends[by])
-    new = np.concatenate([[True], starts[1:] > reach[:-1]])
-    return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
-
-
 def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
     """For each document (k1, k2) with repeated windows the arrays of their half-open byte spans: from, till.
 
@@ -192,31 +184,9 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_out: bool = False) ->
     less the bytes of characters that were cut in two (columns named like a
     result are replaced).
     """
-    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", *made)] if text_out else []
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.hash("text").alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
-    spans = repeated_spans(keyed.select("k1", "k2", "text"), width)
-    joined = keyed.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text, starts, ends in zip(pdf["text"], pdf["from"], pdf["till"], strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                a, b = merge(np.asarray(starts), np.asarray(ends)) if starts is not None else ([], [])
-                kept = b"".join(raw[i:j] for i, j in zip([0, *b], [*a, len(raw)], strict=True))
-                rows.append((len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), text if not len(a) else kept.decode("utf-8", "ignore")))
-            out = pd.DataFrame(rows, columns=[*made, "text"])
-            out["doc_id"] = pdf["doc_id"].astype("Int64").to_numpy(dtype=object)
-            for i in range(len(rest)):
-                out[f"c{i}"] = pdf[f"c{i}"].to_numpy(dtype=object)
-            yield out[names]
-
-    kinds = dict(joined.dtypes)
-    schema = ["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + (["text string"] + [f"c{i} {kinds[f'c{i}']}" for i in range(len(rest))] if text_out else [])
-    names = [s.split(" ", 1)[0] for s in schema]
-    out = joined.mapInPandas(run, ", ".join(schema))
-    return out.select(*[F.col(n) for n in names if n[0] != "c" or n not in {f"c{i}" for i in range(len(rest))}], *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)])
+    rest = others(docs, text_out)
+    frame = keyed(docs, rest)
+    return cut_out(frame, repeated_spans(frame.select("k1", "k2", "text"), width), rest, text_out)
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
