@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op7_telephony
+from .chat import op1_chat
 from .minhash import op3_minhash
 from .packing import op6_packing
 from .pieces import op8_pieces
@@ -17,6 +18,7 @@ from .topk import OP9_SQL, op9_topk
 from .urls import OP4_SQL, op4_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_sentences": op2_sentences,
     "op3_minhash": op3_minhash,
     "op4_urls": op4_urls,
