@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -113,14 +113,16 @@ def cell_weights(docs: DataFrame, n: int, floor: float, spread: float) -> np.nda
     return (1 + spread * np.log(share) / np.log(floor)).astype(np.float32)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3, floor: float = 0.004, spread: float = 0.5) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3, floor: float = 0.004, spread: float = 0.5, keep_first: bool = False) -> DataFrame:
     """Class of near-duplicates of each row: doc_id, class_id (smallest doc_id of the class), class_links (verified links of the row's text).
 
     Null and empty texts, and others without a word, are classes of equal texts.
     Texts under five words are one shingle each. Rows that repeat a doc_id are
     told apart by their texts; rows equal in both, too, each get a row. A null
     doc_id stays null in doc_id and counts as the smallest number. An empty
-    table gives an empty result. Other columns are ignored.
+    table gives an empty result. Other columns are ignored. With ``keep_first``
+    the result is instead the rows of ``docs``, with all columns, that stand for
+    their classes: one each, with the smallest doc_id, then the smallest digest.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -188,7 +190,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, ro
     ids = texts.select("digest", "id")
     named = links.join(ids.withColumnsRenamed({"digest": "da", "id": "ia"}), "da").join(ids.withColumnsRenamed({"digest": "db", "id": "ib"}), "db")
     named = scratch.keep(named.select(F.struct(F.col("ia").alias("id"), F.col("da").alias("digest")).alias("a"), F.struct(F.col("ib").alias("id"), F.col("db").alias("digest")).alias("b")))
-    classes = connected_components(named, scratch).select(F.col("node.digest").alias("digest"), F.col("component.id").alias("class"))
+    classes = connected_components(named, scratch).select(F.col("node.digest").alias("digest"), F.col("component.id").alias("class"), F.col("component.digest").alias("root"))
+    if keep_first:
+        roots = scratch.keep(ids.join(classes.where("root <> digest"), "digest", "left_anti").select(F.col("digest").alias("__digest"), F.col("id").alias("__id")))
+        marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), smallest), "__digest": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
+        same = Window.partitionBy("__id", "__digest").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        return marked.join(roots, ["__id", "__digest"]).withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    classes = classes.drop("root")
     degree = named.select(F.explode(F.array("a.digest", "b.digest")).alias("digest")).groupBy("digest").agg(F.count("*").alias("class_links"))
     of_text = scratch.keep(ids.join(classes, "digest", "left").join(degree, "digest", "left").select("digest", F.coalesce("class", "id").alias("class"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links")))
     return signed.select("doc_id", "digest").join(of_text, "digest").select("doc_id", F.when(F.col("class") != smallest, F.col("class")).alias("class_id"), "class_links", F.hex("digest").alias("text_md5"))

@@ -174,8 +174,8 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_labels: int = 12000) -> DataFrame:
-    """Quality of every document: all columns of ``docs`` but text, then held_out, score and predicted.
+def score_quality(docs: DataFrame, labels: DataFrame, max_labels: int = 12000, keep_text: bool = False) -> DataFrame:
+    """Quality of every document: all columns of ``docs`` (text only with ``keep_text``), then held_out, score and predicted.
 
     Labels come from rows of ``labels`` with a doc_id and a quality of 0 or 1
     that are not held out; of more than ``max_labels`` those with the smallest
@@ -187,7 +187,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labels: int = 12000) -
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     made = ("held_out", "score", "predicted")
-    keep = [c for c in docs.columns if c not in ("text", *made)]
+    keep = [c for c in docs.columns if c not in made and (keep_text or c != "text")]
 
     @F.pandas_udf("array<float>")
     def stats(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
