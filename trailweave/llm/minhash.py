@@ -5,11 +5,14 @@ from a count sketch of fixed size over all documents: the share of documents in
 a shingle's cell, floored at ``floor``, sets its weight, so the sketch resolves
 the same shares at any number of documents and its broadcast has a fixed size.
 Each signature component is one consistent weighted sample; ``rows`` of them
-make a band. Within a bucket of equal bands texts are compared with the smallest
-document; those that differ from it go on to another round among themselves
-until no bucket has two of them, so no cap is needed and work follows the size
-of a bucket. Links are verified by the weighted Jaccard similarity of the whole
-texts. Equal texts share a class before any of this.
+make a band. Within a bucket of equal bands every text is compared with the
+smallest document and with its neighbour in the order of the components that
+follow, which puts similar texts side by side in a different order for each
+band. Then one text of each class so far stands for it in the bucket, and the
+classes are compared in the same way, until a round links nothing more. So work
+follows the number of rows in buckets, and no bucket is capped. Links are
+verified by the weighted Jaccard similarity of the whole texts. Equal texts
+share a class before any of this.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import mix, shingles, splitmix
-from .scratch import Scratch, table
+from .scratch import Scratch, table, width
 
 #: Cells of the sketch of document frequencies, in slices that are shuffled on their own.
 CELLS, SLICES = 1 << 20, 64
@@ -113,7 +116,7 @@ def cell_weights(docs: DataFrame, n: int, floor: float, spread: float) -> np.nda
     return (1 + spread * np.log(share) / np.log(floor)).astype(np.float32)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3, floor: float = 0.004, spread: float = 0.5, keep_first: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3, floor: float = 0.004, spread: float = 0.2, keep_first: bool = False) -> DataFrame:
     """Class of near-duplicates of each row: doc_id, class_id (smallest doc_id of the class), class_links (verified links of the row's text).
 
     Null and empty texts, and others without a word, are classes of equal texts.
@@ -149,15 +152,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, ro
     signed = scratch.keep(base.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text").mapInPandas(sign, "doc_id long, digest binary, keys array<long>"))
     smallest = F.lit(-(1 << 63))
     texts = scratch.keep(signed.groupBy("digest").agg(F.min(F.coalesce("doc_id", smallest)).alias("id"), F.first("keys").alias("keys")))
-    buckets = texts.where("keys is not null").select("id", "digest", F.posexplode("keys").alias("band", "key")).select(F.struct("id", "digest").alias("text_key"), F.xxhash64("band", "key").alias("key"))
-    buckets = scratch.keep(buckets)
-    firsts = scratch.keep(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("text_key").alias("first")).where("n > 1").select("key", "first"))
-    open_ = scratch.keep(buckets.join(firsts, "key").select("key", "text_key", "first"))
-    wanted = scratch.keep(open_.select("text_key.id", "text_key.digest").distinct())
+    buckets = texts.where("keys is not null").select("id", "digest", "keys", F.posexplode("keys").alias("band", "key"))
+    turned = [F.element_at("keys", (F.col("band") + i) % bands + 1) for i in (1, 2, 3)]
+    buckets = scratch.keep(buckets.select(F.xxhash64("band", "key").alias("key"), *[t.alias(f"s{i}") for i, t in enumerate(turned)], "id", "digest"))
+    firsts = scratch.keep(buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest")).alias("first")).where("n > 1").select("key", F.col("first.digest").alias("first")))
+    shared = scratch.keep(buckets.join(firsts, "key"))
+    wanted = scratch.keep(shared.select("id", "digest").distinct())
     chosen = base.select(F.coalesce("doc_id", smallest).alias("id"), F.unhex(F.md5("text")).alias("digest"), "text")
     held = scratch.keep(chosen.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("digest", "text"))
     scratch.drop(buckets, firsts, wanted)
-    links = None
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, known = None, None
@@ -169,37 +172,58 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, ro
                 good.append(weighted_jaccard(known, weigh(b, weights.value)) >= threshold)
             yield pdf[["da", "db"]].assign(good=good)
 
-    while not open_.isEmpty():
-        pairs = open_.select(F.col("first.digest").alias("da"), F.col("text_key.digest").alias("db")).where("da <> db").distinct()
-        if links is not None:  # what is linked already needs no second look
-            pairs = pairs.join(links.select("da", "db"), ["da", "db"], "left_anti")
-        left = held.withColumnsRenamed({"digest": "da", "text": "ta"})
-        right = held.withColumnsRenamed({"digest": "db", "text": "tb"})
-        pairs = scratch.keep(pairs)
-        told = scratch.keep(scratch.keep(pairs.join(right, "db")).join(left, "da").mapInPandas(verify, "da binary, db binary, good boolean"))
-        found = told.where("good").select("da", "db")
-        links = scratch.keep(found if links is None else links.union(found))
-        settled = links.select(F.col("da").alias("fd"), F.col("db").alias("td"))
-        rest = open_.where("first.digest <> text_key.digest").select("key", "text_key", F.col("first.digest").alias("fd"), F.col("text_key.digest").alias("td")).join(settled, ["fd", "td"], "left_anti").select("key", "text_key")
-        rest = scratch.keep(rest)
-        again = scratch.keep(rest.groupBy("key").agg(F.count("*").alias("n"), F.min("text_key").alias("first")).where("n > 1").select("key", "first"))
-        open_ = scratch.keep(rest.join(again, "key").select("key", "text_key", "first"))
-    if links is None:
-        links = scratch.keep(open_.select(F.col("first.digest").alias("da"), F.col("text_key.digest").alias("db")))
-    links = links.distinct()
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, own, before = None, None, None
+        for pdf in batches:
+            da, db = [], []
+            for k, c, d in zip(pdf["key"].tolist(), pdf["class"], pdf["digest"], strict=True):
+                if k == key and c != own:
+                    da.append(min(d, before))
+                    db.append(max(d, before))
+                key, own, before = k, c, d
+            yield pd.DataFrame({"da": da, "db": db})
+
+    def told(pairs: DataFrame) -> DataFrame:
+        """Verdicts (da, db, good) on pairs of texts; the hot side of a pair is read in order, so its shingles are made once."""
+        left, right = held.withColumnsRenamed({"digest": "da", "text": "ta"}), held.withColumnsRenamed({"digest": "db", "text": "tb"})
+        half = scratch.keep(pairs.join(right, "db"))
+        out = scratch.keep(half.join(left, "da").mapInPandas(verify, "da binary, db binary, good boolean"))
+        scratch.drop(half)
+        return out
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        """Pairs of neighbours of different classes in each bucket, sorted by the components that follow the bucket's own."""
+        order = ["key", "s0", "s1", "s2", "digest"]
+        return rows.repartitionByRange(width(spark), *order).sortWithinPartitions(*order).select("key", "class", "digest").mapInPandas(neighbours, "da binary, db binary")
+
+    star = shared.where("first <> digest").select(F.least("first", "digest").alias("da"), F.greatest("first", "digest").alias("db"))
+    seen = told(scratch.keep(star.union(in_order(shared.withColumn("class", F.col("digest")))).distinct()))
+    while True:
+        links = seen.where("good").select("da", "db")
+        classes = connected_components(links.toDF("a", "b"), scratch).toDF("digest", "class")
+        # One text of each class stands for it in a bucket; buckets of several classes are gone through again.
+        named = shared.join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
+        one = named.groupBy("key", "class").agg(F.min(F.struct("s0", "s1", "s2", "digest")).alias("one")).select("key", "class", "one.*")
+        fresh = scratch.keep(in_order(one).distinct().join(seen.select("da", "db"), ["da", "db"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        more = told(fresh)
+        if more.where("good").isEmpty():
+            break
+        seen = scratch.keep(seen.union(more))
     ids = texts.select("digest", "id")
-    named = links.join(ids.withColumnsRenamed({"digest": "da", "id": "ia"}), "da").join(ids.withColumnsRenamed({"digest": "db", "id": "ib"}), "db")
-    named = scratch.keep(named.select(F.struct(F.col("ia").alias("id"), F.col("da").alias("digest")).alias("a"), F.struct(F.col("ib").alias("id"), F.col("db").alias("digest")).alias("b")))
-    classes = connected_components(named, scratch).select(F.col("node.digest").alias("digest"), F.col("component.id").alias("class"), F.col("component.digest").alias("root"))
+    roots = classes.join(ids, "digest").groupBy("class").agg(F.min(F.struct("id", "digest")).alias("root"))
+    roots = scratch.keep(roots.select("class", F.col("root.id").alias("class_id"), F.col("root.digest").alias("root")))
+    classes = scratch.keep(classes.join(roots, "class").drop("class"))
     if keep_first:
-        roots = scratch.keep(ids.join(classes.where("root <> digest"), "digest", "left_anti").select(F.col("digest").alias("__digest"), F.col("id").alias("__id")))
+        stand = scratch.keep(ids.join(classes.where("root <> digest"), "digest", "left_anti").select(F.col("digest").alias("__digest"), F.col("id").alias("__id")))
         marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), smallest), "__digest": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
         same = Window.partitionBy("__id", "__digest").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-        return marked.join(roots, ["__id", "__digest"]).withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    classes = classes.drop("root")
-    degree = named.select(F.explode(F.array("a.digest", "b.digest")).alias("digest")).groupBy("digest").agg(F.count("*").alias("class_links"))
-    of_text = scratch.keep(ids.join(classes, "digest", "left").join(degree, "digest", "left").select("digest", F.coalesce("class", "id").alias("class"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links")))
-    return signed.select("doc_id", "digest").join(of_text, "digest").select("doc_id", F.when(F.col("class") != smallest, F.col("class")).alias("class_id"), "class_links", F.hex("digest").alias("text_md5"))
+        return marked.join(stand, ["__id", "__digest"]).withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    degree = seen.where("good").select(F.explode(F.array("da", "db")).alias("digest")).groupBy("digest").agg(F.count("*").alias("class_links"))
+    of_text = ids.join(classes.select("digest", "class_id"), "digest", "left").join(degree, "digest", "left")
+    of_text = scratch.keep(of_text.select("digest", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links")))
+    return signed.select("doc_id", "digest").join(of_text, "digest").select("doc_id", F.when(F.col("class_id") != smallest, F.col("class_id")).alias("class_id"), "class_links", F.hex("digest").alias("text_md5"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
