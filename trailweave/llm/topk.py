@@ -37,8 +37,8 @@ def search(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray, ids: n
     """For each query its k best of this block: (query id, ids, scores), the query's own id left out."""
     if not len(ids):
         return
-    if max(np.abs(queries).max(initial=0), 1) * float(max(np.abs(exact).max(), 1)) * max(1, exact.shape[1]) >= 2**50:
-        bounds = None  # beyond exact double arithmetic: every vector is read
+    if not exact.shape[1] or max(np.abs(queries).max(), 1) * float(max(np.abs(exact).max(), 1)) * exact.shape[1] >= 2**50:
+        bounds = None  # no components, or beyond exact double arithmetic: every vector is read
     else:
         cell, low, step = cells(exact, bits)
         lower = (low + cell.astype(np.int64) * step).astype(np.float64)
