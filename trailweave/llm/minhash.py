@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, ro
     shared = scratch.keep(buckets.join(firsts, "key"))
     wanted = scratch.keep(shared.select("id", "digest").distinct())
     chosen = base.select(F.coalesce("doc_id", smallest).alias("id"), F.unhex(F.md5("text")).alias("digest"), "text")
-    held = scratch.keep(chosen.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("digest", "text"))
+    # Merged at every size: texts move once, also where the wanted list would fit into a broadcast.
+    held = scratch.keep(chosen.join(wanted.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("digest", "text"))
     scratch.drop(buckets, firsts, wanted)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +220,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, ro
         stand = scratch.keep(ids.join(classes.where("root <> digest"), "digest", "left_anti").select(F.col("digest").alias("__digest"), F.col("id").alias("__id")))
         marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), smallest), "__digest": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
         same = Window.partitionBy("__id", "__digest").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-        return marked.join(stand, ["__id", "__digest"]).withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+        return marked.join(stand.hint("merge"), ["__id", "__digest"]).withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
     degree = seen.where("good").select(F.explode(F.array("da", "db")).alias("digest")).groupBy("digest").agg(F.count("*").alias("class_links"))
     of_text = ids.join(classes.select("digest", "class_id"), "digest", "left").join(degree, "digest", "left")
     of_text = scratch.keep(of_text.select("digest", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links")))
