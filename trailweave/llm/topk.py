@@ -118,7 +118,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     candidates = candidates.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
     queries = scratch.keep(base.where(F.pmod("id", F.lit(every)) == 0).mapInPandas(pack(QUERIES), schema))
     visits = queries.withColumnsRenamed({"ids": "qids", "mat": "qmat"}).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    pairs = visits.join(candidates, ["slot", "dim"])
+    # Queries grow with the table: never a broadcast, whatever the size of their files says.
+    pairs = visits.hint("merge").join(candidates, ["slot", "dim"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
