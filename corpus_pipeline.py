@@ -17,9 +17,20 @@ from trailweave.llm.scratch import Scratch, table
 from trailweave.llm.suffixes import remove_repeats
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Documents with all columns but doc_id and text under neutral names, so that none meets a name of an operator's result; and the names to give back."""
+    names = {c: c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (operator 5) gives label 1; the others go."""
-    return score_quality(docs, table(spark, sf_dir, "labels"), keep_text=True).where(F.col("predicted") == 1).select(*docs.columns)
+    plain, names = _aside(docs)
+    return _back(score_quality(plain, table(spark, sf_dir, "labels"), keep_text=True).where(F.col("predicted") == 1), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 200-byte strings (operator 10). Documents left without any text go; n_chars follows the text."""
-    out = remove_repeats(docs, text_out=True)
-    out = out.where((F.col("n_removed") == 0) | (F.length("text") > 0))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    plain, names = _aside(docs)
+    out = remove_repeats(plain, text_out=True)
+    out = _back(out.where((F.col("n_removed") == 0) | (F.length("text") > 0)), names)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
