@@ -6,6 +6,7 @@ back instead of recomputing, and the lineage ends at the files.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,9 +53,12 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that nothing reads any more. Spark deletes the shuffle files of a finished job once the driver has collected its objects, so the driver is asked to."""
         for df in frames:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_scratch_path"])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
