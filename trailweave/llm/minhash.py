@@ -60,19 +60,27 @@ def sample(items: np.ndarray, weight: np.ndarray, seeds: np.ndarray) -> np.ndarr
     """One consistent weighted sample for each seed, as a hash of the chosen item and its level."""
     mask = np.uint64((1 << BITS) - 1)
     log_w = np.log(weight)
-    out, level = np.empty(len(seeds), np.uint64), np.empty(len(seeds), np.uint64)
-    for k, seed in enumerate(seeds):
-        h = (items ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+    m = len(seeds)
+    rows = np.arange(m)
+    best, chosen, level = np.full(m, np.inf, np.float32), np.zeros(m, np.uint64), np.zeros(m, np.int64)
+    step = max(1, 20000 // m)  # items at once: all seeds of a stretch stay in the cache
+    for a in range(0, len(items), step):
+        some = items[a : a + step]
+        h = (some ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        i, j, b = (h >> np.uint64(52)).astype(np.int32), (h >> np.uint64(40) & mask).astype(np.int32), (h >> np.uint64(28) & mask).astype(np.int32)
-        r = _GAMMA[i]
-        beta = _UNIFORM[b]
-        t = np.floor(log_w / r + beta)
-        at = int(np.argmin(_LOG_GAMMA[j] - r * (t - beta + 1)))
-        out[k] = items[at] ^ seed
-        level[k] = int(t[at]) & 0xFFFFFFFF
-    return mix(mix(out) + level)
+        r = _GAMMA[(h >> np.uint64(52)).view(np.int64)]
+        log_c = _LOG_GAMMA[(h >> np.uint64(40) & mask).view(np.int64)]
+        beta = _UNIFORM[(h >> np.uint64(28) & mask).view(np.int64)]
+        t = np.floor(log_w[a : a + step] / r + beta)
+        cost = log_c - r * (t - beta + 1)
+        at = cost.argmin(axis=1)
+        least = cost[rows, at]
+        better = least < best
+        best[better] = least[better]
+        chosen[better] = some[at[better]]
+        level[better] = t[rows, at][better].astype(np.int64)
+    return mix(mix(chosen ^ seeds) + (level.view(np.uint64) & np.uint64(0xFFFFFFFF)))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -116,7 +124,7 @@ def cell_weights(docs: DataFrame, n: int, floor: float, spread: float) -> np.nda
     return (1 + spread * np.log(share) / np.log(floor)).astype(np.float32)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3, floor: float = 0.004, spread: float = 0.2, keep_first: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 3, floor: float = 0.004, spread: float = 0.2, keep_first: bool = False) -> DataFrame:
     """Class of near-duplicates of each row: doc_id, class_id (smallest doc_id of the class), class_links (verified links of the row's text).
 
     Null and empty texts, and others without a word, are classes of equal texts.
