@@ -1,7 +1,8 @@
 """Substring removal by sliding spans of sentences.
 
 From every sentence on, the shortest run of at least two sentences with at least
-20 words is hashed. All runs of all documents meet by hash; of equal runs
+20 words is hashed. A sentence of 20 words or more counts as several: it is cut
+after every tenth word, so that it makes runs of its own parts too. All runs of all documents meet by hash; of equal runs
 the one with the smallest (doc_id, place) is the first, and every sentence under
 another one goes. A hash of 64 bits finds candidates, 128 bits decide.
 """
@@ -27,18 +28,27 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _ONE, _TWO = Rolling(404), Rolling(505)
 
 
-def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, first byte that is no blank, end after the last such byte, words) of each sentence; sentences cover the text and end after their marks."""
+def cut_long(start: np.ndarray, opens: np.ndarray, words: int) -> np.ndarray:
+    """Starts of sentences, with further ones after every words / 2 words of a sentence of at least that many."""
+    of = np.searchsorted(start, opens, side="right") - 1
+    count = np.bincount(of, minlength=len(start))
+    place = np.arange(len(opens)) - (np.cumsum(count) - count)[of]
+    return np.union1d(start, opens[(place > 0) & (place % max(1, words // 2) == 0) & (count[of] >= words)])
+
+
+def sentences(data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, first byte that is no blank, end after the last such byte, words) of each sentence or part of a long one; they cover the text, and sentences end after their marks."""
     end = _END[data]
     start = np.concatenate([[0], np.flatnonzero(end[:-1] & ~end[1:]) + 1])
+    opens = ~_BLANK[data]
+    opens[1:] &= _BLANK[data[:-1]]
+    start = cut_long(start, np.flatnonzero(opens), words)
     solid = np.flatnonzero(~_BLANK[data])
     stop = np.append(start[1:], len(data))
     lo, hi = np.searchsorted(solid, start), np.searchsorted(solid, stop)
     some = lo < hi
     first = np.where(some, solid[np.minimum(lo, max(0, len(solid) - 1))] if len(solid) else start, start)
     last = np.where(some, solid[np.maximum(hi - 1, 0)] + 1 if len(solid) else start, start)
-    opens = ~_BLANK[data]
-    opens[1:] &= _BLANK[data[:-1]]
     total = np.concatenate([[0], np.cumsum(opens)])
     return start, first, np.maximum(first, last), total[stop] - total[start]
 
@@ -48,7 +58,7 @@ def find_spans(data: np.ndarray, least: int, words: int) -> tuple[np.ndarray, np
     none = np.zeros(0, np.uint64)
     if not len(data):
         return none, none, none.astype(np.int64), none.astype(np.int64)
-    start, first, last, n = sentences(data)
+    start, first, last, n = sentences(data, words)
     stop = np.append(start[1:], len(data))
     real = n > 0
     start, first, last, stop, n = (x[real] for x in (start, first, last, stop, n))
@@ -94,7 +104,8 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 20, text_out: b
     """Every document without the sentences under a repeated run that is not the first of its kind.
 
     Sentences end after line feeds and after full stops, exclamation and question
-    marks; blanks around them make no difference. A null text counts as empty; a
+    marks, and a long one is cut after every ``words`` / 2 words; blanks around
+    them make no difference. A null text counts as empty; a
     null doc_id sorts before all others. Rows equal in doc_id and text cannot be
     told apart and are treated alike: as one document. Texts with too few
     sentences or words and empty tables pass unchanged. Returns doc_id, n_bytes,
