@@ -11,8 +11,8 @@ neighbouring windows with the same anchor form a run. Equal windows have equal
 anchors, so a run whose anchor's string is found once is done. Digit 2 is the
 whole string under a run: equal runs are repeated in full. What is left, and one
 of each group of equal runs with the same anchor, goes on with its bytes.
-Digit 3 is the 185 bytes that 16 neighbouring windows share, digit 4 the window
-itself. Hashes of 64 bits only ever keep a candidate; whole runs are compared
+Digit 3 is the 185 bytes that 16 neighbouring windows share, with the whole
+string under all 16 settled first in the same way; digit 4 is the window itself. Hashes of 64 bits only ever keep a candidate; whole runs are compared
 within an anchor's group by 64 bits more, and windows by 128 bits.
 """
 
@@ -99,21 +99,24 @@ def _fetch(width: int):
 
 
 def _cores(width: int):
-    """Third digit: for each stretch of STRIDE offsets from the anchor, the hash of what its windows share."""
+    """Third digit: for each stretch of STRIDE offsets from the anchor, the hash of what its windows share, and of all bytes under them where the run holds the whole stretch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            core, key, digit = [], [], []
+            core, full, key, digit = [], [], [], []
             for tkey, place, raw in zip(pdf["tkey"].tolist(), pdf["place"].tolist(), pdf["bytes"], strict=True):
                 n, back = (place >> 10 & 1023) + 1, place & 1023
                 js = np.arange((back - n + 1) // STRIDE, back // STRIDE + 1)
                 low, high = back - STRIDE * js, back - STRIDE * js - (STRIDE - 1) + width
                 data = np.frombuffer(raw, np.uint8)
                 core.append(_FIRST.span(_FIRST.prefix(data), low, high) ^ js.astype(np.uint64))
+                inside = (STRIDE * js >= back - n + 1) & (STRIDE * js + STRIDE - 1 <= back)
+                ends = _SECOND.prefix(data)
+                full.append(np.where(inside, _SECOND.span(ends, np.maximum(low - STRIDE + 1, 0), np.minimum(low + width, len(data))) | np.uint64(1), np.uint64(0)))
                 key.append(np.full(len(js), tkey))
                 digit.append(js)
             if core:
-                yield pd.DataFrame({"core": np.concatenate(core).view(np.int64), "tkey": np.concatenate(key), "digit": np.concatenate(digit).astype(np.int32)})
+                yield pd.DataFrame({"core": np.concatenate(core).view(np.int64), "full": np.concatenate(full).view(np.int64), "tkey": np.concatenate(key), "digit": np.concatenate(digit).astype(np.int32)})
 
     return run
 
@@ -160,15 +163,24 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
     test = groups.where("n = 1").union(groups.where("n > 1").join(lone, "anchor", "left_semi").select(*groups.columns)).select("one.*")
     lists = test.groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     held = scratch.keep(docs.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInPandas(_fetch(width), "k1 long, k2 int, place long, bytes binary").withColumn("tkey", F.monotonically_increasing_id()))
-    cores = scratch.keep(held.select("tkey", "place", "bytes").mapInPandas(_cores(width), "core long, tkey long, digit int"))
-    twice = scratch.keep(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
-    digits = cores.join(twice, "core").groupBy("tkey").agg(F.collect_set("digit").alias("digits"))
+    cores = scratch.keep(held.select("tkey", "place", "bytes").mapInPandas(_cores(width), "core long, full long, tkey long, digit int"))
+    settled = (F.col("full") != 0) & (F.col("n") > 1)
+    stretches = scratch.keep(cores.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "digit")).alias("one")).withColumn("settled", settled))
+    twice = scratch.keep(stretches.groupBy("core").agg(F.sum("n").alias("n"), F.bool_or(~F.col("settled")).alias("open")).where("n > 1 and open").select("core"))
+    at = held.select("tkey", "k1", "k2", "place")
+    even = cores.join(stretches.where("settled").select("core", "full"), ["core", "full"]).join(at, "tkey")
+    low = _start(F.col("place")) + F.col("place").bitwiseAND(F.lit(1023)) - F.col("digit") * STRIDE
+    even = even.select("k1", "k2", (low - (STRIDE - 1)).alias("from"), (low + width).alias("till"))
+    lone_stretch = cores.join(stretches.where("not settled").select("core", "full"), ["core", "full"]).join(twice, "core", "left_semi").select("tkey", "digit")
+    stand_in = stretches.where("settled").join(twice, "core", "left_semi").select("one.*")
+    digits = lone_stretch.union(stand_in).groupBy("tkey").agg(F.collect_set("digit").alias("digits"))
     windows = scratch.keep(held.join(digits, "tkey").select("k1", "k2", "place", "bytes", "digits").mapInPandas(_windows(width), "w1 long, w2 long, k1 long, k2 int, start long"))
-    scratch.drop(lone, held, cores, twice)
+    even = scratch.keep(even)
+    scratch.drop(lone, held, cores, stretches, twice)
     equal = scratch.keep(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"))
     single = windows.join(equal, ["w1", "w2"]).select("k1", "k2", F.col("start").alias("from"), (F.col("start") + width).alias("till"))
-    spans = scratch.keep(whole.unionByName(single).groupBy("k1", "k2").agg(F.collect_list("from").alias("from"), F.collect_list("till").alias("till")))
-    scratch.drop(met, groups, windows, equal)
+    spans = scratch.keep(whole.unionByName(even).unionByName(single).groupBy("k1", "k2").agg(F.collect_list("from").alias("from"), F.collect_list("till").alias("till")))
+    scratch.drop(met, groups, even, windows, equal)
     return spans
 
 
