@@ -63,13 +63,22 @@ SESS = E + """, lagged AS (
   FROM flagged)"""
 
 
-def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each line: year, month, nation of the customer and of the supplier."""
+def _orders_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the nation of their customer: joined before lines come in, so that lines are shuffled once for both."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("from_region"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("to_region"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+
+
+def flow_counts(spark: SparkSession, sf_dir: str, *by: str, band=None) -> DataFrame:
+    """Lines by time and band between nations, as trips. Lines are counted for each supplier before suppliers come in."""
+    keys = [*by, *(["band"] if band is not None else [])]
+    o = _orders_of_nations(spark, sf_dir)
+    o = o.withColumn("band", band) if band is not None else o
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    return line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("year", "month", "from_region", "to_region", "o_totalprice")
+    per = line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(*keys, "from_region", "l_suppkey").agg(F.count("*").alias("n"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("to_region"))
+    return per.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(*keys, "from_region", "to_region").agg(F.sum("n").alias("trips"))
 
 
 OD_ROWS = """od_rows AS (
@@ -78,7 +87,7 @@ OD_ROWS = """od_rows AS (
 
 
 def year_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow_rows(spark, sf_dir).groupBy("year", "from_region", "to_region").agg(F.count("*").alias("trips"))
+    return flow_counts(spark, sf_dir, "year")
 
 
 OD = OD_ROWS + """, od AS (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import upper_tail_sql
 from ..operators import serving, stats
-from .base import CELL, OD, OD_ROWS, E, events, flow_rows, query, rounded, table, year_flows
+from .base import CELL, OD, OD_ROWS, E, events, flow_counts, query, rounded, table, year_flows
 
 YEARS = tuple(range(1995, 2002))
 PAIR = ["from_region", "to_region"]
@@ -50,10 +50,10 @@ MERGED = OD + """, m AS (SELECT from_region, to_region, sum(trips) AS m FROM od
 
 
 def against_merged(spark: SparkSession, sf: str) -> DataFrame:
-    f = year_flows(spark, sf)
-    m = f.groupBy(*PAIR).agg(F.sum("trips").alias("m"))
-    grid = f.select("year").distinct().crossJoin(m)
-    return grid.join(f, ["year", *PAIR], "left").select("year", *PAIR, F.coalesce("trips", F.lit(0)).alias("a"), "m")
+    """Each pair in each year, absent ones 0, beside its sum over the years: one pass, as a pair has a value for each year at most."""
+    g = year_flows(spark, sf).groupBy(*PAIR).agg(F.sum("trips").alias("m"), F.map_from_entries(F.collect_list(F.struct("year", "trips"))).alias("t"))
+    years = F.explode(F.array(*[F.lit(y) for y in YEARS])).alias("year")
+    return g.select(*PAIR, "m", "t", years).select("year", *PAIR, F.coalesce(F.col("t")[F.col("year")], F.lit(0)).alias("a"), "m")
 
 
 @query(f"WITH {MERGED} SELECT year, round(CASE WHEN sum(a * a) > 0 THEN sum(a * m) / sqrt(sum(CAST(a * a AS DOUBLE)) * sum(CAST(m * m AS DOUBLE))) END, 6) AS cosine FROM v GROUP BY year")
@@ -89,7 +89,8 @@ def self_loop_share(spark: SparkSession, sf: str) -> DataFrame:
 )
 def exposure_ratio(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("o_totalprice")
-    b = flow_rows(spark, sf).where("year between 1995 and 1999").groupBy("year", F.when(p < 100000, "low").when(p < 200000, "middle").otherwise("high").alias("band")).agg(F.count("*").alias("n"))
+    band = F.when(p < 100000, "low").when(p < 200000, "middle").otherwise("high")
+    b = flow_counts(spark, sf, "year", band=band).where("year between 1995 and 1999").groupBy("year", "band").agg(F.sum("trips").alias("n"))
     x = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("exposure"))
     r = b.join(x, "year").withColumn("rate", F.col("n") / F.col("exposure"))
     q = r.groupBy("band").agg((F.max(F.when(F.col("year") == 1997, F.col("rate"))) / F.avg(F.when(F.col("year") != 1997, F.col("rate")))).alias("ratio"))
@@ -179,7 +180,7 @@ def consistency_long(spark: SparkSession, sf: str) -> DataFrame:
     SELECT region, CASE WHEN count(*) = 6 AND min(months) = 12 THEN CAST(sum(n) AS BIGINT) END AS total, bool_and(n >= 80) AS always_busy, count(*) = 6 AND min(months) = 12 AS is_complete FROM c GROUP BY region"""
 )
 def selection_complete(spark: SparkSession, sf: str) -> DataFrame:
-    c = flow_rows(spark, sf).where("year between 1995 and 2000").groupBy(F.col("from_region").alias("region"), "year", "month").agg(F.count("*").alias("n")).groupBy("region", "year").agg(F.count("*").alias("months"), F.sum("n").alias("n"))
+    c = flow_counts(spark, sf, "year", "month").where("year between 1995 and 2000").groupBy(F.col("from_region").alias("region"), "year", "month").agg(F.sum("trips").alias("n")).groupBy("region", "year").agg(F.count("*").alias("months"), F.sum("n").alias("n"))
     full = (F.count("*") == 6) & (F.min("months") == 12)
     return c.groupBy("region").agg(F.when(full, F.sum("n")).alias("total"), F.bool_and(F.col("n") >= 80).alias("always_busy"), full.alias("is_complete"))
 
@@ -221,7 +222,7 @@ def ami(spark: SparkSession, sf: str) -> DataFrame:
 )
 def flows_sql(spark: SparkSession, sf: str) -> DataFrame:
     s = sig_rows(spark, sf).select(F.col("year").cast("string").alias("scope"), *PAIR, F.col("trips").alias("observed"), "is_significant", "gated", "is_self_loop")
-    o = flow_rows(spark, sf).groupBy(F.col("year").cast("string").alias("scope"), F.col("month").alias("slot"), *PAIR).agg(F.count("*").alias("n"))
+    o = flow_counts(spark, sf, "year", "month").select(F.col("year").cast("string").alias("scope"), F.col("month").alias("slot"), *PAIR, F.col("trips").alias("n"))
     return rounded(serving.flows(s, o, "1997", [str(y) for y in YEARS], 3))
 
 
@@ -232,7 +233,7 @@ def flows_sql(spark: SparkSession, sf: str) -> DataFrame:
 def flows_stable(spark: SparkSession, sf: str) -> DataFrame:
     s = sig_rows(spark, sf).where("year <= 1998 and z > 0").groupBy(*PAIR).agg(F.count("*").alias("k"), F.sum("trips").alias("observed")).where("k = 4")
     s = s.select(F.lit("stable").alias("scope"), *PAIR, "observed", F.lit(True).alias("is_significant"), F.lit(False).alias("gated"), F.lit(False).alias("is_self_loop"))
-    o = flow_rows(spark, sf).groupBy(F.col("year").cast("string").alias("scope"), F.col("month").alias("slot"), *PAIR).agg(F.count("*").alias("n"))
+    o = flow_counts(spark, sf, "year", "month").select(F.col("year").cast("string").alias("scope"), F.col("month").alias("slot"), *PAIR, F.col("trips").alias("n"))
     return rounded(serving.flows(s, o, "stable", ["1995", "1996", "1997", "1998"], 3).select(*PAIR, "weight", "observed"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import second_of_day
 from ..sources.files import union_days
-from .base import E, OD_ROWS, events, flow_rows, query, rounded, table
+from .base import E, OD_ROWS, events, flow_counts, query, rounded, table
 
 DAYS = [date(2024, 1, d) for d in (2, 3, 5, 8, 13)]
 DAY_LIST = ", ".join(f"DATE '{d}'" for d in DAYS)
@@ -90,7 +90,7 @@ def outer_totals(spark: SparkSession, sf: str) -> DataFrame:
 def dense_cube(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.profiles import dense, scaffold
 
-    slim = flow_rows(spark, sf).groupBy("year", "month", "from_region", "to_region").agg(F.count("*").alias("n"))
+    slim = flow_counts(spark, sf, "year", "month").withColumnRenamed("trips", "n")
     o = slim.groupBy(F.col("from_region").alias("region"), "year", "month").agg(F.sum("n").alias("sent"))
     i = slim.groupBy(F.col("to_region").alias("region"), "year", "month").agg(F.sum("n").alias("got"))
     years, months = spark.range(1995, 2002).select(F.col("id").cast("int").alias("year")), spark.range(1, 13).select(F.col("id").cast("int").alias("month"))

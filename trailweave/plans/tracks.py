@@ -189,9 +189,9 @@ LINKS = CROSS + """, first_day AS (SELECT user_id, s, min(d) AS d FROM sess GROU
 
 
 def link_rows(spark: SparkSession, sf: str) -> DataFrame:
-    points = sessions(spark, sf)
-    day = points.groupBy(*KEY).agg(F.min("d").alias("d"))
-    return grid.cell_links(crossings(spark, sf).join(day, KEY), "d", KEY)
+    # The day of a session is part of its key from the start: sessions are already together by user, so no further shuffle or join.
+    points = sessions(spark, sf).select(*KEY, "event_id", "x", "y", F.min("d").over(Window.partitionBy(*KEY)).alias("d"))
+    return grid.cell_links(grid.traverse(points, ["d", *KEY], "event_id", CELL), "d", KEY)
 
 
 @query(f"WITH {LINKS} SELECT * FROM links")
@@ -348,8 +348,9 @@ def circular_stats(spark: SparkSession, sf: str) -> DataFrame:
     SELECT CAST(r.region AS INTEGER) AS region, coalesce(visiting, 0) AS visiting, coalesce(transit, 0) AS transit, round(CASE WHEN visiting > 0 THEN transit / visiting END, 6) AS rate FROM range(0, 5) r(region) LEFT JOIN g ON g.region = r.region"""
 )
 def core_rate(spark: SparkSession, sf: str) -> DataFrame:
-    starts = sessions(spark, sf).groupBy(*KEY).agg(F.min("ts").alias("t0")).where(second_of_day(F.col("t0")).between(25200, 61200))
-    g = vote_rows(spark, sf).join(starts, KEY, "left_semi").groupBy("region").agg(F.count("*").alias("visiting"), F.count_if("is_transit").alias("transit"))
+    v = visit_rows(spark, sf).withColumns({"t0": F.min("ts").over(Window.partitionBy(*KEY)), "entry_x": F.col("x"), "entry_y": F.col("y"), "exit_x": F.col("x"), "exit_y": F.col("y")})
+    votes = profiles.transit_votes(v.where(second_of_day(F.col("t0")).between(25200, 61200)), KEY, ["event_id"])
+    g = votes.groupBy("region").agg(F.count("*").alias("visiting"), F.count_if("is_transit").alias("transit"))
     base = spark.range(5).select(F.col("id").cast("int").alias("region"))
     d = profiles.dense(base, [g], ["region"], ["visiting", "transit"])
     return rounded(d.select("region", "visiting", "transit", F.when(F.col("visiting") > 0, F.col("transit") / F.col("visiting")).alias("rate")))
@@ -374,9 +375,7 @@ SEQ = VISIT + """, cut AS (SELECT *, sum(CASE WHEN rn = 1 THEN 0 WHEN gap THEN 1
 
 def sequence_rows(spark: SparkSession, sf: str) -> DataFrame:
     v = visit_rows(spark, sf).withColumn("gap", F.coalesce("gap", F.lit(False)))
-    seqs = sequences.cut_sequences(v, ["user_id"], "s", "event_id", "region", "gap")
-    first = v.groupBy(*KEY).agg(F.min("d").alias("d0"))
-    return seqs.join(first, KEY)
+    return sequences.cut_sequences(v, ["user_id"], "s", "event_id", "region", "gap")
 
 
 @query(f"WITH {SEQ} SELECT user_id, s, segment_index, array_to_string(regions, '-') AS regions, CAST(len(regions) AS INTEGER) AS length FROM seqs")
