@@ -51,6 +51,16 @@ class Rolling:
         np.cumsum(self.byte[data] * self.pow[: len(data)], out=out[1:])
         return out
 
+    def each(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int = 1 << 20) -> np.ndarray:
+        """Hash of data[start:end] for sorted bounds that do not overlap, over about ``size`` bytes at a time."""
+        out, i = [], 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + size, side="right")))
+            base = start[i]
+            out.append(self.span(self.prefix(data[base : end[j - 1]]), start[i:j] - base, end[i:j] - base))
+            i = j
+        return np.concatenate(out) if out else np.zeros(0, U64)
+
     def span(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end] for arrays of bounds."""
         return mix((prefix[end] - prefix[start]) * self.inv[start] + np.asarray(end - start).astype(U64))
@@ -81,15 +91,31 @@ _SEPARATOR[[b for b in range(128) if not (chr(b).isalnum() or b == 39)]] = True
 _WORDS = Rolling(71)
 
 
+def parts(text: str, size: int = 1 << 20):
+    """The text in stretches of about ``size`` characters that end before a blank which follows another character; a stretch without such a blank goes on. Memory then follows the stretch, not the text."""
+    start = 0
+    while len(text) - start > size:
+        at = text.find(" ", start + size)
+        while at > 0 and text[at - 1].isspace():
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        yield text[start:at]
+        start = at
+    yield text[start:] if start else text
+
+
 def word_hashes(text: str) -> np.ndarray:
     """Hash of each word of the lower-cased text, in order."""
-    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(data):
-        return np.zeros(0, U64)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SEPARATOR[data]
-    edge = np.flatnonzero(np.diff(inside))
-    return _WORDS.span(_WORDS.prefix(data), edge[::2], edge[1::2])
+    out = []
+    for part in parts(text):
+        data = np.frombuffer(part.lower().encode("utf-8", "surrogatepass"), np.uint8)
+        if len(data):
+            inside = np.zeros(len(data) + 2, np.int8)
+            inside[1:-1] = ~_SEPARATOR[data]
+            edge = np.flatnonzero(np.diff(inside))
+            out.append(_WORDS.span(_WORDS.prefix(data), edge[::2], edge[1::2]))
+    return np.concatenate(out) if len(out) > 1 else out[0] if out else np.zeros(0, U64)
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:

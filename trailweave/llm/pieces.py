@@ -14,6 +14,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,8 @@ class Pieces:
         self.fallback = min(scores) - 10.0
         self.literal = [self.bytes[b] for b in MARK.encode()]
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.words = re.compile(f"(?s).+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.words = re.compile("(?s).+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.border = None if crossing else re.compile(f"[^{MARK}]{MARK}")
         self.room = room
         self.known: dict[str, bytes] = {}
 
@@ -93,6 +95,18 @@ class Pieces:
         return self._plain(MARK + text.replace(" ", MARK))
 
     def _plain(self, text: str) -> bytes:
+        """Ids of a text whose blanks are marks, a stretch of words at a time."""
+        if len(text) <= 1 << 21:
+            return self._stretch(text)
+        out, start = [], 0
+        while start < len(text):
+            m = self.border.search(text, start + (1 << 20)) if self.border else None
+            end = m.start() + 1 if m else len(text)
+            out.append(self._stretch(text[start:end]))
+            start = end
+        return b"".join(out)
+
+    def _stretch(self, text: str) -> bytes:
         words = self.words.findall(text)
         try:
             return b"".join(map(self.known.__getitem__, words))
@@ -115,13 +129,19 @@ class Pieces:
         return raw[1:].decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def pieces_at(path: str) -> Pieces:
+    """The automaton of this worker; the words it has met stay for the next task."""
+    return Pieces(path)
+
+
 def encode_column(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """Adds piece_ids (array of int): null for a null text, empty for an empty one. Other columns are kept; one of that name is replaced."""
     path = path or default_path()
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(path)
+        pieces = pieces_at(path)
         for col in batches:
             yield pd.Series([None if t is None else np.frombuffer(pieces.encode(t), "<u4").astype(np.int32) for t in col], dtype=object)
 
@@ -134,7 +154,7 @@ def decode_column(df: DataFrame, ids_col: str = "piece_ids", path: str | None =
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(path)
+        pieces = pieces_at(path)
         for col in batches:
             yield pd.Series([None if t is None else pieces.decode(np.asarray(t, "<u4").tobytes()) for t in col], dtype=object)
 
@@ -146,7 +166,7 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path)
+        pieces = pieces_at(path)
         is_byte = np.zeros(len(pieces.texts), bool)
         is_byte[list(pieces.byte_of)] = True
         for pdf in batches:

@@ -68,7 +68,7 @@ def find_spans(data: np.ndarray, least: int, words: int) -> tuple[np.ndarray, np
     i, j = i[j <= len(n)], j[j <= len(n)]
     out = []
     for kind in (_ONE, _TWO):
-        each = kind.span(kind.prefix(data), first, last)
+        each = kind.each(data, first, last)
         kind._grow(len(each) + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * kind.pow[: len(each)])])
         out.append(mix((sums[j] - sums[i]) * kind.inv[i] + (j - i).astype(np.uint64)))

@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .hashing import parts
+
 #: Characters for which lower-casing and splitting at white space agree with the library: printable ASCII with usual white space, Latin-1 letters and marks, Latin Extended-A without the dotted capital I.
 _KNOWN = re.compile(r"[\t\n\r -~¡-įı-ſ]*")
 _WORDS = re.compile(r"[a-zªµºß-öø-ÿā-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºß-öø-ÿā-ſ²³¹¼½¾]+")
@@ -62,6 +64,11 @@ class WordTokenizer:
         plain = text if text.isascii() else unicodedata.normalize("NFC", text)
         if not _KNOWN.fullmatch(plain) or "<|startoftext|>" in text or "<|endoftext|>" in text:
             return self.whole(text)
+        if len(plain) > 1 << 21:
+            return b"".join(self._known_text(p) for p in parts(plain))
+        return self._known_text(plain)
+
+    def _known_text(self, plain: str) -> bytes:
         chunks = plain.lower().split()
         try:
             return b"".join(map(self.ids.__getitem__, chunks))
