@@ -1,9 +1,11 @@
-"""Connected components of a table of links, by rounds of joins.
+"""Connected components of a table of links, by least labels and jumps.
 
-Each round links every node to the smallest node it knows of: first the larger
-neighbours of a node to its smallest neighbour, then the smaller ones. Rounds
-end when nothing changes; their number grows with the logarithm of the longest
-path. Every round's links are written to the shared folder.
+Each round gives every node the label of its label, then the least label among
+itself and its neighbours, and gives the same to the node that it had as label.
+So whole trees of labels hook onto smaller ones: stars settle in one round and
+long paths in rounds that grow with the logarithm of their length. Labels are written to the shared folder after
+each half of a round, so that both sides of a join come from files and a hub's
+rows can be split among tasks.
 """
 
 from __future__ import annotations
@@ -16,20 +18,26 @@ from .scratch import Scratch
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) of any orderable type to (node, component): the smallest node reachable. Nodes without a link to another are left out."""
-    pairs = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if pairs.isEmpty():
-        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    before = None
-    while True:
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
-        large = scratch.keep(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        low = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
-        after = scratch.keep(small)
-        state = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        scratch.drop(pairs, least, large, low)
-        pairs = after
-        if state == before:
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())
-        before = state
+    edges = links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct()
+    edges = scratch.keep(edges)
+    labels = scratch.keep(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).withColumn("component", F.least("node", "component")))
+    while not labels.isEmpty():
+        far = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
+        jumped = scratch.keep(labels.join(far, "component").select("node", F.col("far").alias("component")))
+        near = edges.join(jumped.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        told = scratch.keep(jumped.join(near, "node"))
+        hook = told.groupBy(F.col("component").alias("node")).agg(F.min("near").alias("hook"))
+        least = F.least("component", "near", F.coalesce("hook", "component"))
+        after = scratch.keep(told.join(hook, "node", "left").select("node", least.alias("component"), (least < F.col("component")).alias("moved")))
+        moved = not after.where("moved").limit(1).isEmpty()
+        scratch.drop(labels)
+        if not moved:
+            # Every edge joins equal labels, but a label may still point to another: jump until none does.
+            same = scratch.keep(jumped.join(jumped.select(F.col("node").alias("component"), F.col("component").alias("far")), "component").select("node", F.col("far").alias("component"), (F.col("far") < F.col("component")).alias("moved")))
+            if same.where("moved").limit(1).isEmpty():
+                labels = same
+                break
+            after = same
+        labels = after.drop("moved")
+        labels.__dict__["_scratch_path"] = after.__dict__["_scratch_path"]
+    return labels.select("node", "component")

@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
         more = told(fresh)
         if more.where("good").isEmpty():
             break
-        seen = scratch.keep(seen.union(more))
+        seen = seen.union(more)
     ids = texts.select("digest", "id")
     roots = classes.join(ids, "digest").groupBy("class").agg(F.min(F.struct("id", "digest")).alias("root"))
     roots = scratch.keep(roots.select("class", F.col("root.id").alias("class_id"), F.col("root.digest").alias("root")))
