@@ -62,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), codec="snappy")
+        docs = scratch.keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -43,7 +43,7 @@ class Scratch:
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and read it again."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
