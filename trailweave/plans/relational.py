@@ -113,12 +113,12 @@ def rank_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT p_size AS region, p_brand AS name, min(CASE WHEN contains(p_type, 'STEEL') THEN 0 ELSE 1 END) AS class, sum(l_quantity) AS length FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 20 GROUP BY ALL
+    """WITH l AS (SELECT p_size AS region, p_brand AS name, min(CASE WHEN contains(p_type, 'STEEL') THEN 0 ELSE 1 END) AS class, sum(l_quantity) AS length FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL
     ), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY class, length DESC, name) AS k FROM l WHERE NOT (name LIKE '%1' AND EXISTS (SELECT 1 FROM l o WHERE o.region = l.region AND o.name NOT LIKE '%1')))
     SELECT region, string_agg(name, '/' ORDER BY k) AS label FROM r WHERE k <= 2 GROUP BY region"""
 )
 def road_label(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_size <= 20").select("p_partkey", F.col("p_size").alias("region"), F.col("p_brand").alias("name"), F.when(F.col("p_type").contains("STEEL"), 0).otherwise(1).alias("class"))
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("region"), F.col("p_brand").alias("name"), F.when(F.col("p_type").contains("STEEL"), 0).otherwise(1).alias("class"))
     q = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"))
     n = q.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("region", "name").agg(F.min("class").alias("class"), F.sum("q").alias("length"))
     n = n.withColumn("better", F.max((~F.col("name").like("%1")).cast("int")).over(Window.partitionBy("region"))).where("not (name like '%1' and better = 1)")
@@ -170,20 +170,22 @@ def small_dim_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT l_orderkey AS way, l_partkey % 50 AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_tax, l_discount) AS seq, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem WHERE l_orderkey <= 3000
+    """WITH n AS (SELECT l_orderkey AS way, l_partkey % 50 AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_tax, l_discount) AS seq, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem
     ), u AS (SELECT node, count(*) AS uses FROM n GROUP BY node
-    ), c AS (SELECT n.*, seq = 1 OR seq = size OR uses > 25 AS cut FROM n JOIN u USING (node)
-    ), s AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY way ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seg FROM c
-    ), g AS (SELECT a.way, b.seq, a.seq AS s0, b.seq AS s1, a.node AS u, b.node AS v FROM c a JOIN c b ON a.way = b.way AND a.cut AND b.cut AND b.seq > a.seq AND NOT EXISTS (SELECT 1 FROM c m WHERE m.way = a.way AND m.cut AND m.seq > a.seq AND m.seq < b.seq)
-    ) SELECT way, CAST(s0 AS INTEGER) AS from_seq, CAST(s1 AS INTEGER) AS to_seq, dir AS direction, CASE dir WHEN 0 THEN u ELSE v END AS u, CASE dir WHEN 0 THEN v ELSE u END AS v, dir = 0 OR way % 3 <> 0 AS is_legal FROM g, (VALUES (0), (1)) d(dir)"""
+    ), typical AS (SELECT quantile_cont(uses, 0.5) AS half FROM u
+    ), c AS (SELECT n.* FROM n JOIN u USING (node), typical WHERE seq = 1 OR seq = size OR uses > half
+    ), g AS (SELECT way, seq AS s0, lead(seq) OVER w AS s1, node AS u, lead(node) OVER w AS v FROM c WINDOW w AS (PARTITION BY way ORDER BY seq)
+    ) SELECT way, CAST(s0 AS INTEGER) AS from_seq, CAST(s1 AS INTEGER) AS to_seq, dir AS direction, CASE dir WHEN 0 THEN u ELSE v END AS u, CASE dir WHEN 0 THEN v ELSE u END AS v, dir = 0 OR way % 3 <> 0 AS is_legal FROM g, (VALUES (0), (1)) d(dir) WHERE s1 IS NOT NULL"""
 )
 def network_cut(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem").where("l_orderkey <= 3000")
+    line = table(spark, sf, "lineitem")
     w = Window.partitionBy("way").orderBy("seq")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_tax", "l_discount")
     n = line.select(F.col("l_orderkey").alias("way"), (F.col("l_partkey") % 50).alias("node"), F.row_number().over(order).alias("seq"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("size"))
-    uses = n.groupBy("node").agg(F.count("*").alias("uses"))
-    cut = n.join(uses, "node").where((F.col("seq") == 1) | (F.col("seq") == F.col("size")) | (F.col("uses") > 25))
+    # Uses are counted on the raw lines, before any window; nodes are as many as the map has.
+    uses = line.groupBy((F.col("l_partkey") % 50).alias("node")).agg(F.count("*").alias("uses"))
+    shared = uses.join(F.broadcast(uses.agg(F.percentile("uses", F.lit(0.5)).alias("half"))), F.col("uses") > F.col("half"), "left_semi").select("node", F.lit(True).alias("shared"))
+    cut = n.join(F.broadcast(shared), "node", "left").where((F.col("seq") == 1) | (F.col("seq") == F.col("size")) | F.col("shared"))
     seg = cut.select("way", F.col("seq").alias("from_seq"), F.lead("seq").over(w).alias("to_seq"), F.col("node").alias("a"), F.lead("node").over(w).alias("b")).where("to_seq is not null")
     both = seg.withColumn("direction", F.explode(F.array(F.lit(0), F.lit(1))))
     fwd = F.col("direction") == 0
