@@ -32,7 +32,7 @@ def default_path() -> str:
 class WordTokenizer:
     """Little-endian unsigned 32-bit ids of texts; ``room`` bounds the words kept."""
 
-    def __init__(self, path: str, room: int = 800_000):
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
