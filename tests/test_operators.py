@@ -226,7 +226,7 @@ def test_circular(spark):
 def brute_viterbi(roads, points):
     from itertools import product
 
-    options = [roads.candidates(*p) for p in points]
+    options = roads.candidates(points)
     best = None
     for path in product(*options):
         s = roads.emission(path[0])
@@ -245,7 +245,7 @@ def test_map_matching():
     rows = roads.match(points)
     assert [r["edge"] for r in rows] == [0, 0, 2, 2] and {r["piece"] for r in rows} == {0}
     assert rows[-1]["offset_m"] == pytest.approx(170)
-    chosen = roads.viterbi(points, [roads.candidates(*q) for q in points])
+    chosen = roads.viterbi(points, roads.candidates(points))
     s = roads.emission(chosen[0]) + sum(roads.emission(b) - abs(roads.move(a, b)[0] - math.dist(x, y)) / p.beta_m for a, b, x, y in zip(chosen, chosen[1:], points, points[1:]))
     assert s == pytest.approx(brute_viterbi(roads, points))
     far = roads.match([(10.0, 5.0), (5000.0, 5000.0), (0.0, 90.0)])
@@ -253,6 +253,27 @@ def test_map_matching():
     assert roads.route(4, 3) is not None and roads.route(3, 1) is not None and roads.route(99, 1) is None
 
 
+def test_candidates_of_bent_segments():
+    rng = random.Random(4)
+    lines = [(k, 2 * k, 2 * k + 1, [(rng.uniform(0, 300), rng.uniform(0, 300)) for _ in range(rng.randrange(2, 5))], True, True) for k in range(12)]
+    roads = matching.Roads(lines, MatchParams(radius_m=80.0))
+    points = [(rng.uniform(-50, 350), rng.uniform(-50, 350)) for _ in range(60)]
+    for (x, y), got in zip(points, roads.candidates(points)):
+        want = []
+        for k, _, _, pts, _, _ in lines:
+            at, best = 0.0, (math.inf, 0.0)
+            for a, b in zip(pts, pts[1:]):
+                n = math.dist(a, b)
+                t = min(1, max(0, ((x - a[0]) * (b[0] - a[0]) + (y - a[1]) * (b[1] - a[1])) / n**2))
+                best = min(best, (math.dist((x, y), (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))), at + t * n), key=lambda v: v[0])
+                at += n
+            if best[0] <= 80:
+                want.append((best[0], 2 * k, best[1], at - best[1]))
+        want = sorted(want)[:5]
+        assert [g[1] for g in got] == [e for w in want for e in (w[1], w[1] + 1)]
+        assert [v for g in got for v in (g[0], g[2])] == pytest.approx([v for w in want for v in (w[0], w[2], w[0], w[3])])
+
+
 def test_communities_and_tidying():
     links = [(a, b, 10.0) for g in (0, 1) for a in [(g * 10 + i, j) for i in range(3) for j in range(3)] for b in [(g * 10 + i, j) for i in range(3) for j in range(3)] if a != b]
     links += [((2, 1), (10, 1), 1.0), ((10, 1), (2, 1), 1.0)]

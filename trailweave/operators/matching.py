@@ -30,6 +30,7 @@ class Roads:
         self.length: dict[int, float] = {}
         self.out: dict[int, list[tuple[int, float, int]]] = {}
         self.cells: dict[tuple[int, int], set[int]] = {}
+        self.near: dict[tuple[int, int], tuple | None] = {}
         self.routes: dict[tuple[int, int], tuple[float, list[int]] | None] = {}
         for seg, u, v, line, forth, back in sorted(segments, key=lambda s: s[0]):
             pts = np.asarray(line, float)
@@ -44,25 +45,52 @@ class Roads:
                     for j in range(math.floor(min(y0, y1) / r) - 1, math.floor(max(y0, y1) / r) + 2):
                         self.cells.setdefault((i, j), set()).add(seg)
 
-    @staticmethod
-    def project(line: np.ndarray, x: float, y: float) -> tuple[float, float]:
-        """(distance, place along the line) of the nearest point of a line."""
-        best, at = (math.inf, 0.0), 0.0
-        for (x0, y0), (x1, y1) in zip(line[:-1], line[1:], strict=True):
-            size = math.hypot(x1 - x0, y1 - y0)
-            if size:
-                t = min(1.0, max(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / size**2))
-                d = math.hypot(x - x0 - t * (x1 - x0), y - y0 - t * (y1 - y0))
-                if d < best[0]:
-                    best = (d, at + t * size)
-            at += size
-        return best
-
-    def candidates(self, x: float, y: float) -> list[tuple[float, int, float]]:
-        """(distance, edge, place along it) of the nearest segments, both directions; by distance, then segment, then direction."""
-        r = self.p.radius_m
-        near = sorted((self.project(self.lines[2 * s], x, y)[0], s) for s in self.cells.get((math.floor(x / r), math.floor(y / r)), ()))
-        return [(d, e, self.project(self.lines[e], x, y)[1]) for d, s in near[: self.p.candidates] if d <= r for e in (2 * s, 2 * s + 1)]
+    def _around(self, cell: tuple[int, int]) -> tuple | None:
+        """Straight legs of the segments near a cell as arrays, by segment: start, direction, squared length, place of the start, first leg of each segment, segment."""
+        if cell not in self.near:
+            segs = sorted(self.cells.get(cell, ()))
+            if not segs:
+                self.near[cell] = None
+            else:
+                lines = [self.lines[2 * s] for s in segs]
+                a = np.concatenate([x[:-1] for x in lines])
+                d = np.concatenate([np.diff(x, axis=0) for x in lines])
+                size = np.hypot(d[:, 0], d[:, 1])
+                at = np.concatenate([np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(x, axis=0).T))[:-1]]) for x in lines])
+                first = np.concatenate([[0], np.cumsum([len(x) - 1 for x in lines])[:-1]])
+                self.near[cell] = a, d, np.where(size > 0, size * size, 1.0), size, at, first, segs
+        return self.near[cell]
+
+    def candidates(self, points: Sequence[tuple[float, float]]) -> list[list[tuple[float, int, float]]]:
+        """For each point (distance, edge, place along it) of the nearest segments, both directions; by distance, then segment, then direction. Points of one cell are measured together."""
+        out: list[list] = [[] for _ in points]
+        if not out:
+            return out
+        xy = np.asarray(points, float)
+        cells = np.floor(xy / self.p.radius_m).astype(np.int64)
+        order = np.lexsort((cells[:, 1], cells[:, 0]))
+        changes = np.flatnonzero(np.any(np.diff(cells[order], axis=0) != 0, axis=1)) + 1
+        for own in np.split(order, changes):
+            found = self._around((int(cells[own[0], 0]), int(cells[own[0], 1])))
+            if found is None:
+                continue
+            a, d, size2, size, at, first, segs = found
+            for part in np.split(own, range(4096, len(own), 4096)):
+                rel = xy[part][:, None, :] - a
+                t = np.clip((rel[..., 0] * d[:, 0] + rel[..., 1] * d[:, 1]) / size2, 0.0, 1.0)
+                dist = np.hypot(rel[..., 0] - t * d[:, 0], rel[..., 1] - t * d[:, 1])
+                least = np.minimum.reduceat(dist, first, axis=1)
+                best = np.argsort(least, axis=1, kind="stable")[:, : self.p.candidates]
+                for row, (i, chosen) in enumerate(zip(part.tolist(), best.tolist(), strict=True)):
+                    for g in chosen:
+                        m = float(least[row, g])
+                        if m > self.p.radius_m:
+                            break
+                        lo = first[g]
+                        leg = lo if g + 1 < len(first) and first[g + 1] == lo + 1 else lo + int(np.argmin(dist[row, lo : first[g + 1] if g + 1 < len(first) else None]))
+                        place, e = float(at[leg] + t[row, leg] * size[leg]), 2 * segs[g]
+                        out[i] += [(m, e, place), (m, e + 1, self.length[e] - place)]
+        return out
 
     def route(self, a: int, b: int) -> tuple[float, list[int]] | None:
         """Shortest way between nodes within the cut-off: its length and edges."""
@@ -122,10 +150,19 @@ class Roads:
             path.append(back[path[-1]])
         return [o[k] for o, k in zip(options, reversed(path), strict=True)]
 
-    def match(self, points: Sequence[tuple[float, float]]) -> list[dict]:
+    def match_all(self, tracks: Sequence[Sequence[tuple[float, float]]]) -> list[list[dict]]:
+        """Matches of many tracks, whose candidates are found together."""
+        options = self.candidates([p for t in tracks for p in t])
+        out, at = [], 0
+        for t in tracks:
+            out.append(self.match(t, options[at : at + len(t)]))
+            at += len(t)
+        return out
+
+    def match(self, points: Sequence[tuple[float, float]], options: list[list] | None = None) -> list[dict]:
         """Rows for all points: edge, distance, place along it, piece and mileage within the piece, and the inferred metres before the point. Points without a candidate are unmatched and part stretches."""
         rows: list[dict] = [{"edge": None, "snap_m": None, "along_m": None, "piece": None, "offset_m": None, "inferred_m": 0.0} for _ in points]
-        options = [self.candidates(*p) for p in points]
+        options = self.candidates(points) if options is None else options
         piece, i = -1, 0
         while i < len(points):
             if not options[i]:
@@ -163,7 +200,7 @@ def match_tracks(points: DataFrame, segments: Sequence[tuple], p: MatchParams, k
         if roads is None:
             _ROADS.clear()
             roads = _ROADS[name] = Roads(shared.value, p)
-        return pd.Series([roads.match(list(zip(x.tolist(), y.tolist(), strict=True))) for x, y in zip(xs, ys, strict=True)], dtype=object)
+        return pd.Series(roads.match_all([list(zip(x.tolist(), y.tolist(), strict=True)) for x, y in zip(xs, ys, strict=True)]), dtype=object)
 
     tracks = points.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order, "x", "y"))).alias("p"))
     done = tracks.select(*key, F.col(f"p.{order}").alias("o"), run.asNondeterministic()(F.col("p.x"), F.col("p.y")).alias("m"))
