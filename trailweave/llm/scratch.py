@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator call, each dropped as soon as nothing reads it."""
+    """Tables of one operator call, each dropped as soon as nothing reads it. Those that a result still reads go when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -44,19 +44,26 @@ class Scratch:
         self.n = 0
 
     def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
-        """Write ``df`` and read it again."""
+        """Write ``df`` and read it again. Snappy, since Zstandard's buffers outside the heap wait for its garbage collection."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
         df.write.option("compression", codec).mode("overwrite").parquet(path)
+        if self.n == 1:
+            root, fs = self._path(self.root)
+            fs.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.__dict__["_scratch_path"] = path
         return out
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more. Spark deletes the shuffle files of a finished job once the driver has collected its objects, so the driver is asked to."""
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_scratch_path"])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = self._path(df.__dict__["_scratch_path"])
+            fs.delete(path, True)
         gc.collect()
         self.spark._jvm.System.gc()
 
