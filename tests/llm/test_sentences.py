@@ -40,7 +40,7 @@ def brute(rows, least=2, words=20):
 
 def test_equals_brute_force(spark):
     rng = random.Random(3)
-    sentence = lambda: " ".join(rng.choice(["the", "of", "aé", "bc", "de", "fg"]) + str(rng.randrange(40)) for _ in range(rng.choice([rng.randrange(1, 14), rng.randrange(1, 50)]))) + rng.choice([".", "!", "?\n", ".\n\n", "..."])
+    sentence = lambda: " ".join(rng.choice(["the", "of", "aé", "bc", "de", "fg"]) + str(rng.randrange(40)) for _ in range(rng.choice([rng.randrange(1, 14), rng.randrange(1, 50)]))) + rng.choice([".", "!", "?\n", ".\n\n", "...", ".x", "\nY"])
     passage = [sentence() for _ in range(9)]
     rows = [(0, None), (1, ""), (2, "..."), (3, "no end"), (4, "\n\n a.\n")]
     for i in range(5, 60):

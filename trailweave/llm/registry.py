@@ -12,8 +12,8 @@ from .minhash import op3_minhash
 from .packing import op6_packing
 from .pieces import op8_pieces
 from .quality import op5_quality
-from .sentences import op2_sentences
-from .suffixes import op10_suffixes
+from .sentences import OP2_SQL, op2_sentences
+from .suffixes import OP10_SQL, op10_suffixes
 from .topk import OP9_SQL, op9_topk
 from .urls import OP4_SQL, op4_urls
 
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffixes": op10_suffixes,
 }
 
-ORACLES: dict[str, str] = {"op4_urls": OP4_SQL, "op9_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_sentences": OP2_SQL, "op4_urls": OP4_SQL, "op9_topk": OP9_SQL, "op10_suffixes": OP10_SQL}

@@ -42,6 +42,7 @@ def sentences(data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.
     start = np.concatenate([[0], np.flatnonzero(end[:-1] & ~end[1:]) + 1])
     opens = ~_BLANK[data]
     opens[1:] &= _BLANK[data[:-1]]
+    opens[start] = ~_BLANK[data[start]]
     start = cut_long(start, np.flatnonzero(opens), words)
     solid = np.flatnonzero(~_BLANK[data])
     stop = np.append(start[1:], len(data))
@@ -119,3 +120,33 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 20, text_out: b
 
 def op2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
+), a AS (
+  SELECT k, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS i FROM (SELECT k, regexp_extract_all(t, '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS x FROM d)
+), b AS (
+  SELECT k, i, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS j FROM (SELECT k, i, CASE WHEN len(regexp_extract_all(s, '[^ \t\r\n\x0b\x0c]+')) >= 20 THEN regexp_extract_all(s, '[ \t\r\n\x0b\x0c]*(?:[^ \t\r\n\x0b\x0c]+[ \t\r\n\x0b\x0c]*){1,10}') ELSE [s] END AS x FROM a)
+), p AS (
+  SELECT k, row_number() OVER (PARTITION BY k ORDER BY i, j) AS n, s FROM b
+), c AS (
+  SELECT *, row_number() OVER w AS m, sum(words) OVER (w ROWS UNBOUNDED PRECEDING) AS total
+  FROM (SELECT k, n, trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, len(regexp_extract_all(s, '[^ \t\r\n\x0b\x0c]+')) AS words FROM p) WHERE words > 0 WINDOW w AS (PARTITION BY k ORDER BY n)
+), runs AS (
+  SELECT x.k, x.m, min(y.m) AS e FROM c x JOIN c y ON x.k = y.k AND y.m > x.m AND y.m <= x.m + 20 AND y.total - x.total + x.words >= 20 GROUP BY x.k, x.m
+), keys AS (
+  SELECT r.k, r.m, r.e, md5(string_agg(c.t, chr(31) ORDER BY c.m)) AS h FROM runs r JOIN c ON c.k = r.k AND c.m BETWEEN r.m AND r.e GROUP BY r.k, r.m, r.e
+), later AS (
+  SELECT k, m, e FROM (SELECT keys.*, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS FIRST, k, m) AS nth FROM keys JOIN d USING (k)) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT p.k, p.n FROM later l JOIN c x ON x.k = l.k AND x.m = l.m JOIN c y ON y.k = l.k AND y.m = l.e JOIN p ON p.k = l.k AND p.n BETWEEN x.n AND y.n
+), parts AS (
+  SELECT p.*, g.n IS NOT NULL AS out, coalesce(lag(g.n IS NOT NULL) OVER (PARTITION BY p.k ORDER BY p.n), FALSE) AS out_before FROM p LEFT JOIN gone g ON g.k = p.k AND g.n = p.n
+), per AS (
+  SELECT k, sum(octet_length(encode(s))) FILTER (WHERE out) AS removed, count(*) FILTER (WHERE out AND NOT out_before) AS spans, coalesce(string_agg(s, '' ORDER BY n) FILTER (WHERE NOT out), '') AS kept FROM parts GROUP BY k
+)
+SELECT doc_id, CAST(octet_length(encode(t)) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN per USING (k)
+"""

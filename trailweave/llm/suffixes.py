@@ -203,3 +203,25 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_out: bool = False) ->
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT k, i, md5(array_slice(b, i, i + 199)) AS h FROM (SELECT k, b, unnest(range(1, CAST(octet_length(b) AS BIGINT) - 198)) AS i FROM d)
+), r AS (
+  SELECT h FROM w GROUP BY h HAVING count(*) > 1
+), s AS (
+  SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM w JOIN r USING (h)
+), g AS (
+  SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM s
+), spans AS (
+  SELECT k, run, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY k, run
+), cut AS (
+  SELECT k, count(*) AS n, sum(z - a + 1) AS gone, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM spans GROUP BY k
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN n IS NULL THEN b ELSE list_reduce(list_transform(range(0, CAST(n AS BIGINT) + 1), lambda j: array_slice(b, CASE WHEN j = 0 THEN 1 ELSE ends[j] + 1 END, CASE WHEN j = n THEN octet_length(b) ELSE starts[j + 1] - 1 END)), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (k)
+"""
