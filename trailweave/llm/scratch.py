@@ -15,14 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of texts that pass to a Python worker at once; texts can be long.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Rows that a Parquet reader decodes at once, and bytes that it reads into one buffer: with long texts the usual 4096 rows and 8 MB make arrays so large that the heap keeps them apart and grows.
+READ_ROWS, READ_BYTES = 512, 256 << 10
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to the bounds above, so that a worker's memory doesn't depend on the length of texts."""
+    """Lower the session's batches to the bounds above, so that the memory of an executor and its workers doesn't depend on the length of texts."""
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    conf.set("parquet.read.allocation.size", str(READ_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
