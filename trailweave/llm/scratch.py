@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Rows that a Parquet reader decodes at once, and bytes that it reads into one buffer: with long texts the usual 4096 rows and 8 MB make arrays so large that the heap keeps them apart and grows.
 READ_ROWS, READ_BYTES = 512, 256 << 10
+#: Bytes that a writer of an intermediate table holds before it writes a row group.
+GROUP_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -51,7 +53,7 @@ class Scratch:
         """Write ``df`` and read it again. Snappy, since Zstandard's buffers outside the heap wait for its garbage collection."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
-        df.write.option("compression", codec).mode("overwrite").parquet(path)
+        df.write.option("compression", codec).option("parquet.block.size", GROUP_BYTES).mode("overwrite").parquet(path)
         if self.n == 1:
             root, fs = self._path(self.root)
             fs.deleteOnExit(root)
