@@ -225,12 +225,12 @@ def shared_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {E}, p AS (SELECT event_id, x, y FROM e), n AS (
       SELECT a.event_id, b.event_id AS near_event_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance_m FROM p a JOIN p b ON a.event_id <> b.event_id), r AS (
-      SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY distance_m, near_event_id) AS INTEGER) AS rank FROM n WHERE distance_m <= 60.0)
+      SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY distance_m, near_event_id) AS INTEGER) AS rank FROM n WHERE distance_m <= 15.0)
     SELECT event_id, near_event_id, round(distance_m, 6) AS distance_m, rank FROM r WHERE rank <= 5"""
 )
 def knn_radius(spark: SparkSession, sf: str) -> DataFrame:
     p = events(spark, sf).select("event_id", "x", "y")
-    return rounded(spatial.knn_within(p, p, "event_id", "event_id", 60.0, 5))
+    return rounded(spatial.knn_within(p, p, "event_id", "event_id", 15.0, 5))
 
 
 ANCHORS = [(5 * i + j, 1000.0 * i, 750.0 * j) for i in range(5) for j in range(5)]
