@@ -66,3 +66,17 @@ def test_samples_agree_as_often_as_the_similarity():
         agree.append(np.mean(sample(*a, seeds) == sample(*b, seeds)))
         real.append(weighted_jaccard(a, b))
     assert abs(np.mean(agree) - np.mean(real)) < 0.04
+
+
+def test_near_pairs_inside_a_template(spark):
+    """Texts of a template share buckets without being alike; the pairs among them that are must all be found."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    template = [word() for _ in range(140)]
+    rows, want = [], set()
+    for i in range(0, 3000, 2):
+        own = [word() for _ in range(20)]
+        other = own[:12] + [word() for _ in range(8)] if i < 400 else [word() for _ in range(20)]
+        rows += [(i, " ".join(template + own), "", 0), (i + 1, " ".join(template + other), "", 0)]
+        want |= {frozenset([i, i + 1])} if i < 400 else {frozenset([i]), frozenset([i + 1])}
+    assert classes(near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) == want

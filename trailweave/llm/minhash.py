@@ -9,10 +9,13 @@ make a band. Within a bucket of equal bands every text is compared with the
 smallest document and with its neighbour in the order of the components that
 follow, which puts similar texts side by side in a different order for each
 band. Then one text of each class so far stands for it in the bucket, and the
-classes are compared in the same way, until a round links nothing more. So work
-follows the number of rows in buckets, and no bucket is capped. Links are
-verified by the weighted Jaccard similarity of the whole texts. Equal texts
-share a class before any of this.
+classes are compared in the same way, until a round links nothing more. What is
+left are buckets of several classes; their texts are joined exactly, by a
+prefix filter: with items in an order from rare to frequent, the first item
+that two texts of the wanted similarity share lies in the leading fifth or so
+of both. A template's shingles come last in that order, so texts that share
+only a template rarely meet. Links are verified by the weighted Jaccard similarity of
+the whole texts. Equal texts share a class before any of this.
 """
 
 from __future__ import annotations
@@ -115,15 +118,28 @@ def cell_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")
 
 
-def cell_weights(docs: DataFrame, n: int, floor: float, spread: float) -> np.ndarray:
-    """Weight of each cell: 1 for a shingle of all documents up to 1 + spread for one in a share of ``floor`` or less."""
+def gathered(slices: DataFrame) -> np.ndarray:
+    """The whole sketch on the driver."""
     counts = np.zeros(CELLS, np.float64)
-    for r in cell_counts(docs).collect():
+    for r in slices.collect():
         counts.reshape(SLICES, -1)[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    share = np.clip(counts / max(n, 1), floor, 1.0)
+    return counts
+
+
+def cell_weights(docs: DataFrame, n: int, floor: float, spread: float) -> np.ndarray:
+    """Weight of each cell: 1 for a shingle of all documents up to 1 + spread for one in a share of ``floor`` or less."""
+    share = np.clip(gathered(cell_counts(docs)) / max(n, 1), floor, 1.0)
     return (1 + spread * np.log(share) / np.log(floor)).astype(np.float32)
 
 
+def prefix(items: np.ndarray, weight: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Leading items, rare cells first, the weight from each on, and the whole weight. Of two texts with the similarity ``threshold`` the first shared item leads in both, as all that they share lies from it on."""
+    order = np.lexsort((items, counts[(items >> np.uint64(64 - 20)).astype(np.int64)]))
+    rest = np.cumsum(weight[order][::-1].astype(np.float64))[::-1]
+    lead = rest >= threshold * rest[0] * (1 - 1e-6)
+    return items[order][lead], rest[lead], float(rest[0])
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 3, floor: float = 0.004, spread: float = 0.2, keep_first: bool = False) -> DataFrame:
     """Class of near-duplicates of each row: doc_id, class_id (smallest doc_id of the class), class_links (verified links of the row's text).
 
@@ -205,6 +221,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
         order = ["key", "s0", "s1", "s2", "digest"]
         return rows.repartitionByRange(width(spark), *order).sortWithinPartitions(*order).select("key", "class", "digest").mapInPandas(neighbours, "da binary, db binary")
 
+    def missed(open_texts: DataFrame) -> DataFrame:
+        """Pairs (da, db) of texts of different classes that can reach the threshold: they share a leading item from which on both hold enough weight."""
+        counts = spark.sparkContext.broadcast(gathered(cell_counts(open_texts)).astype(np.int32))
+
+        def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for a in range(0, len(pdf), 100):
+                    some = pdf[a : a + 100]
+                    found = [prefix(*weigh(t, weights.value), counts.value, threshold) for t in some["text"]]
+                    n = [len(f[0]) for f in found]
+                    rows = some[["digest", "class"]].loc[some.index.repeat(n)].reset_index(drop=True)
+                    yield rows.assign(item=np.concatenate([f[0] for f in found]).view(np.int64), rest=np.concatenate([f[1] for f in found]), size=np.repeat([f[2] for f in found], n))
+
+        leads = scratch.keep(open_texts.mapInPandas(lead, "digest binary, class long, item long, rest double, size double"))
+        # Most leading items belong to one class only and go before the join.
+        several = leads.groupBy("item").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("item")
+        leads = scratch.keep(leads.join(several, "item"))
+        a, b = leads.select("item", *[F.col(c).alias(f"{c}_a") for c in ("digest", "class", "rest", "size")]), leads.select("item", *[F.col(c).alias(f"{c}_b") for c in ("digest", "class", "rest", "size")])
+        reach = F.least("rest_a", "rest_b") >= threshold / (1 + threshold) * (1 - 1e-6) * (F.col("size_a") + F.col("size_b"))
+        met = a.join(b, "item").where((F.col("digest_a") < F.col("digest_b")) & (F.col("class_a") != F.col("class_b")) & reach)
+        return met.select(F.col("digest_a").alias("da"), F.col("digest_b").alias("db")).distinct()
+
     star = shared.where("first <> digest").select(F.least("first", "digest").alias("da"), F.greatest("first", "digest").alias("db"))
     seen = told(scratch.keep(star.union(in_order(shared.withColumn("class", F.col("digest")))).distinct()))
     while True:
@@ -220,6 +258,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
         if more.where("good").isEmpty():
             break
         seen = seen.union(more)
+    # Buckets of three texts or more that still hold several classes may hold pairs that never met: these are joined exactly.
+    named = scratch.keep(named.select("key", "digest", "class"))
+    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("n > 2 and a <> b").select("key")
+    unsettled = scratch.keep(named.join(mixed, "key").groupBy("digest").agg(F.xxhash64(F.first("class")).alias("class")))
+    if not unsettled.isEmpty():
+        rest = scratch.keep(missed(held.join(unsettled.hint("merge"), "digest")).join(seen.select("da", "db"), ["da", "db"], "left_anti"))
+        if not rest.isEmpty():
+            seen = seen.union(told(rest))
+            classes = connected_components(seen.where("good").select("da", "db").toDF("a", "b"), scratch).toDF("digest", "class")
+    scratch.drop(named)
     ids = texts.select("digest", "id")
     roots = classes.join(ids, "digest").groupBy("class").agg(F.min(F.struct("id", "digest")).alias("root"))
     roots = scratch.keep(roots.select("class", F.col("root.id").alias("class_id"), F.col("root.digest").alias("root")))
