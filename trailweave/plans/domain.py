@@ -24,10 +24,10 @@ def prefixspan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def contained_support(spark: SparkSession, sf: str) -> DataFrame:
-    """Gapped support of the most frequent runs."""
+    """Gapped support of every run."""
     seqs = sequence_rows(spark, sf)
-    top = sequences.contiguous_patterns(seqs, KEY, 3).groupBy("pattern").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern").limit(50).select("pattern")
-    got = sequences.contained_support(seqs.withColumn("id", F.concat_ws("-", *KEY, "segment_index")), top, "id")
+    runs = sequences.contiguous_patterns(seqs, KEY, SequenceParams().max_length).select("pattern").distinct()
+    got = sequences.contained_support(seqs.withColumn("id", F.concat_ws("-", *KEY, "segment_index")), runs, "id")
     return got.select(F.array_join(F.transform("pattern", lambda r: r.cast("string")), "-").alias("pattern"), "support")
 
 
