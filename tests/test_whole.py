@@ -1,9 +1,7 @@
 """Queries that must do the whole of their operator's job."""
 
-from collections import Counter
-
 from trailweave.plans.domain import contained_support
-from trailweave.plans.tracks import sequence_rows
+from trailweave.plans.tracks import knn_reach, sequence_rows
 
 DIR = "/root/testdata/sf0.001"
 
@@ -19,3 +17,9 @@ def test_contained_support_takes_every_run(spark):
     want = {"-".join(map(str, p)): sum(held(s, p) for s in seqs) for p in runs}
     got = {r.pattern: r.support for r in contained_support(spark, DIR).collect()}
     assert len(runs) > 50 and got == want
+
+
+def test_neighbours_across_rows_of_points(spark):
+    """Points lie in rows 30 m apart, so neighbours in other rows are beyond 15 m."""
+    far = [r.distance_m for r in knn_reach(spark, DIR).collect()]
+    assert 30 < max(far) <= 60

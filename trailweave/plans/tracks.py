@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import second_of_day, seconds
 from ..operators import grid, profiles, sequences, spatial, tracks, trips
-from ..params import TrackFilterParams, TripParams
+from ..params import MatchParams, TrackFilterParams, TripParams
 from .base import CELL, E, SESS, events, query, rounded, sessions
 
 FILTERS = TrackFilterParams(min_points=2, min_duration_s=600, max_duration_s=36000, min_range_m=500.0, slow_speed_mps=0.05, max_slow_share=0.6, max_mean_speed_mps=0.5)
@@ -233,6 +233,21 @@ def knn_radius(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spatial.knn_within(p, p, "event_id", "event_id", 15.0, 5))
 
 
+REACH = MatchParams().radius_m
+
+
+@query(
+    f"""WITH {E}, p AS (SELECT event_id, x, y FROM e), n AS (
+      SELECT a.event_id, b.event_id AS near_event_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance_m FROM p a JOIN p b ON a.event_id <> b.event_id AND abs(a.x - b.x) <= {REACH} AND abs(a.y - b.y) <= {REACH}), r AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY distance_m, near_event_id) AS INTEGER) AS rank FROM n WHERE distance_m <= {REACH})
+    SELECT event_id, near_event_id, round(distance_m, 6) AS distance_m, rank FROM r WHERE rank <= {MatchParams().candidates}"""
+)
+def knn_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours within the reference's radius, which reaches across rows of points."""
+    p = events(spark, sf).select("event_id", "x", "y")
+    return rounded(spatial.knn_within(p, p, "event_id", "event_id", REACH, MatchParams().candidates))
+
+
 ANCHORS = [(5 * i + j, 1000.0 * i, 750.0 * j) for i in range(5) for j in range(5)]
 
 
