@@ -15,7 +15,7 @@ from .tracks import KEY, crossings, link_rows, sequence_rows
 
 @query()
 def prefixspan(spark: SparkSession, sf: str) -> DataFrame:
-    p = SequenceParams(max_length=4, support_ratio=0.02, support_floor=5)
+    p = SequenceParams(support_ratio=0.02, support_floor=5)
     seqs = sequence_rows(spark, sf)
     least = sequences.support_threshold(seqs.count(), p) or p.support_floor
     found = sequences.mine(seqs, least, p)

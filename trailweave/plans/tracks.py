@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import second_of_day, seconds
 from ..operators import grid, profiles, sequences, spatial, tracks, trips
-from ..params import MatchParams, TrackFilterParams, TripParams
+from ..params import MatchParams, SequenceParams, TrackFilterParams, TripParams
 from .base import CELL, E, SESS, events, query, rounded, sessions
 
 FILTERS = TrackFilterParams(min_points=2, min_duration_s=600, max_duration_s=36000, min_range_m=500.0, slow_speed_mps=0.05, max_slow_share=0.6, max_mean_speed_mps=0.5)
@@ -398,8 +398,8 @@ def sequence_cut(spark: SparkSession, sf: str) -> DataFrame:
     return sequence_rows(spark, sf).select(*KEY, "segment_index", F.array_join(F.transform("regions", lambda r: r.cast("string")), "-").alias("regions"), "length")
 
 
-def support_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.contiguous_patterns(sequence_rows(spark, sf), KEY, 4).groupBy("pattern").agg(F.count("*").alias("support"))
+def support_rows(spark: SparkSession, sf: str, max_length: int = 4) -> DataFrame:
+    return sequences.contiguous_patterns(sequence_rows(spark, sf), KEY, max_length).groupBy("pattern").agg(F.count("*").alias("support"))
 
 
 def text(pattern="pattern"):
@@ -420,6 +420,24 @@ def pattern_top(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RUNGS = (2, 3, 5, 10, 20, 50)
+LONGEST = SequenceParams().max_length
+LONG_SEQ, LONG_SUPPORT = [q.replace("least(4, ", f"least({LONGEST}, ") for q in (SEQ, SUPPORT)]
+
+
+@query(f"WITH {LONG_SUPPORT} SELECT array_to_string(pattern, '-') AS pattern, support FROM supp")
+def long_support(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs up to the reference's length; ``contiguous_support`` stops at 4 regions."""
+    return support_rows(spark, sf, LONGEST).select(text().alias("pattern"), "support")
+
+
+@query(f"WITH {LONG_SUPPORT} SELECT array_to_string(pattern, '-') AS pattern, support FROM supp WHERE support >= 3 ORDER BY support DESC, pattern LIMIT 40")
+def long_top(spark: SparkSession, sf: str) -> DataFrame:
+    return support_rows(spark, sf, LONGEST).where("support >= 3").orderBy(F.desc("support"), "pattern").limit(40).select(text().alias("pattern"), "support")
+
+
+@query(f"WITH {LONG_SUPPORT}, r(rung) AS (VALUES {', '.join(f'({r})' for r in RUNGS)}) SELECT CAST(rung AS BIGINT) AS rung, CAST(len(pattern) AS INTEGER) AS length, count(*) AS patterns, max(support) AS top_support FROM supp JOIN r ON support >= rung GROUP BY ALL")
+def long_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.support_scan(support_rows(spark, sf, LONGEST), RUNGS)
 
 
 @query(f"WITH {SUPPORT}, r(rung) AS (VALUES {', '.join(f'({r})' for r in RUNGS)}) SELECT CAST(rung AS BIGINT) AS rung, CAST(len(pattern) AS INTEGER) AS length, count(*) AS patterns, max(support) AS top_support FROM supp JOIN r ON support >= rung GROUP BY ALL")
@@ -427,12 +445,7 @@ def support_scan(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.support_scan(support_rows(spark, sf), RUNGS)
 
 
-@query(
-    f"""WITH {SEQ}, sc AS (SELECT CASE WHEN dayofmonth(d) % 2 = 0 THEN 'even' ELSE 'odd' END AS scope, pattern, count(*) AS support FROM runs GROUP BY ALL
-    ), j AS (SELECT a.pattern IS NOT NULL AS a, b.pattern IS NOT NULL AS b FROM (SELECT * FROM sc WHERE scope = 'even' AND support >= 2) a FULL JOIN (SELECT * FROM sc WHERE scope = 'odd' AND support >= 2) b ON a.pattern = b.pattern)
-    SELECT count(*) AS patterns, round(count(*) FILTER (WHERE a AND b) / count(*), 6) AS jaccard, round(count(*) FILTER (WHERE a AND b) / nullif(count(*) FILTER (WHERE a), 0), 6) AS covered FROM j"""
-)
-def pattern_overlap(spark: SparkSession, sf: str) -> DataFrame:
+def overlap_rows(spark: SparkSession, sf: str, max_length: int) -> DataFrame:
     from ..operators.stats import coverage, jaccard
 
     v = visit_rows(spark, sf).withColumn("gap", F.coalesce("gap", F.lit(False))).withColumnRenamed("d", "day")
@@ -440,11 +453,29 @@ def pattern_overlap(spark: SparkSession, sf: str) -> DataFrame:
     cut = v.withColumn("segment_index", F.sum(F.when(F.row_number().over(Window.partitionBy(*KEY).orderBy("event_id")) == 1, 0).otherwise(F.col("gap").cast("int"))).over(Window.partitionBy(*KEY).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     days = cut.withColumn("d", F.min("day").over(w)).select(*KEY, "segment_index", "d").distinct()
     seqs = sequences.cut_sequences(v, ["user_id"], "s", "event_id", "region", "gap").join(days, [*KEY, "segment_index"])
-    p = sequences.contiguous_patterns(seqs, [*KEY, "d"], 4).withColumn("even", F.dayofmonth("d") % 2 == 0)
+    p = sequences.contiguous_patterns(seqs, [*KEY, "d"], max_length).withColumn("even", F.dayofmonth("d") % 2 == 0)
     per = p.groupBy("pattern").agg((F.count_if("even") >= 2).alias("a"), (F.count_if(~F.col("even")) >= 2).alias("b")).where("a or b")
     return rounded(per.agg(F.count("*").alias("patterns"), jaccard(F.col("a"), F.col("b")).alias("jaccard"), coverage(F.col("a"), F.col("b")).alias("covered")))
 
 
+@query(
+    f"""WITH {SEQ}, sc AS (SELECT CASE WHEN dayofmonth(d) % 2 = 0 THEN 'even' ELSE 'odd' END AS scope, pattern, count(*) AS support FROM runs GROUP BY ALL
+    ), j AS (SELECT a.pattern IS NOT NULL AS a, b.pattern IS NOT NULL AS b FROM (SELECT * FROM sc WHERE scope = 'even' AND support >= 2) a FULL JOIN (SELECT * FROM sc WHERE scope = 'odd' AND support >= 2) b ON a.pattern = b.pattern)
+    SELECT count(*) AS patterns, round(count(*) FILTER (WHERE a AND b) / count(*), 6) AS jaccard, round(count(*) FILTER (WHERE a AND b) / nullif(count(*) FILTER (WHERE a), 0), 6) AS covered FROM j"""
+)
+def pattern_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap_rows(spark, sf, 4)
+
+
+@query(
+    f"""WITH {LONG_SEQ}, sc AS (SELECT CASE WHEN dayofmonth(d) % 2 = 0 THEN 'even' ELSE 'odd' END AS scope, pattern, count(*) AS support FROM runs GROUP BY ALL
+    ), j AS (SELECT a.pattern IS NOT NULL AS a, b.pattern IS NOT NULL AS b FROM (SELECT * FROM sc WHERE scope = 'even' AND support >= 2) a FULL JOIN (SELECT * FROM sc WHERE scope = 'odd' AND support >= 2) b ON a.pattern = b.pattern)
+    SELECT count(*) AS patterns, round(count(*) FILTER (WHERE a AND b) / count(*), 6) AS jaccard, round(count(*) FILTER (WHERE a AND b) / nullif(count(*) FILTER (WHERE a), 0), 6) AS covered FROM j"""
+)
+def long_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap_rows(spark, sf, LONGEST)
+
+
 @query(
     f"""WITH {SESS}, n AS (SELECT *, CAST(floor(x / {CELL}) AS INTEGER) AS c, lag(CAST(floor(x / {CELL}) AS INTEGER)) OVER w AS pc, row_number() OVER w AS rn FROM sess WINDOW w AS (PARTITION BY user_id, s ORDER BY event_id)
     ), i AS (SELECT *, sum(CASE WHEN rn = 1 THEN 1 WHEN pc = c THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, s ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 1 AS run_index FROM n
