@@ -1,6 +1,8 @@
 import pytest
 
-from trailweave.llm.urls import OP4_SQL, judge
+from pyspark.sql import functions as F
+
+from trailweave.llm.urls import OP4_SQL, absolute, judge
 
 SCHEMA = "page_id long, url string, html string, host int, best string"
 
@@ -52,3 +54,16 @@ def test_redirect_table_long_chain_and_empty(spark):
     pages = spark.createDataFrame([page(i, f"http://h{i}.net/") for i in (0, 30, 60)] + [page(99, "http://free.net/")], SCHEMA)
     assert {r.page_id: r.verdict for r in judge(pages, links=chain).collect()} == {0: "block", 30: "block", 60: "block", 99: "allow"}
     assert judge(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_relative_targets(spark):
+    from urllib.parse import urljoin
+
+    refresh = "<meta http-equiv=refresh content='0;url=%s'>"
+    pages = [page(1, "http://n.net/a", refresh % "//b.com/de/1"), page(2, "http://q.com/x/y", "<link rel=canonical href='/de/1'>"), page(3, "http://r.com/de/y", ""), page(4, "http://r.com/x/y", "<link rel=canonical href='../de/y'>")]
+    got = {r.page_id: (r.verdict, r.by) for r in judge(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "rule"), 4: ("block", "alias")}
+    bases = ["http://a.net/x/y?q=1", "https://a.net/x/", "http://a.net/x/y/z"]
+    pairs = [(b, t) for b in bases for t in ("//b.com/d", "/d/e", "d.html", "./d", "../d", "../../d", "../../../d", "d/../e/", "?p=2", "http://c.org/z", "..", ".", "/a/./b/../c?u=//v")]
+    rows = spark.createDataFrame(pairs, "base string, to string").select("base", "to", absolute(F.col("to"), F.col("base")).alias("at")).collect()
+    assert [(r.base, r.to, r["at"]) for r in rows] == [(b, t, urljoin(b, t)) for b, t in pairs]

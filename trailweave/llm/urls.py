@@ -39,6 +39,31 @@ def alias_of(url: Column) -> Column:
     return F.concat(host_of(url), path_of(url), query)
 
 
+def absolute(target: Column, base: Column) -> Column:
+    """A link's target resolved against the page's address (RFC 3986): with a scheme, from ``//``, from ``/``, a query, a fragment, or relative to the page's folder, dot segments removed. Null for an empty target and schemes without ``://``."""
+    scheme = F.regexp_extract(base, r"(?s)\A(.*?)://", 1)
+    site = F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    own = F.regexp_extract(target, r"(?s)\A([^?#]*)", 1)
+    tail = F.regexp_extract(target, r"(?s)\A[^?#]*(.*)", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)\A(.*/)", 1)), own))
+    # Segments of the path after its first slash; ".." takes the one before, and a last dot segment leaves a slash.
+    parts = F.split(F.substring(joined, 2, 1 << 30), "/", -1)
+    kept = F.aggregate(F.slice(parts, 1, F.size(parts)), F.array().cast("array<string>"), lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p == ".", done).otherwise(F.concat(done, F.array(p))))
+    closed = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), closed)
+    query = F.when(tail.startswith("?"), "").otherwise(F.regexp_extract(base, r"(?s)\A[^#?]*(\?[^#]*)", 1))
+    here = F.concat(site, path, query, tail)
+    return (
+        F.when(target == "", None)
+        .when(target.rlike(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(own == "", here)
+        .otherwise(F.concat(site, clean, tail))
+    )
+
+
 def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, null if none does. Equal lengths: allow first, then the smaller rule."""
     order = sorted(set(rules), key=lambda r: (-len(r[1] + r[2]), r[0], r[1] + r[2]))
@@ -50,14 +75,15 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Alias pairs (a, b) that redirects (meta refresh) and canonical links of the pages declare. Only absolute targets count."""
+    """Alias pairs (a, b) that redirects (meta refresh) and canonical links of the pages declare, targets resolved against the page's url."""
     html = F.col("html")
     tag = F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag")
-    tags = pages.where(F.col("url").isNotNull() & html.isNotNull() & html.rlike(r"(?i)canonical|refresh")).select(alias_of(F.col("url")).alias("a"), tag)
+    tags = pages.where(F.col("url").contains("://") & html.isNotNull() & html.rlike(r"(?i)canonical|refresh")).select("url", tag)
     href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
     refresh = F.regexp_extract("tag", r"(?is)\bcontent\s*=\s*[\"']?\s*[\d.]*\s*;?\s*url\s*=\s*[\"']?([^\"'>\s]+)", 1)
     target = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?\s*canonical\b"), href).when(F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"), refresh)
-    return tags.select("a", target.alias("to")).where(F.col("to").contains("://")).select("a", alias_of(F.col("to")).alias("b"))
+    links = tags.select("url", target.alias("to")).where("to is not null").select("url", absolute(F.col("to"), F.col("url")).alias("to"))
+    return links.where("to is not null").select(alias_of(F.col("url")).alias("a"), alias_of(F.col("to")).alias("b"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, links: DataFrame | None = None, default: str = "allow") -> DataFrame:
