@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailweave.llm.suffixes import remove_repeats
 
@@ -54,3 +55,36 @@ def test_empty_table_and_text_out(spark):
     out = {r.doc_id: r for r in remove_repeats(df, text_out=True).collect()}
     assert (out[1].text, out[1].bytes, out[1]["from"]) == ("tail", "x", 3)
     assert (out[2].text, out[3].text, out[3].n_bytes) == ("é", None, 0)
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_null_ids_and_texts_that_collide_in_polynomial_hashes(spark):
+    rng = random.Random(9)
+    texts = [thue_morse(1 << 12, "a", "b"), thue_morse(1 << 12, "b", "a"), "x" + thue_morse(1 << 11, "ab", "ba") + "y", "x" + thue_morse(1 << 11, "ba", "ab") + "z"]
+    filler = ["".join(rng.choice("abcdefgh ") for _ in range(384)) for _ in range(300)]
+    texts += filler
+    got = Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(spark.createDataFrame([(None, t, "x", 1) for t in texts], SCHEMA)).collect())
+    assert got == Counter(brute(texts, 200))
+    # Two texts of 200 bytes and more with the same 32-bit hash, which are found among 160,000.
+    some = spark.range(160000).select(F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2(F.concat(F.lit("a"), F.col("id")), 512)).alias("m"))
+    same = [m for r in some.groupBy(F.hash("m")).agg(F.collect_list("m").alias("l")).where("size(l) > 1").collect() for m in r["l"]]
+    assert len(same) >= 2
+    assert all(r.n_removed == 0 for r in remove_repeats(spark.createDataFrame([(None, m, "x", 1) for m in same], SCHEMA)).collect())
+
+
+def test_key_takes_another_salt_when_rows_clash(spark, monkeypatch):
+    from trailweave.llm import spans
+
+    true, asked = F.xxhash64, []
+
+    def narrow(salt, *rest):
+        asked.append(salt)
+        return true(salt, *rest) % (3 if len(asked) == 1 else 1 << 40)
+
+    monkeypatch.setattr(spans.F, "xxhash64", narrow)
+    rows = [(None, f"{i}", "x", 1) for i in range(50)] + [(None, "7", "y", 2), (1, None, "", 0), (1, "", "", 0)]
+    keys = spans.keyed(spark.createDataFrame(rows, SCHEMA), []).select("key", "doc_id", "text").collect()
+    assert len(asked) == 2 and len({r.key for r in keys}) == 51

@@ -2,11 +2,15 @@
 
 A polynomial hash in 64-bit wrap-around arithmetic with an odd radix: prefix
 sums give the hash of any substring in constant time, whatever its length.
-Byte values go through a random table first and sums through a finaliser.
+Byte values go through a random table first and sums through a finaliser. Texts
+of the Thue-Morse kind collide for every odd radix, so this hash only ever picks
+candidates; what is removed is decided by ``digests``.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U64 = np.uint64
@@ -51,16 +55,6 @@ class Rolling:
         np.cumsum(self.byte[data] * self.pow[: len(data)], out=out[1:])
         return out
 
-    def each(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int = 1 << 20) -> np.ndarray:
-        """Hash of data[start:end] for sorted bounds that do not overlap, over about ``size`` bytes at a time."""
-        out, i = [], 0
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(end, start[i] + size, side="right")))
-            base = start[i]
-            out.append(self.span(self.prefix(data[base : end[j - 1]]), start[i:j] - base, end[i:j] - base))
-            i = j
-        return np.concatenate(out) if out else np.zeros(0, U64)
-
     def span(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end] for arrays of bounds."""
         return mix((prefix[end] - prefix[start]) * self.inv[start] + np.asarray(end - start).astype(U64))
@@ -71,6 +65,13 @@ class Rolling:
         return mix((prefix[q:] - prefix[:n]) * self.inv[:n] + U64(q))
 
 
+def digests(data: np.ndarray | bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests of 128 bits of each data[start:end], as two signed 64-bit numbers."""
+    view = memoryview(data)
+    each = [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(each), np.int64).reshape(-1, 2)
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w neighbours, by prefix and suffix minima of blocks of w."""
     n = len(x)
@@ -89,6 +90,8 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[b for b in range(128) if not (chr(b).isalnum() or b == 39)]] = True
 
 _WORDS = Rolling(71)
+#: Bytes from which on a word is hashed by its digest; shorter ones are too short to collide by their structure.
+LONG_WORD = 64
 
 
 def parts(text: str, size: int = 1 << 20):
@@ -114,7 +117,11 @@ def word_hashes(text: str) -> np.ndarray:
             inside = np.zeros(len(data) + 2, np.int8)
             inside[1:-1] = ~_SEPARATOR[data]
             edge = np.flatnonzero(np.diff(inside))
-            out.append(_WORDS.span(_WORDS.prefix(data), edge[::2], edge[1::2]))
+            first, last = edge[::2], edge[1::2]
+            h = _WORDS.span(_WORDS.prefix(data), first, last)
+            if len(long := np.flatnonzero(last - first >= LONG_WORD)):
+                h[long] = digests(data, first[long], last[long])[:, 0].view(U64)
+            out.append(h)
     return np.concatenate(out) if len(out) > 1 else out[0] if out else np.zeros(0, U64)
 
 

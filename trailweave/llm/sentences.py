@@ -3,8 +3,9 @@
 From every sentence on, the shortest run of at least two sentences with at least
 20 words is hashed. A sentence of 20 words or more counts as several: it is cut
 after every tenth word, so that it makes runs of its own parts too. All runs of all documents meet by hash; of equal runs
-the one with the smallest (doc_id, place) is the first, and every sentence under
-another one goes. A hash of 64 bits finds candidates, 128 bits decide.
+the one with the smallest (doc_id, row, place) is the first, and every sentence under
+another one goes. Runs are equal by BLAKE2b digests of 128 bits of the digests of
+their sentences.
 """
 
 from __future__ import annotations
@@ -16,16 +17,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import Rolling, mix
-from .scratch import Scratch, table
-from .spans import cut_out, keyed, others
+from .hashing import digests
+from .scratch import Scratch, adopt, table
+from .spans import cut_out, named, others
 
 _END = np.zeros(256, bool)
 _END[[10, 33, 46, 63]] = True  # line feed, exclamation mark, full stop, question mark
+#: End marks beyond ASCII: ideographic full stop, full-width exclamation and question marks, danda, Arabic question mark.
+MARKS = [m.encode() for m in "\u3002\uff01\uff1f\u0964\u061f"]
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of a text that are looked at together.
+PIECE = 1 << 20
 
-_ONE, _TWO = Rolling(404), Rolling(505)
+
+def end_bytes(data: np.ndarray) -> np.ndarray:
+    """Bytes of marks that end a sentence."""
+    end = _END[data]
+    if (data >= 0xD8).any():
+        for mark in MARKS:
+            n = len(mark)
+            hit = np.ones(max(0, len(data) - n + 1), bool)
+            for i, b in enumerate(mark):
+                hit &= data[i : len(data) - n + 1 + i] == b
+            for i in range(n):
+                end[i : len(data) - n + 1 + i] |= hit
+    return end
+
+
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """First bytes of words: what stands between blanks; each character from U+3000 to U+9FFF, which are written without blanks, is a word."""
+    solid = ~_BLANK[data]
+    opens = solid.copy()
+    opens[1:] &= ~solid[:-1]
+    lead = (data >= 0xE3) & (data <= 0xE9)
+    if lead.any():
+        own = lead.copy()
+        own[1:] |= lead[:-1]
+        own[2:] |= lead[:-2]
+        opens[1:] |= solid[1:] & ~own[1:] & own[:-1]
+        opens |= lead
+    return opens
 
 
 def cut_long(start: np.ndarray, opens: np.ndarray, words: int) -> np.ndarray:
@@ -38,10 +70,9 @@ def cut_long(start: np.ndarray, opens: np.ndarray, words: int) -> np.ndarray:
 
 def sentences(data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, first byte that is no blank, end after the last such byte, words) of each sentence or part of a long one; they cover the text, and sentences end after their marks."""
-    end = _END[data]
+    end = end_bytes(data)
     start = np.concatenate([[0], np.flatnonzero(end[:-1] & ~end[1:]) + 1])
-    opens = ~_BLANK[data]
-    opens[1:] &= _BLANK[data[:-1]]
+    opens = word_starts(data)
     opens[start] = ~_BLANK[data[start]]
     start = cut_long(start, np.flatnonzero(opens), words)
     solid = np.flatnonzero(~_BLANK[data])
@@ -54,49 +85,61 @@ def sentences(data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.
     return start, first, np.maximum(first, last), total[stop] - total[start]
 
 
-def find_spans(data: np.ndarray, least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, second hash, first byte, byte after) of the run that begins at each sentence, where there are enough sentences left. Sentences without a word are passed over."""
-    none = np.zeros(0, np.uint64)
-    if not len(data):
-        return none, none, none.astype(np.int64), none.astype(np.int64)
-    start, first, last, n = sentences(data, words)
-    stop = np.append(start[1:], len(data))
-    real = n > 0
-    start, first, last, stop, n = (x[real] for x in (start, first, last, stop, n))
+def pieces(raw: bytes, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of about ``size`` bytes that end after a line feed with no end mark behind it; a piece without such a line feed goes on."""
+    base = 0
+    while len(raw) - base > size:
+        at = raw.find(b"\n", base + size)
+        while 0 <= at < len(raw) - 1 and (_END[raw[at + 1]] or raw[at + 1] >= 0xD8):
+            at = raw.find(b"\n", at + 1)
+        if at < 0:
+            break
+        yield base, at + 1
+        base = at + 1
+    if base < len(raw):
+        yield base, len(raw)
+
+
+def find_spans(raw: bytes, least: int, words: int, size: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first byte, byte after) of the run that begins at each sentence, where there are enough sentences left. Sentences without a word are passed over. Besides numbers by sentence, memory follows the pieces of the text."""
+    parts = []
+    for a, b in pieces(raw, size):
+        data = np.frombuffer(raw, np.uint8, b - a, a)
+        start, first, last, n = sentences(data, words)
+        stop = np.append(start[1:], len(data))
+        real = n > 0
+        parts.append((a + start[real], a + stop[real], n[real], digests(data, first[real], last[real])))
+    if not parts:
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start, stop, n, each = (np.concatenate(x) for x in zip(*parts, strict=True))
     total = np.concatenate([[0], np.cumsum(n)])
     i = np.arange(len(n))
     j = np.maximum(np.searchsorted(total, total[:-1] + words), i + least)
     i, j = i[j <= len(n)], j[j <= len(n)]
-    out = []
-    for kind in (_ONE, _TWO):
-        each = kind.each(data, first, last)
-        kind._grow(len(each) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * kind.pow[: len(each)])])
-        out.append(mix((sums[j] - sums[i]) * kind.inv[i] + (j - i).astype(np.uint64)))
-    return out[0], out[1], start[i], stop[j - 1]
+    return digests(each.tobytes(), 16 * i, 16 * j), start[i], stop[j - 1]
 
 
 def repeated_spans(docs: DataFrame, least: int, words: int) -> DataFrame:
-    """For each document (k1, k2) with runs that are not the first of their kind the arrays of their byte bounds: from, till."""
+    """For each document (key, first_by: its doc_id, text) with runs that are not the first of their kind the arrays of their byte bounds: key, from, till."""
     scratch = Scratch(docs.sparkSession, "sentences")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 500):
                 some = pdf.iloc[a : a + 500]
-                found = [find_spans(np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8), least, words) for t in some["text"]]
+                found = [find_spans((t or "").encode("utf-8", "surrogatepass"), least, words) for t in some["text"]]
                 sizes = [len(f[0]) for f in found]
-                h1, h2, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"h1": h1.view(np.int64), "h2": h2.view(np.int64), "k1": np.repeat(some["k1"].to_numpy(), sizes), "k2": np.repeat(some["k2"].to_numpy(), sizes), "place": start.astype(np.int64) << 32 | (stop - start).astype(np.int64)})
+                h, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pd.DataFrame({"h1": h[:, 0], "h2": h[:, 1], "first_by": np.repeat(some["first_by"].to_numpy(), sizes), "key": np.repeat(some["key"].to_numpy(), sizes), "place": start.astype(np.int64) << 32 | (stop - start).astype(np.int64)})
 
-    spans = scratch.keep(docs.mapInPandas(run, "h1 long, h2 long, k1 long, k2 int, place long"))
+    spans = scratch.keep(docs.mapInPandas(run, "h1 long, h2 long, first_by long, key long, place long"))
     twice = scratch.keep(spans.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
     met = scratch.keep(spans.join(twice, "h1"))
     scratch.drop(spans, twice)
-    firsts = scratch.keep(met.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("first")).where("n > 1").drop("n"))
-    later = met.join(firsts, ["h1", "h2"]).where(F.struct("k1", "k2", "place") != F.col("first"))
+    firsts = scratch.keep(met.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("first_by", "key", "place")).alias("first")).where("n > 1").drop("n"))
+    later = met.join(firsts, ["h1", "h2"]).where(F.struct("first_by", "key", "place") != F.col("first"))
     start = F.shiftright("place", 32)
-    bounds = scratch.keep(later.groupBy("k1", "k2").agg(F.collect_list(start).alias("from"), F.collect_list(start + F.col("place").bitwiseAND(F.lit((1 << 32) - 1))).alias("till")))
+    bounds = scratch.keep(later.groupBy("key").agg(F.collect_list(start).alias("from"), F.collect_list(start + F.col("place").bitwiseAND(F.lit((1 << 32) - 1))).alias("till")))
     scratch.drop(met, firsts)
     return bounds
 
@@ -105,17 +148,21 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 20, text_out: b
     """Every document without the sentences under a repeated run that is not the first of its kind.
 
     Sentences end after line feeds and after full stops, exclamation and question
-    marks, and a long one is cut after every ``words`` / 2 words; blanks around
-    them make no difference. A null text counts as empty; a
-    null doc_id sorts before all others. Rows equal in doc_id and text cannot be
-    told apart and are treated alike: as one document. Texts with too few
-    sentences or words and empty tables pass unchanged. Returns doc_id, n_bytes,
+    marks (also ideographic, Devanagari and Arabic ones), and a long one is cut
+    after every ``words`` / 2 words; blanks around them make no difference.
+    Characters from U+3000 to U+9FFF are words of their own. A null text counts
+    as empty; a null doc_id sorts before all others. Every row is a document of
+    its own, also of rows that repeat: the table is written once with numbers of
+    its rows, which settle ties of doc_id. Texts with too few sentences or words
+    and empty tables pass unchanged. Returns doc_id, n_bytes,
     n_removed, n_spans, kept_sha256; with ``text_out`` also the text that is left
     and all other columns of ``docs`` (those named like a result are replaced).
     """
+    docs = adopt(docs)
     rest = others(docs, text_out)
-    frame = keyed(docs, rest)
-    return cut_out(frame, repeated_spans(frame.select("k1", "k2", "text"), least, words), rest, text_out)
+    frame = Scratch(docs.sparkSession, "rows").keep(named(docs, rest).select(F.monotonically_increasing_id().alias("key"), "*"))
+    first_by = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("first_by")
+    return cut_out(frame, repeated_spans(frame.select("key", first_by, "text"), least, words), rest, text_out)
 
 
 def op2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,14 +173,14 @@ OP2_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
 ), a AS (
-  SELECT k, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS i FROM (SELECT k, regexp_extract_all(t, '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS x FROM d)
+  SELECT k, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS i FROM (SELECT k, regexp_extract_all(t, '[^.!?\n。！？।؟]+[.!?\n。！？।؟]*|[.!?\n。！？।؟]+') AS x FROM d)
 ), b AS (
-  SELECT k, i, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS j FROM (SELECT k, i, CASE WHEN len(regexp_extract_all(s, '[^ \t\r\n\x0b\x0c]+')) >= 20 THEN regexp_extract_all(s, '[ \t\r\n\x0b\x0c]*(?:[^ \t\r\n\x0b\x0c]+[ \t\r\n\x0b\x0c]*){1,10}') ELSE [s] END AS x FROM a)
+  SELECT k, i, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS j FROM (SELECT k, i, CASE WHEN len(regexp_extract_all(s, '[\x{3000}-\x{9FFF}]|[^ \t\r\n\x0b\x0c\x{3000}-\x{9FFF}]+')) >= 20 THEN regexp_extract_all(s, '[ \t\r\n\x0b\x0c]*(?:(?:[\x{3000}-\x{9FFF}]|[^ \t\r\n\x0b\x0c\x{3000}-\x{9FFF}]+)[ \t\r\n\x0b\x0c]*){1,10}') ELSE [s] END AS x FROM a)
 ), p AS (
   SELECT k, row_number() OVER (PARTITION BY k ORDER BY i, j) AS n, s FROM b
 ), c AS (
   SELECT *, row_number() OVER w AS m, sum(words) OVER (w ROWS UNBOUNDED PRECEDING) AS total
-  FROM (SELECT k, n, trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, len(regexp_extract_all(s, '[^ \t\r\n\x0b\x0c]+')) AS words FROM p) WHERE words > 0 WINDOW w AS (PARTITION BY k ORDER BY n)
+  FROM (SELECT k, n, trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, len(regexp_extract_all(s, '[\x{3000}-\x{9FFF}]|[^ \t\r\n\x0b\x0c\x{3000}-\x{9FFF}]+')) AS words FROM p) WHERE words > 0 WINDOW w AS (PARTITION BY k ORDER BY n)
 ), runs AS (
   SELECT x.k, x.m, min(y.m) AS e FROM c x JOIN c y ON x.k = y.k AND y.m > x.m AND y.m <= x.m + 20 AND y.total - x.total + x.words >= 20 GROUP BY x.k, x.m
 ), keys AS (

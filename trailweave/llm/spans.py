@@ -21,9 +21,23 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
 
 
+def named(docs: DataFrame, rest: list[str]) -> DataFrame:
+    """doc_id, text, and the other columns as c0, c1, ..."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+
+
 def keyed(docs: DataFrame, rest: list[str]) -> DataFrame:
-    """k1 and k2, which tell documents apart by id and text, doc_id, text, and the other columns as c0, c1, ..."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.hash("text").alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    """``named`` columns and ``key``: 64 bits of the id and the SHA-256 of the text. Only rows equal in both share a key: another salt is taken until no two others do."""
+    frame = named(docs, rest)
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    salt = 0
+    while True:
+        key = F.xxhash64(F.lit(salt), "doc_id", sha).alias("key")
+        row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", sha.alias("sha"))
+        clash = frame.select(key, row.alias("row")).groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b")
+        if clash.isEmpty():
+            return frame.select(key, *frame.columns)
+        salt += 1
 
 
 def others(docs: DataFrame, text_out: bool) -> list[str]:
@@ -31,8 +45,8 @@ def others(docs: DataFrame, text_out: bool) -> list[str]:
 
 
 def cut_out(frame: DataFrame, spans: DataFrame, rest: list[str], text_out: bool) -> DataFrame:
-    """Texts of a ``keyed`` frame without the spans (k1, k2, from, till: arrays of half-open byte bounds), with sizes and a digest of what is kept."""
-    joined = frame.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
+    """Texts of a frame without the spans (key, from, till: arrays of half-open byte bounds), with sizes and a digest of what is kept."""
+    joined = frame.join(spans, "key", "left").drop("key")
     kinds = dict(joined.dtypes)
     names = ["doc_id", *MADE, *(["text"] if text_out else []), *[f"c{i}" for i in range(len(rest))]]
     own = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "text": "string"}

@@ -1,19 +1,24 @@
-"""Repeated byte strings by a depth-limited radix sort of suffixes.
-
-Only suffixes that can be equal through ``width`` bytes matter, so the sort
-stops at that depth: passes from the most significant digit on put suffixes
-into groups by more and more of their leading string, a group of one leaves at
-once, and after the last pass equal groups are the repeated windows.
-
-Digit 1 is sampled by content instead of sorted for each suffix: the smallest
-hash among the 64-byte strings of a window is the window's anchor, and
-neighbouring windows with the same anchor form a run. Equal windows have equal
-anchors, so a run whose anchor's string is found once is done. Digit 2 is the
-whole string under a run: equal runs are repeated in full. What is left, and one
-of each group of equal runs with the same anchor, goes on with its bytes.
-Digit 3 is the 185 bytes that 16 neighbouring windows share, with the whole
-string under all 16 settled first in the same way; digit 4 is the window itself. Hashes of 64 bits only ever keep a candidate; whole runs are compared
-within an anchor's group by 64 bits more, and windows by 128 bits.
+"""Repeated byte strings: suffixes ordered only through ``width`` bytes.
+
+A sort of every suffix by its leading digits writes a row of 16 bytes for each
+byte of text in its first pass alone, 16 times the input, which no disk budget
+of a few times the input holds. So the passes here are no plain radix sort by
+leading bytes; they refine groups of suffixes by more and more of their string,
+and a group of one leaves at once:
+
+1. The smallest hash among the 64-byte strings of a window is the window's
+   anchor, and neighbouring windows with the same anchor form a run. Equal
+   windows have equal anchors, so a run whose anchor's string is found once is
+   done, and a fiftieth of the suffixes takes part.
+2. The whole string under a run: equal runs are repeated in full. What is left,
+   and one of each group of equal runs with the same anchor, goes on.
+3. The 185 bytes that 16 neighbouring windows share, with the whole string
+   under all 16 settled first as in pass 2.
+4. The window itself.
+
+After the last pass equal groups are exactly the repeated windows. Rolling
+hashes of 64 bits only ever keep a candidate; runs, stretches and windows count
+as equal by their BLAKE2b digests of 128 bits.
 """
 
 from __future__ import annotations
@@ -25,15 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import Rolling, sliding_min
-from .scratch import Scratch, table
+from .hashing import Rolling, digests, sliding_min
+from .scratch import Scratch, adopt, table
 from .spans import cut_out, keyed, others
 
 #: Bytes of an anchor's string, windows of one third digit, and starts handled at once.
 GRAM, STRIDE, CHUNK = 64, 16, 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 
-_ANCHOR, _FIRST, _SECOND = Rolling(101), Rolling(202), Rolling(303)
+_ANCHOR, _CORE = Rolling(101), Rolling(202)
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -41,7 +46,7 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def find_runs(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with a common anchor: (hash of the anchor's string, hash of the run's string, first start, number of starts, anchor minus first start)."""
+    """Runs of windows with a common anchor: (hash of the anchor's string, digest of the run's string, first start, number of starts, anchor minus first start)."""
     parts: list[tuple[np.ndarray, ...]] = []
     for base in range(0, max(0, len(data) - width + 1), CHUNK):
         piece = data[base : base + CHUNK + width - 1]
@@ -51,10 +56,10 @@ def find_runs(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         n = np.diff(np.append(first, len(anchor)))
         at = anchor[first]
-        parts.append((grams[at], _FIRST.span(_FIRST.prefix(piece), first, first + n + (width - 1)), base + first, n, at - first))
+        parts.append((grams[at], digests(piece, first, first + n + (width - 1)), base + first, n, at - first))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.reshape(0, 2), none, none, none
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -66,7 +71,7 @@ def _runs(width: int):
                 found = [find_runs(_bytes(t), width) for t in some["text"]]
                 sizes = [len(f[0]) for f in found]
                 anchor, string, start, n, back = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"anchor": anchor.view(np.int64), "string": string.view(np.int64), "k1": np.repeat(some["k1"].to_numpy(), sizes), "k2": np.repeat(some["k2"].to_numpy(), sizes), "place": start << 20 | (n - 1) << 10 | back})
+                yield pd.DataFrame({"anchor": anchor.view(np.int64), "s1": string[:, 0], "s2": string[:, 1], "key": np.repeat(some["key"].to_numpy(), sizes), "place": start << 20 | (n - 1) << 10 | back})
 
     return run
 
@@ -85,54 +90,58 @@ def _fetch(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k1, k2, text, places in zip(pdf["k1"], pdf["k2"], pdf["text"], pdf["places"], strict=True):
+            for key, text, places in zip(pdf["key"].tolist(), pdf["text"], pdf["places"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for p in np.asarray(places).tolist():
                     s, n = p >> 20, (p >> 10 & 1023) + 1
-                    rows.append((k1, k2, p, raw[s : s + n - 1 + width]))
+                    rows.append((key, p, raw[s : s + n - 1 + width]))
                 if len(rows) > 20000:
-                    yield pd.DataFrame(rows, columns=["k1", "k2", "place", "bytes"])
+                    yield pd.DataFrame(rows, columns=["key", "place", "bytes"])
                     rows = []
-            yield pd.DataFrame(rows, columns=["k1", "k2", "place", "bytes"])
+            yield pd.DataFrame(rows, columns=["key", "place", "bytes"])
 
     return run
 
 
 def _cores(width: int):
-    """Third digit: for each stretch of STRIDE offsets from the anchor, the hash of what its windows share, and of all bytes under them where the run holds the whole stretch."""
+    """Third pass: for each stretch of STRIDE offsets from the anchor, the hash of what its windows share, and the digest of all bytes under them where the run holds the whole stretch (else both halves are null)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            core, full, key, digit = [], [], [], []
+            core, full, whole, key, digit = [], [], [], [], []
             for tkey, place, raw in zip(pdf["tkey"].tolist(), pdf["place"].tolist(), pdf["bytes"], strict=True):
                 n, back = (place >> 10 & 1023) + 1, place & 1023
                 js = np.arange((back - n + 1) // STRIDE, back // STRIDE + 1)
                 low, high = back - STRIDE * js, back - STRIDE * js - (STRIDE - 1) + width
-                data = np.frombuffer(raw, np.uint8)
-                core.append(_FIRST.span(_FIRST.prefix(data), low, high) ^ js.astype(np.uint64))
+                core.append(_CORE.span(_CORE.prefix(np.frombuffer(raw, np.uint8)), low, high) ^ js.astype(np.uint64))
                 inside = (STRIDE * js >= back - n + 1) & (STRIDE * js + STRIDE - 1 <= back)
-                ends = _SECOND.prefix(data)
-                full.append(np.where(inside, _SECOND.span(ends, np.maximum(low - STRIDE + 1, 0), np.minimum(low + width, len(data))) | np.uint64(1), np.uint64(0)))
+                found = np.zeros((len(js), 2), np.int64)
+                found[inside] = digests(raw, low[inside] - (STRIDE - 1), low[inside] + width)
+                full.append(found)
+                whole.append(inside)
                 key.append(np.full(len(js), tkey))
                 digit.append(js)
             if core:
-                yield pd.DataFrame({"core": np.concatenate(core).view(np.int64), "full": np.concatenate(full).view(np.int64), "tkey": np.concatenate(key), "digit": np.concatenate(digit).astype(np.int32)})
+                both, some = np.concatenate(full), np.concatenate(whole)
+                halves = [pd.array(both[:, i], "Int64") for i in (0, 1)]
+                for h in halves:
+                    h[~some] = pd.NA
+                yield pd.DataFrame({"core": np.concatenate(core).view(np.int64), "f1": halves[0], "f2": halves[1], "tkey": np.concatenate(key), "digit": np.concatenate(digit).astype(np.int32)})
 
     return run
 
 
 def _windows(width: int):
-    """Fourth digit: the windows of the stretches that were met again."""
+    """Fourth pass: the windows of the stretches that were met again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k1, k2, place, raw, digits in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["place"].tolist(), pdf["bytes"], pdf["digits"], strict=True):
+            for key, place, raw, digits in zip(pdf["key"].tolist(), pdf["place"].tolist(), pdf["bytes"], pdf["digits"], strict=True):
                 s, n, back = place >> 20, (place >> 10 & 1023) + 1, place & 1023
                 starts = np.arange(n)
                 starts = starts[np.isin((back - starts) // STRIDE, np.asarray(digits))]
-                data = np.frombuffer(raw, np.uint8)
-                out.append((_FIRST.span(_FIRST.prefix(data), starts, starts + width), _SECOND.span(_SECOND.prefix(data), starts, starts + width), np.full(len(starts), k1), np.full(len(starts), k2), s + starts))
+                out.append((digests(raw, starts, starts + width), np.full(len(starts), key), s + starts))
                 if len(out) >= 5000:
                     yield _frame(out)
                     out = []
@@ -140,46 +149,50 @@ def _windows(width: int):
                 yield _frame(out)
 
     def _frame(out: list) -> pd.DataFrame:
-        a, b, k1, k2, start = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"w1": a.view(np.int64), "w2": b.view(np.int64), "k1": k1, "k2": k2.astype(np.int32), "start": start})
+        window, key, start = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"w1": window[:, 0], "w2": window[:, 1], "key": key, "start": start})
 
     return run
 
 
 def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
-    """For each document (k1, k2) with repeated windows the arrays of their half-open byte spans: from, till.
+    """For each document (key) with repeated windows the arrays of their half-open byte spans: from, till.
 
-    ``docs`` holds k1, k2 and text; rows equal in k1 and k2 count as copies of one document.
+    ``docs`` holds key and text; rows of one key count as copies of one document.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    runs = scratch.keep(docs.where(F.octet_length("text") >= width).mapInPandas(_runs(width), "anchor long, string long, k1 long, k2 int, place long"))
+    runs = scratch.keep(docs.where(F.octet_length("text") >= width).mapInPandas(_runs(width), "anchor long, s1 long, s2 long, key long, place long"))
     anchors = scratch.keep(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     met = scratch.keep(runs.join(anchors, "anchor"))
     scratch.drop(runs, anchors)
-    groups = scratch.keep(met.groupBy("anchor", "string").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one")))
-    whole = met.join(groups.where("n > 1").select("anchor", "string"), ["anchor", "string"]).select("k1", "k2", _start(F.col("place")).alias("from"), (_start(F.col("place")) + _count(F.col("place")) + (width - 1)).alias("till"))
+    string = ["anchor", "s1", "s2"]
+    groups = scratch.keep(met.groupBy(*string).agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")))
+    whole = met.join(groups.where("n > 1").select(*string), string).select("key", _start(F.col("place")).alias("from"), (_start(F.col("place")) + _count(F.col("place")) + (width - 1)).alias("till"))
     lone = scratch.keep(groups.where("n = 1").select("anchor").distinct())
     test = groups.where("n = 1").union(groups.where("n > 1").join(lone, "anchor", "left_semi").select(*groups.columns)).select("one.*")
-    lists = test.groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
-    held = scratch.keep(docs.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInPandas(_fetch(width), "k1 long, k2 int, place long, bytes binary").withColumn("tkey", F.monotonically_increasing_id()))
-    cores = scratch.keep(held.select("tkey", "place", "bytes").mapInPandas(_cores(width), "core long, full long, tkey long, digit int"))
-    settled = (F.col("full") != 0) & (F.col("n") > 1)
-    stretches = scratch.keep(cores.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "digit")).alias("one")).withColumn("settled", settled))
+    lists = test.groupBy("key").agg(F.collect_list("place").alias("places"))
+    held = scratch.keep(docs.join(lists, "key").select("key", "text", "places").mapInPandas(_fetch(width), "key long, place long, bytes binary").withColumn("tkey", F.monotonically_increasing_id()))
+    cores = scratch.keep(held.select("tkey", "place", "bytes").mapInPandas(_cores(width), "core long, f1 long, f2 long, tkey long, digit int"))
+    settled = F.col("f1").isNotNull() & (F.col("n") > 1)
+    full = ["core", "f1", "f2"]
+    stretches = scratch.keep(cores.groupBy(*full).agg(F.count("*").alias("n"), F.min(F.struct("tkey", "digit")).alias("one")).withColumn("settled", settled))
     twice = scratch.keep(stretches.groupBy("core").agg(F.sum("n").alias("n"), F.bool_or(~F.col("settled")).alias("open")).where("n > 1 and open").select("core"))
-    at = held.select("tkey", "k1", "k2", "place")
-    even = cores.join(stretches.where("settled").select("core", "full"), ["core", "full"]).join(at, "tkey")
+    at = held.select("tkey", "key", "place")
+    even = cores.join(stretches.where("settled").select(*full), full).join(at, "tkey")
     low = _start(F.col("place")) + F.col("place").bitwiseAND(F.lit(1023)) - F.col("digit") * STRIDE
-    even = even.select("k1", "k2", (low - (STRIDE - 1)).alias("from"), (low + width).alias("till"))
-    lone_stretch = cores.join(stretches.where("not settled").select("core", "full"), ["core", "full"]).join(twice, "core", "left_semi").select("tkey", "digit")
+    even = even.select("key", (low - (STRIDE - 1)).alias("from"), (low + width).alias("till"))
+    # A stretch that no other equals, or that its run holds in part, goes on by itself; of settled ones one goes on for all.
+    done = stretches.where("settled").select(*full)
+    lone_stretch = cores.join(done, full, "left_anti").join(twice, "core", "left_semi").select("tkey", "digit")
     stand_in = stretches.where("settled").join(twice, "core", "left_semi").select("one.*")
     digits = lone_stretch.union(stand_in).groupBy("tkey").agg(F.collect_set("digit").alias("digits"))
-    windows = scratch.keep(held.join(digits, "tkey").select("k1", "k2", "place", "bytes", "digits").mapInPandas(_windows(width), "w1 long, w2 long, k1 long, k2 int, start long"))
+    windows = scratch.keep(held.join(digits, "tkey").select("key", "place", "bytes", "digits").mapInPandas(_windows(width), "w1 long, w2 long, key long, start long"))
     even = scratch.keep(even)
     scratch.drop(lone, held, cores, stretches, twice)
     equal = scratch.keep(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"))
-    single = windows.join(equal, ["w1", "w2"]).select("k1", "k2", F.col("start").alias("from"), (F.col("start") + width).alias("till"))
-    spans = scratch.keep(whole.unionByName(even).unionByName(single).groupBy("k1", "k2").agg(F.collect_list("from").alias("from"), F.collect_list("till").alias("till")))
+    single = windows.join(equal, ["w1", "w2"]).select("key", F.col("start").alias("from"), (F.col("start") + width).alias("till"))
+    spans = scratch.keep(whole.unionByName(even).unionByName(single).groupBy("key").agg(F.collect_list("from").alias("from"), F.collect_list("till").alias("till")))
     scratch.drop(met, groups, even, windows, equal)
     return spans
 
@@ -196,9 +209,10 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_out: bool = False) ->
     less the bytes of characters that were cut in two (columns named like a
     result are replaced).
     """
+    docs = adopt(docs)
     rest = others(docs, text_out)
     frame = keyed(docs, rest)
-    return cut_out(frame, repeated_spans(frame.select("k1", "k2", "text"), width), rest, text_out)
+    return cut_out(frame, repeated_spans(frame.select("key", "text"), width), rest, text_out)
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
