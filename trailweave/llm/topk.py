@@ -1,136 +1,228 @@
 """Exact top-k search by a vector-approximation file.
 
-Vectors become integers floor(scale * x). Each block of candidates holds the
-quantised cell of every vector besides its exact values. A block of queries
-scans the cells of a block of candidates: the corners of a cell bound the inner
-product from both sides. Exact vectors are then read in order of their bound,
-best first, until no unread cell can reach the kth score; ties at the kth score
-are read as well, since the smaller id wins. Blocks of queries meet blocks of
-candidates by an equi-join on the candidate group, and only k rows for each
-query and group leave a block.
+Vectors become integers floor(scale * x). Two files are written once, in blocks
+of the same vectors: the approximation holds, for each component, the number of
+its cell in one byte, and the exact vectors lie in the other. The scan reads
+only cells: a block of queries meets a block of cells by an equi-join on the
+block's number, one product with the cells bounds each inner product from below
+and above, and what can't be among the k best of its block is left at once. The kth best lower
+bound over all blocks then settles which vectors a query needs: their exact
+values are fetched by row number and read best bound first, until no bound left
+can reach the kth score; ties at the kth score are read as well, since the
+smaller id wins.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, table
-
-#: Vectors of a block of candidates and of a block of queries; the bounds of a pair of blocks take some 70 MB.
-GROUP, QUERIES = 1 << 13, 256
-
-
-def cells(exact: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell number of each component, and the lower and upper corner of each cell by dimension (corners are data values)."""
-    low, high = exact.min(axis=0), exact.max(axis=0)
-    n = 1 << bits
-    step = np.maximum(1, -(-(high - low + 1) // n))
-    return ((exact - low) // step).astype(np.uint8), low, step
+from .scratch import Scratch, adopt, table, width
+
+#: Vectors of a block of candidates and of a block of queries; the bounds of a pair of blocks take some 8 MB.
+GROUP, QUERIES = 1 << 12, 128
+#: Exact integers in doubles, and what sums of products in them may be off by.
+SAFE, SLACK = 2.0**52, 2.0**-30
+MOST = (1 << 63) - 1
+
+
+def integers(v: np.ndarray, scale: int) -> list[int]:
+    """floor(scale * x) of each component, whatever its size."""
+    return [math.floor(scale * x) if abs(x) < SAFE else scale * int(x) for x in v.tolist()]
+
+
+def scaled(v: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as doubles: exact where it is below SAFE, infinite beyond doubles."""
+    with np.errstate(over="ignore"):
+        return np.floor(v * scale)
+
+
+def product(a: np.ndarray, b: np.ndarray, scale: int) -> int:
+    """Exact inner product of the integers of two vectors."""
+    x, y = scaled(a, scale), scaled(b, scale)
+    with np.errstate(over="ignore", invalid="ignore"):
+        if float(np.abs(x) @ np.abs(y)) < SAFE:
+            return int(x @ y)
+    return sum(p * q for p, q in zip(integers(a, scale), integers(b, scale), strict=True))
+
+
+def useful(ids: np.ndarray, mat: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the k best of any query: of equal vectors those of the k + 1 smallest ids, and of rows equal in id too at most k. The others lose every tie to k of these, also if one id is the query's own."""
+    alike = np.unique(mat, axis=0, return_inverse=True)[1].reshape(-1) if mat.shape[1] else np.zeros(len(ids), np.int64)
+    order = np.lexsort((ids, alike))
+    a, i = alike[order], ids[order]
+    at = np.arange(len(ids))
+    new_vector = np.concatenate([[True], a[1:] != a[:-1]])[: len(ids)]
+    new_id = new_vector | np.concatenate([[True], i[1:] != i[:-1]])[: len(ids)]
+    nth_id = np.cumsum(new_id) - np.cumsum(new_id)[np.maximum.accumulate(np.where(new_vector, at, 0))]
+    copy = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    return np.sort(order[(nth_id <= k) & (copy < k)])
+
+
+def cells(mat: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cell of each component as a byte, lower corner of the first cell, size of a cell, what is left within a cell) by dimension, so that low + step * cell <= x <= low + step * cell + rest."""
+    low, high = mat.min(axis=0), mat.max(axis=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        step = np.maximum(1.0, np.ceil((high - low + 1) / levels))
+        cell = np.clip(np.floor((mat - low) / step), 0, levels - 1)
+        rest = np.maximum((mat - low - cell * step).max(axis=0), 0)
+        down = np.minimum((mat - low - cell * step).min(axis=0), 0)
+    cell = np.where(np.isfinite(cell), cell, 0)
+    return cell.astype(np.uint8), low + down, step, rest - down
+
+
+def bounds(queries: np.ndarray, cell: np.ndarray, low: np.ndarray, step: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner product of each query with each vector of a block."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        at = (queries @ low)[:, None] + (queries * step) @ cell.T
+        size = np.abs(queries) @ (np.abs(low) + step * 256 + rest)
+        under, over = np.minimum(queries, 0) @ rest - size * SLACK, np.maximum(queries, 0) @ rest + size * SLACK
+        lower, upper = at + under[:, None], at + over[:, None]
+    return np.where(np.isfinite(lower), lower, -np.inf), np.where(np.isfinite(upper), upper, np.inf)
+
+
+def survivors(query_ids: np.ndarray, ids: np.ndarray, lower: np.ndarray, upper: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) places of the pairs that may be among the k best of the block; a query never meets its own id."""
+    other = ids[None, :] != query_ids[:, None]
+    lower = np.where(other, lower, -np.inf)
+    enough = other.sum(axis=1) >= k
+    if lower.shape[1] >= k:
+        kth = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
+    else:
+        kth = np.full(len(lower), -np.inf)
+    sure = np.where(enough, kth, -np.inf)
+    return np.nonzero(other & (upper >= sure[:, None]))
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, exact: np.ndarray, ids: np.ndarray, k: int, bits: int = 4) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best of this block: (query id, ids, scores), the query's own id left out."""
-    if not len(ids):
-        return
-    if not exact.shape[1] or max(np.abs(queries).max(), 1) * float(max(np.abs(exact).max(), 1)) * exact.shape[1] >= 2**50:
-        bounds = None  # no components, or beyond exact double arithmetic: every vector is read
-    else:
-        cell, low, step = cells(exact, bits)
-        lower = (low + cell.astype(np.int64) * step).astype(np.float64)
-        upper = np.minimum(lower + (step - 1), exact.max(axis=0))
-        pos, neg = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-        bounds = (pos @ lower.T + neg @ upper.T, pos @ upper.T + neg @ lower.T)
-    for i, (q, qid) in enumerate(zip(queries, query_ids, strict=True)):
-        others = ids != qid
-        if bounds is None:
-            rows = np.flatnonzero(others)
-        else:
-            at_least, at_most = bounds[0][i], bounds[1][i]
-            rows = np.flatnonzero(others)
-            if len(rows) > k:
-                sure = np.partition(at_least[rows], len(rows) - k)[len(rows) - k]
-                rows = rows[at_most[rows] >= sure]
-                rows = rows[np.argsort(-at_most[rows], kind="stable")]
-        found_ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        step_rows = max(4 * k, 64)
-        for a in range(0, len(rows), step_rows):
-            part = rows[a : a + step_rows]
-            if bounds is not None and len(found) == k and at_most[part[0]] < found[-1]:
-                break
-            found = np.concatenate([found, exact[part] @ q])
-            found_ids = np.concatenate([found_ids, ids[part]])
-            best = np.lexsort((found_ids, -found))[:k]
-            found, found_ids = found[best], found_ids[best]
-        yield qid, found_ids, found
-
-
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, scale: int = 64, bits: int = 4, group: int = GROUP) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, scale: int = 64, levels: int = 256, group: int = GROUP) -> DataFrame:
     """The k highest integer inner products of each query among all other vectors.
 
     Queries are the rows whose id is divisible by ``every``. A vector that is
     null, or holds a null or a non-finite component, takes no part, nor does a
-    row without id. Only vectors of equal length are compared; an empty vector
-    scores 0 with every other empty one. Rows that repeat an id are searched
-    one by one and a query never meets a row of its own id; equal ids with equal
-    scores keep their rows. Fewer than k partners give fewer rows, an empty
-    table none. Other columns are ignored. Scores wrap beyond 64 bits.
+    row without id; finite components of any size do, and products are exact
+    integers of any size. A score beyond 64 bits is returned as the nearest
+    64-bit value, after ranks are settled. Only vectors of equal length are
+    compared; an empty vector scores 0 with every other empty one. Rows that
+    repeat an id are searched one by one and a query never meets a row of its
+    own id; equal ids with equal scores keep their rows. Fewer than k partners
+    give fewer rows, an empty table none. Other columns are ignored.
     Returns query_id, rank, vec_id, score.
     """
+    vectors = adopt(vectors)
     spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<double>")
-    ints = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x))
-    fine = F.col(vector_col).isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e17))), F.lit(False))
-    base = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(fine, ints).alias("v")).where("v is not null").withColumn("dim", F.size("v"))
+    scratch = Scratch(spark, "topk")
+    schema = "query_id long, rank int, vec_id long, score long"
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    base = base.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))))
 
-    def pack(size: int):
+    def blocks(size: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[int, list] = {}
+            made = 0
 
-            def row(dim: int, rows: list) -> pd.DataFrame:
-                ids, mat = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-                out = {"dim": [dim], "ids": [ids.tobytes()], "mat": [mat.tobytes()]}
-                return pd.DataFrame(out)
+            def block(dim: int, rows: list) -> pd.DataFrame:
+                nonlocal made
+                made += 1
+                part = pd.concat(rows)
+                return pd.DataFrame({"local": [made - 1], "dim": [dim], "ids": [part["id"].to_numpy(np.int64).tobytes()], "mat": [np.concatenate(part["v"].to_list()).astype(np.float64).tobytes()]})
 
             for pdf in batches:
-                for dim, part in pdf.groupby("dim"):
-                    ids = part["id"].to_numpy(np.int64)
-                    mat = np.array(part["v"].tolist(), np.int64).reshape(len(ids), dim)
-                    for a in range(0, len(ids), size):
+                for dim, part in pdf.groupby(pdf["v"].map(len)):
+                    for a in range(0, len(part), size):
                         rows = held.setdefault(dim, [])
-                        rows.append((ids[a : a + size], mat[a : a + size]))
-                        if sum(len(r[0]) for r in rows) >= size:
-                            yield row(dim, held.pop(dim))
+                        rows.append(part.iloc[a : a + size])
+                        if sum(map(len, rows)) >= size:
+                            yield block(dim, held.pop(dim))
             for dim, rows in held.items():
-                yield row(dim, rows)
+                yield block(dim, rows)
 
         return run
 
-    schema = "dim int, ids binary, mat binary"
-    candidates = base.mapInPandas(pack(group), schema)
-    scratch = Scratch(spark, "topk")
-    candidates = scratch.keep(candidates)
-    slots = max(1, candidates.count())  # one for each block of candidates: every block of queries visits every slot
-    candidates = candidates.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
-    queries = scratch.keep(base.where(F.pmod("id", F.lit(every)) == 0).mapInPandas(pack(QUERIES), schema))
-    visits = queries.withColumnsRenamed({"ids": "qids", "mat": "qmat"}).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    # Queries grow with the table: never a broadcast, whatever the size of their files says.
-    pairs = visits.hint("merge").join(candidates, ["slot", "dim"])
+    made = scratch.keep(base.mapInPandas(blocks(group), "local int, dim int, ids binary, mat binary").withColumn("part", F.spark_partition_id()))
+    # Blocks are numbered without gaps, from the number of blocks of each partition.
+    offsets, slots = [], 0
+    for r in made.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        offsets += [F.lit(r["part"]), F.lit(slots)]
+        slots += r["n"]
+    if not slots:
+        return spark.createDataFrame([], schema)
+    made = made.withColumn("slot", F.create_map(*offsets)[F.col("part")] + F.col("local"))
+
+    def exact_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for slot, dim, ids, mat in zip(pdf["slot"].tolist(), pdf["dim"].tolist(), pdf["ids"], pdf["mat"], strict=True):
+                n = len(ids) // 8
+                rows = useful(np.frombuffer(ids, np.int64), np.frombuffer(mat).reshape(n, dim), k)
+                yield pd.DataFrame({"slot": np.full(len(rows), slot), "row": rows.astype(np.int32), "vector": [mat[8 * dim * r : 8 * dim * (r + 1)] for r in rows.tolist()]})
+
+    def approximate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for slot, dim, ids, mat in zip(pdf["slot"].tolist(), pdf["dim"].tolist(), pdf["ids"], pdf["mat"], strict=True):
+                own = np.frombuffer(ids, np.int64)
+                values = np.frombuffer(mat).reshape(len(own), dim)
+                rows = useful(own, values, k)
+                cell, low, step, rest = cells(scaled(values[rows], scale), levels)
+                yield pd.DataFrame({"slot": [slot], "dim": [dim], "ids": [own[rows].tobytes()], "rows": [rows.astype(np.int32).tobytes()], "cells": [cell.tobytes()], "corners": [np.stack([low, step, rest]).tobytes()]})
+
+    exact = scratch.keep(made.select("slot", "dim", "ids", "mat").mapInPandas(exact_rows, "slot int, row int, vector binary"))
+    files = scratch.keep(made.select("slot", "dim", "ids", "mat").mapInPandas(approximate, "slot int, dim int, ids binary, rows binary, cells binary, corners binary"))
+    asked = scratch.keep(base.where(F.pmod("id", F.lit(every)) == 0).mapInPandas(blocks(QUERIES), "local int, dim int, ids binary, mat binary").select(F.monotonically_increasing_id().alias("qslot"), "dim", F.col("ids").alias("qids"), F.col("mat").alias("qmat")))
+    visits = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    # Queries grow with the table: never a broadcast, whatever the size of their files says. Blocks are few and dear, so their tasks are not coalesced.
+    tasks = min(slots, 4 * width(spark))
+    pairs = visits.repartition(tasks, "slot").hint("merge").join(files.repartition(tasks, "slot"), ["slot", "dim"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, cell = None, None
         for pdf in batches:
-            for dim, qids, qmat, ids, mat in zip(pdf["dim"], pdf["qids"], pdf["qmat"], pdf["ids"], pdf["mat"], strict=True):
+            for slot, dim, qslot, qids, qmat, ids, rows, raw, corners in zip(*[pdf[c] for c in ("slot", "dim", "qslot", "qids", "qmat", "ids", "rows", "cells", "corners")], strict=True):
                 qi, ci = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                out = list(search(np.frombuffer(qmat, np.int64).reshape(len(qi), dim), qi, np.frombuffer(mat, np.int64).reshape(len(ci), dim), ci, k, bits))
-                yield pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+                if slot != last:
+                    last, cell = slot, np.frombuffer(raw, np.uint8).reshape(len(ci), dim).astype(np.float64)
+                lower, upper = bounds(scaled(np.frombuffer(qmat).reshape(len(qi), dim), scale), cell, *np.frombuffer(corners).reshape(3, dim))
+                i, j = survivors(qi, ci, lower, upper, k)
+                yield pd.DataFrame({"qslot": np.full(len(i), qslot), "qrow": i.astype(np.int32), "query_id": qi[i], "slot": np.full(len(i), slot, np.int32), "row": np.frombuffer(rows, np.int32)[j], "vec_id": ci[j], "lower": lower[i, j], "upper": upper[i, j]})
+
+    met = pairs.mapInPandas(scan, "qslot long, qrow int, query_id long, slot int, row int, vec_id long, lower double, upper double")
+    falling = Window.partitionBy("qslot", "qrow").orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    open_ = scratch.keep(met.withColumn("kth", F.nth_value("lower", k).over(falling)).where("kth is null or upper >= kth").drop("lower", "kth"))
 
-    found = pairs.mapInPandas(scan, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def query_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for qslot, dim, qids, qmat in zip(pdf["qslot"].tolist(), pdf["dim"].tolist(), pdf["qids"], pdf["qmat"], strict=True):
+                n = len(qids) // 8
+                yield pd.DataFrame({"qslot": np.full(n, qslot), "qrow": np.arange(n, dtype=np.int32), "query": [qmat[8 * dim * r : 8 * dim * (r + 1)] for r in range(n)]})
+
+    queries = asked.mapInPandas(query_rows, "qslot long, qrow int, query binary")
+    read = open_.hint("merge").join(exact, ["slot", "row"]).drop("slot", "row").hint("merge").join(queries, ["qslot", "qrow"])
+    # The window also keeps all rows of a query in one task, in the order of reading.
+    read = read.withColumn("nth", F.row_number().over(Window.partitionBy("qslot", "qrow").orderBy(F.desc("upper"), "vec_id")))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["qslot", "qrow", "query_id", "query", "upper", "vec_id", "vector", "nth"]
+        rows = (r for pdf in batches for r in zip(*[pdf[c] for c in names], strict=True))
+        done: list[tuple] = []
+        for _, own in groupby(rows, key=lambda r: r[:2]):
+            best: list[tuple[int, int]] = []
+            for _, _, query_id, query, upper, vec_id, vector, nth in own:
+                if nth > k and upper < -best[-1][0]:
+                    break
+                best.append((-product(np.frombuffer(query), np.frombuffer(vector), scale), vec_id))
+                best.sort()
+                del best[k:]
+            done += [(query_id, n, i, max(-MOST - 1, min(MOST, -s))) for n, (s, i) in enumerate(best, 1)]
+            if len(done) > 5000:
+                yield pd.DataFrame(done, columns=["query_id", "rank", "vec_id", "score"])
+                done = []
+        yield pd.DataFrame(done, columns=["query_id", "rank", "vec_id", "score"])
+
+    return read.mapInPandas(settle, schema)
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
