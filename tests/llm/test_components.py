@@ -3,7 +3,6 @@ import random
 import pytest
 
 from trailweave.llm.components import connected_components
-from trailweave.llm.scratch import Scratch
 
 
 def brute(pairs):
@@ -35,5 +34,5 @@ def graphs():
 @pytest.mark.parametrize("pairs", list(graphs()))
 def test_equals_union_find(spark, pairs):
     df = spark.createDataFrame(pairs, "a int, b int")
-    got = {r.node: r.component for r in connected_components(df, Scratch(spark, "t")).collect()}
+    got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == brute([p for p in pairs if None not in p])

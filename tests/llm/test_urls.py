@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from pyspark.sql import functions as F
 
-from trailweave.llm.urls import OP4_SQL, absolute, judge
+from trailweave.llm.urls import OP4_SQL, RULES, absolute, judge
 
 SCHEMA = "page_id long, url string, html string, host int, best string"
 
@@ -49,6 +51,55 @@ def test_sql_agrees(spark):
     assert sorted(str(tuple(r)) for r in judge(spark.createDataFrame(ROWS, SCHEMA)).collect()) == want
 
 
+def link_rich(n):
+    """Pages with links of many kinds, absolute or without any, hidden or not."""
+    rng = random.Random(n)
+    hosts = ["b.com", "www.a.com", "x.example.org", "example.org", "n.net", "M.net", "o.net", "p.q.net", "org.net"]
+    paths = ["/de/1", "/fr/2", "/es/x", "/en/1?a=1&b=2", "/", "", "/deep/er", "/go?u=http://b.com/de/1"]
+    address = lambda: rng.choice(["http", "https", "HTTP"]) + "://" + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "", "#f"])
+    coded = lambda u: u.replace("&", rng.choice(["&amp;", "&#38;", "&#x26;", "&"])).replace("/", rng.choice(["/", "/", "&#47;", "&sol;"]))
+    kinds = [
+        lambda u: f'<link rel="canonical" href="{u}">', lambda u: f"<LINK href='{u}' rel=Canonical />", lambda u: f"<meta http-equiv=refresh content='0; URL={u}'>", lambda u: f'<meta content="3;url={u}" http-equiv="Refresh">',
+        lambda u: f'<!-- <link rel="canonical" href="{u}"> -->', lambda u: f'<script>var x = \'<link rel="canonical" href="{u}">\'</script>', lambda u: f'<link rel="stylesheet" href="{u}">', lambda u: f'<link rel="canonical" data-href="{u}">', lambda u: "<p>none</p>",
+        lambda u: f'<title><link rel="canonical" href="{u}"></title>', lambda u: f'<!-- open <link rel="canonical" href="{u}">',
+    ]
+    rows = []
+    for i in range(n):
+        url = rng.choice([None, "", "no scheme", *[address() if rng.random() < 0.5 else f"http://h{rng.randrange(n)}.net/{rng.randrange(3)}" for _ in range(9)]])
+        target = lambda: coded(address()) if rng.random() < 0.4 else f"http://h{rng.randrange(n)}.net/{rng.randrange(3)}"
+        rows.append(page(i, url, rng.choice(["", "<html>"]) + "".join(rng.choice(kinds)(target()) for _ in range(rng.randrange(3)))))
+    return rows
+
+
+def test_sql_agrees_on_pages_full_of_links(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = link_rich(400)
+    db = duckdb.connect()
+    db.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    db.executemany("insert into pages values (?, ?, ?)", [r[:3] for r in rows])
+    want = sorted(map(str, db.sql(f"select page_id, host, path, rule, verdict, \"by\" from ({OP4_SQL})").fetchall()))
+    got = judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    assert sum(r.by == "alias" for r in got) > 20
+
+
+def test_a_table_of_rules_gives_what_the_list_gives(spark):
+    rng = random.Random(1)
+    rules = [*RULES, *[(rng.choice(["allow", "block"]), rng.choice(["net", "n.net", "h1.net", "q.net", "com", "p.q.net"]), rng.choice(["/", "", "/d", "/de", "/de/1", "/1", "/deep"])) for _ in range(30)]]
+    table = spark.createDataFrame([*rules, ("block", "many.net", None)] + [("block", f"site{i}.net", f"/{i}") for i in range(3000)], "action string, host string, path string")
+    pages = spark.createDataFrame(link_rich(300), SCHEMA)
+    of = lambda rows: sorted(str(tuple(r)) for r in rows.collect())
+    assert of(judge(pages, table)) == of(judge(pages, rules))
+
+
+def test_comments_scripts_and_coded_targets(spark):
+    rows = [
+        page(1, "http://u.net/a", "<link rel=canonical href='/go?u=http://b.com/de/1'>"), page(2, "http://v.net/a", "<!-- <link rel=canonical href='http://b.com/de/1'> -->"),
+        page(3, "http://w.net/a", "<link rel=canonical href='http:&#47;&#47;b.com/de/1&amp;x'>"), page(4, "http://x.net/a", "<script>'<link rel=canonical href=http://b.com/de/1>'</script>"),
+    ]
+    assert {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: "allow", 2: "allow", 3: "block", 4: "allow"}
+
+
 def test_redirect_table_long_chain_and_empty(spark):
     chain = spark.createDataFrame([(f"http://h{i}.net/", f"http://h{i + 1}.net/") for i in range(60)] + [(None, "x"), ("http://h60.net/", "http://b.com/de/")], "source string, target string")
     pages = spark.createDataFrame([page(i, f"http://h{i}.net/") for i in (0, 30, 60)] + [page(99, "http://free.net/")], SCHEMA)

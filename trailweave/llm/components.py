@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of any orderable type to (node, component): the smallest node reachable. Nodes without a link to another are left out."""
+def connected_components(links: DataFrame) -> DataFrame:
+    """Links (a, b) of any orderable type to (node, component): the smallest node reachable. Nodes without a link to another are left out. The tables of each round go as the next is there."""
+    scratch = Scratch(links.sparkSession, "components")
     edges = links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct()
     edges = scratch.keep(edges)
     labels = scratch.keep(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).withColumn("component", F.least("node", "component")))
@@ -30,14 +31,13 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         least = F.least("component", "near", F.coalesce("hook", "component"))
         after = scratch.keep(told.join(hook, "node", "left").select("node", least.alias("component"), (least < F.col("component")).alias("moved")))
         moved = not after.where("moved").limit(1).isEmpty()
-        scratch.drop(labels)
         if not moved:
             # Every edge joins equal labels, but a label may still point to another: jump until none does.
             same = scratch.keep(jumped.join(jumped.select(F.col("node").alias("component"), F.col("component").alias("far")), "component").select("node", F.col("far").alias("component"), (F.col("far") < F.col("component")).alias("moved")))
             if same.where("moved").limit(1).isEmpty():
-                labels = same
-                break
+                scratch.only(same)
+                return same.select("node", "component")
             after = same
         labels = after.drop("moved")
-        labels.__dict__["_scratch_path"] = after.__dict__["_scratch_path"]
-    return labels.select("node", "component")
+        scratch.only(edges, after)
+    return labels

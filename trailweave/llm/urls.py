@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, table
+from .scratch import Scratch, adopt, table
 
 Rule = tuple[str, str, str]
 
@@ -74,31 +74,74 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
+def suffixes(host: Column) -> Column:
+    """The host and every host above it: a.b.c, b.c, c."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def rules_by_join(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """``best`` (as of ``best_rule``) for each distinct (host, path), from a table of rules (action, host, path) of any size.
+
+    A host meets the lengths of the paths that rules of it or of a host above it
+    have; the starts of its path of those lengths then meet the rules by
+    equality, so no rule is compared with addresses that it doesn't fit.
+    """
+    rules = rules.select(F.col("action").alias("verdict"), F.col("host").alias("at"), F.col("path").alias("start")).where("at is not null and start is not null").distinct()
+    lengths = rules.select("at", F.length("start").alias("n")).distinct()
+    spots = addresses.select("host", "path").distinct()
+    starts = spots.withColumn("at", F.explode(suffixes(F.col("host")))).join(lengths, "at").where(F.length("path") >= F.col("n")).select("host", "path", "at", F.expr("substring(path, 1, n)").alias("start"))
+    rule = F.concat("at", "start")
+    first = F.struct((-F.length(rule)).alias("l"), "verdict", rule.alias("rule"))
+    return starts.join(rules, ["at", "start"]).groupBy("host", "path").agg(F.min(first).alias("f")).select("host", "path", F.struct("f.rule", "f.verdict").alias("best"))
+
+
+#: What of a page declares nothing: comments, and what scripts, styles, templates and text fields hold.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)|<template\b.*?(?:</template\b|\z)|<noscript\b.*?(?:</noscript\b|\z)|<textarea\b.*?(?:</textarea\b|\z)|<title\b.*?(?:</title\b|\z)"
+#: Character references that addresses hold, with what they stand for; that of the ampersand comes last.
+REFERENCES = ((r"(?i)&(?:#x0*2f|#0*47|sol);", "/"), (r"(?i)&(?:#x0*3a|#0*58|colon);", ":"), (r"(?i)&(?:#x0*3f|#0*63|quest);", "?"), (r"(?i)&(?:#x0*3d|#0*61|equals);", "="), (r"(?i)&(?:#x0*22|#0*34|quot);", '"'), (r"(?i)&(?:#x0*27|#0*39|apos);", "'"), (r"(?i)&(?:#x0*3c|#0*60|lt);", "<"), (r"(?i)&(?:#x0*3e|#0*62|gt);", ">"), (r"(?i)&(?:#x0*26|#0*38|amp);", "&"))
+
+
+def decoded(text: Column) -> Column:
+    """An attribute's value without character references."""
+    for pattern, meant in REFERENCES:
+        text = F.regexp_replace(text, pattern, meant)
+    return text
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Alias pairs (a, b) that redirects (meta refresh) and canonical links of the pages declare, targets resolved against the page's url."""
-    html = F.col("html")
+    """Alias pairs (a, b) that redirects (meta refresh) and canonical links of the pages declare, targets resolved against the page's url. Comments, scripts and other parts that show no tags declare none; a link counts wherever else it stands."""
+    html = F.regexp_replace("html", HIDDEN, " ")
     tag = F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag")
-    tags = pages.where(F.col("url").contains("://") & html.isNotNull() & html.rlike(r"(?i)canonical|refresh")).select("url", tag)
-    href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("tag", r"(?is)\bcontent\s*=\s*[\"']?\s*[\d.]*\s*;?\s*url\s*=\s*[\"']?([^\"'>\s]+)", 1)
-    target = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?\s*canonical\b"), href).when(F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"), refresh)
-    links = tags.select("url", target.alias("to")).where("to is not null").select("url", absolute(F.col("to"), F.col("url")).alias("to"))
+    tags = pages.where(F.col("url").contains("://") & F.col("html").isNotNull() & F.col("html").rlike(r"(?i)canonical|refresh")).select("url", tag)
+    href = F.regexp_extract("tag", r"(?is)[\s\"'/]href\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    refresh = F.regexp_extract("tag", r"(?is)[\s\"'/]content\s*=\s*[\"']?\s*[\d.]*\s*;?\s*url\s*=\s*[\"']?([^\"'>\s]+)", 1)
+    target = F.when(F.col("tag").rlike(r"(?is)^<link\b.*[\s\"'/]rel\s*=\s*[\"']?\s*canonical\b"), href).when(F.col("tag").rlike(r"(?is)^<meta\b.*[\s\"'/]http-equiv\s*=\s*[\"']?\s*refresh\b"), refresh)
+    links = tags.select("url", decoded(target).alias("to")).where("to is not null").select("url", absolute(F.col("to"), F.col("url")).alias("to"))
     return links.where("to is not null").select(alias_of(F.col("url")).alias("a"), alias_of(F.col("to")).alias("b"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, links: DataFrame | None = None, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, links: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """Verdict of each page: page_id, host, path, rule, verdict, by.
 
-    ``links`` are further pairs of urls (source, target), such as redirects met
-    while crawling. ``by`` says what decided: rule, alias or default. Null urls
+    ``rules`` are a short list, or a table (action, host, path) of any size,
+    which is joined. ``links`` are further pairs of urls (source, target), such
+    as redirects met while crawling. ``by`` says what decided: rule, alias or default. Null urls
     and those without ``://`` have empty host and path, fit no rule and have no
     aliases. Rows that repeat are judged alike. Empty tables give empty results
     and other columns are ignored.
     """
+    pages = adopt(pages)
     scratch = Scratch(pages.sparkSession, "urls")
     url = F.col("url")
     read = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    read = read.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+
+    def with_best(rows: DataFrame) -> DataFrame:
+        if isinstance(rules, DataFrame):
+            return rows.join(rules_by_join(rows, adopt(rules, rows.sparkSession)), ["host", "path"], "left")
+        return rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+
+    read = with_best(read)
     edges = page_links(pages)
     if links is not None:
         edges = edges.union(links.where("source is not null and target is not null and instr(source, '://') > 0 and instr(target, '://') > 0").select(alias_of(F.col("source")), alias_of(F.col("target"))))
@@ -107,9 +150,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, links: DataFrame | No
     if edges.isEmpty():
         told = read.withColumn("spread", F.lit(None).cast("string"))
     else:
-        nodes = scratch.keep(connected_components(edges, scratch))
+        nodes = scratch.keep(connected_components(edges))
         # A node is judged by its own address, so that pages never crawled count too.
-        own = nodes.select("component", best_rule(F.regexp_extract("node", r"(?s)\A[^/?#]*", 0), F.regexp_extract("node", r"(?s)\A[^/?#]*([^?#]*)", 1), rules).alias("best"))
+        own = with_best(nodes.select("component", F.regexp_extract("node", r"(?s)\A[^/?#]*", 0).alias("host"), F.regexp_extract("node", r"(?s)\A[^/?#]*([^?#]*)", 1).alias("path")))
         groups = own.groupBy("component").agg(F.max((verdict == "allow").cast("int")).alias("allow"), F.max((verdict == "block").cast("int")).alias("block"))
         spread = scratch.keep(nodes.join(groups, "component").select(F.col("node").alias("alias"), F.when(F.col("allow") == 1, "allow").when(F.col("block") == 1, "block").alias("spread")).where("spread is not null"))
         told = read.withColumn("alias", F.when(F.col("url").contains("://"), alias_of(url))).join(spread, "alias", "left")
@@ -120,6 +163,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+_DECODE = "coded"
+for _pattern, _meant in REFERENCES:
+    _DECODE = f"regexp_replace({_DECODE}, '{_pattern}', '{_meant.replace(chr(39), chr(39) * 2)}', 'g')"
+
 OP4_SQL = r"""
 WITH RECURSIVE p AS (
   SELECT page_id, html, coalesce(url, '') AS url,
@@ -129,16 +176,18 @@ WITH RECURSIVE p AS (
 ), rules(action, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), tags AS (
   SELECT host || path || regexp_extract(url, '://[^?#]*(\?[^#]*)', 1) AS a,
-         unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+         unnest(regexp_extract_all(regexp_replace(html, '""" + HIDDEN + r"""', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
   FROM p WHERE instr(url, '://') > 0
 ), targets AS (
   SELECT a, CASE
-    WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?\s*canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?\s*[\d.]*\s*;?\s*url\s*=\s*["'']?([^"''>\s]+)', 1)
-  END AS target FROM tags
+    WHEN regexp_matches(tag, '(?is)^<link\b.*[\s"''/]rel\s*=\s*["'']?\s*canonical\b') THEN regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta\b.*[\s"''/]http-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*["'']?\s*[\d.]*\s*;?\s*url\s*=\s*["'']?([^"''>\s]+)', 1)
+  END AS coded FROM tags
+), decoded AS (
+  SELECT a, """ + _DECODE + r""" AS target FROM targets WHERE coded <> ''
 ), edges AS (
   SELECT a, translate(regexp_extract(target, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(target, '^(?s:.*?)://[^/?#]*([^#]*)', 1) AS b
-  FROM targets WHERE instr(target, '://') > 0
+  FROM decoded WHERE regexp_matches(target, '(?is)^[a-z][a-z0-9+.-]*://')
 ), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges
 ), reach(a, b) AS (
   SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
