@@ -21,10 +21,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import shared_dir, table, width
+from .scratch import Scratch, adopt, table, width
 
 ROLES = ("system", "user", "assistant")
 NEVER = 1 << 60
@@ -115,6 +115,16 @@ def open_turn(state: int) -> str:
 CLOSE = "<|im_end|>\n"
 
 
+def escape(text: Column) -> Column:
+    """The text with a backslash put before the bar of each mark that opens or closes a turn, so that no text makes a turn of its own. Marks that are escaped already get one more, so ``unescape`` gives back what there was."""
+    return F.regexp_replace(text, r"<(\\*)\|(im_start|im_end)\|>", r"<$1\\|$2|>")
+
+
+def unescape(text: Column) -> Column:
+    """A text of a rendered turn as it was before ``escape``."""
+    return F.regexp_replace(text, r"<(\\*)\\\|(im_start|im_end)\|>", "<$1|$2|>")
+
+
 def fragments(a: Automaton, reads: list[int], turns: list, texts: list[str], path: list[int], position: int, more: int | None) -> list[tuple]:
     """Rows (position, turn, role, action, fragment) of a stretch. ``more`` is the state after the first turn of the next stretch, None at the end of the conversation."""
     out = []
@@ -159,18 +169,19 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     The fragments of a conversation, joined in order of position (0, 1, ...), are
     its rendered text. ``action`` is keep, relabel, merge, relabel+merge or
     insert; inserted turns have no source turn. Turns sort by turn (nulls first),
-    then role, then text, so equal rows are interchangeable; each takes part. A
+    then role, then a hash of the text, then the text, so equal rows are
+    interchangeable; each takes part. Marks of turns within a text are escaped. A
     null conv_id is a conversation of its own. Roles are compared trimmed and in
     lower case; any other role, or none, must be relabelled. A null text counts as
     empty. An empty table gives an empty result. Other columns are ignored.
     """
+    turns = adopt(turns)
     spark = turns.sparkSession
-    shared = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared)
+        spark.sparkContext.setCheckpointDir(Scratch(spark, "chat").passing())
     role = F.lower(F.trim("role"))
     read = F.when(role == "system", 0).when(role == "user", 1).when(role == "assistant", 2).otherwise(3)
-    base = turns.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), read.alias("read"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = turns.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), read.alias("read"), escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     kind = dict(base.dtypes)["conv"]
     dealt = base.withColumns({"h": F.xxhash64("text"), "n": F.monotonically_increasing_id()}).repartitionByRange(width(spark), "conv", "turn", "role", "h", "n")
     dealt = dealt.sortWithinPartitions("conv", "turn", "role", "h", "text").select(F.spark_partition_id().alias("part"), "conv", "turn", "read", "text").checkpoint()

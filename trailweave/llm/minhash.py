@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .hashing import mix, shingles, splitmix
-from .scratch import Scratch, table, width
+from .scratch import Scratch, adopt, table, width
 
 #: Cells of the sketch of document frequencies, in slices that are shuffled on their own.
 CELLS, SLICES = 1 << 20, 64
@@ -151,6 +151,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
     the result is instead the rows of ``docs``, with all columns, that stand for
     their classes: one each, with the smallest doc_id, then the smallest digest.
     """
+    docs = adopt(docs)
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -186,6 +187,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
     # Merged at every size: texts move once, also where the wanted list would fit into a broadcast.
     held = scratch.keep(chosen.join(wanted.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("digest", "text"))
     scratch.drop(buckets, firsts, wanted)
+    ground = [signed, texts, shared, held]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, known = None, None
@@ -213,7 +215,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
         left, right = held.withColumnsRenamed({"digest": "da", "text": "ta"}), held.withColumnsRenamed({"digest": "db", "text": "tb"})
         half = scratch.keep(pairs.join(right, "db"))
         out = scratch.keep(half.join(left, "da").mapInPandas(verify, "da binary, db binary, good boolean"))
-        scratch.drop(half)
+        told_so_far.append(out)
+        scratch.only(*ground, *told_so_far)
         return out
 
     def in_order(rows: DataFrame) -> DataFrame:
@@ -243,11 +246,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
         met = a.join(b, "item").where((F.col("digest_a") < F.col("digest_b")) & (F.col("class_a") != F.col("class_b")) & reach)
         return met.select(F.col("digest_a").alias("da"), F.col("digest_b").alias("db")).distinct()
 
+    told_so_far: list[DataFrame] = []
     star = shared.where("first <> digest").select(F.least("first", "digest").alias("da"), F.greatest("first", "digest").alias("db"))
     seen = told(scratch.keep(star.union(in_order(shared.withColumn("class", F.col("digest")))).distinct()))
     while True:
         links = seen.where("good").select("da", "db")
-        classes = connected_components(links.toDF("a", "b"), scratch).toDF("digest", "class")
+        classes = connected_components(links.toDF("a", "b")).toDF("digest", "class")
         # One text of each class stands for it in a bucket; buckets of several classes are gone through again.
         named = shared.join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
         one = named.groupBy("key", "class").agg(F.min(F.struct("s0", "s1", "s2", "digest")).alias("one")).select("key", "class", "one.*")
@@ -266,17 +270,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
         rest = scratch.keep(missed(held.join(unsettled.hint("merge"), "digest")).join(seen.select("da", "db"), ["da", "db"], "left_anti"))
         if not rest.isEmpty():
             seen = seen.union(told(rest))
-            classes = connected_components(seen.where("good").select("da", "db").toDF("a", "b"), scratch).toDF("digest", "class")
-    scratch.drop(named)
+            classes = connected_components(seen.where("good").select("da", "db").toDF("a", "b")).toDF("digest", "class")
+    scratch.only(*ground, *told_so_far)
     ids = texts.select("digest", "id")
     roots = classes.join(ids, "digest").groupBy("class").agg(F.min(F.struct("id", "digest")).alias("root"))
     roots = scratch.keep(roots.select("class", F.col("root.id").alias("class_id"), F.col("root.digest").alias("root")))
     classes = scratch.keep(classes.join(roots, "class").drop("class"))
     if keep_first:
-        stand = scratch.keep(ids.join(classes.where("root <> digest"), "digest", "left_anti").select(F.col("digest").alias("__digest"), F.col("id").alias("__id")))
-        marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), smallest), "__digest": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
-        same = Window.partitionBy("__id", "__digest").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-        return marked.join(stand.hint("merge"), ["__id", "__digest"]).withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+        stand = scratch.keep(ids.join(classes.where("root <> digest"), "digest", "left_anti").select("id", "digest"))
+        scratch.only(stand)
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), smallest).alias("id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("digest"), F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("h"))
+        # Of rows equal in id and text the one with the least hash of its columns stands; among rows equal in all columns any one.
+        return marked.join(stand.hint("merge"), ["id", "digest"]).groupBy("id", "digest").agg(F.min_by("row", "h").alias("row")).select("row.*")
     degree = seen.where("good").select(F.explode(F.array("da", "db")).alias("digest")).groupBy("digest").agg(F.count("*").alias("class_links"))
     of_text = ids.join(classes.select("digest", "class_id"), "digest", "left").join(degree, "digest", "left")
     of_text = scratch.keep(of_text.select("digest", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_links", F.lit(0)).cast("long").alias("class_links")))

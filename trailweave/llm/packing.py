@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, table, width
+from .scratch import Scratch, adopt, table, width
 from .tokenize import default_path, tokenizer_at
 
 END = np.array([1], "<u4").tobytes()
@@ -111,6 +111,7 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> Data
     time but for the order of rows equal in all three. An empty table gives an
     empty result. Other columns are ignored.
     """
+    docs = adopt(docs)
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     buckets = max(64, width(spark))

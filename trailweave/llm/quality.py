@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import shingles, word_hashes
-from .scratch import Scratch, table
+from .scratch import Scratch, adopt, table
 
 _CLASS = np.full(256, 5, np.int8)  # 5: other marks
 for _b in range(256):
@@ -184,7 +184,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labels: int = 12000, k
     rows are scored alike; an empty table gives an empty result. Columns of
     ``docs`` named like a result are replaced.
     """
+    docs = adopt(docs)
     spark = docs.sparkSession
+    labels = adopt(labels, spark)
     scratch = Scratch(spark, "quality")
     made = ("held_out", "score", "predicted")
     keep = [c for c in docs.columns if c not in made and (keep_text or c != "text")]

@@ -7,6 +7,7 @@ back instead of recomputing, and the lineage ends at the files.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -21,24 +22,42 @@ READ_ROWS, READ_BYTES = 512, 256 << 10
 GROUP_BYTES = 16 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's batches to the bounds above, so that the memory of an executor and its workers doesn't depend on the length of texts."""
+def quiet(spark: SparkSession) -> SparkSession:
+    """A copy of the session, with its settings, whose batches are lowered to the bounds above, so that the memory of an executor and its workers doesn't depend on the length of texts. The caller's session stays as it is."""
+    if spark.__dict__.get("_quiet"):
+        return spark
+    spark = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    spark.__dict__["_quiet"] = True
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     conf.set("parquet.read.allocation.size", str(READ_BYTES))
+    return spark
+
+
+def adopt(df: DataFrame, own: SparkSession | None = None) -> DataFrame:
+    """The same rows, run with the settings of a ``quiet`` session, or of the given one."""
+    own = own or quiet(df.sparkSession)
+    if own is df.sparkSession:
+        return df
+    plan = df._jdf.queryExecution().logical()
+    return DataFrame(own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan), own)
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset (local tests)."""
-    small_batches(spark)
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, one of our own, but only if the driver runs all tasks itself: executors elsewhere would not see it."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = f"file://{tempfile.mkdtemp(prefix='trailweave-')}"
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given
+    if given:
+        return given
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir names no folder that driver and executors share, and the master is {master}")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='trailweave-')}")
 
 
 class Scratch:
@@ -48,6 +67,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.live: list[str] = []
+
+    def passing(self) -> str:
+        """The folder of these tables, which goes when the application ends."""
+        root, fs = self._path(self.root)
+        fs.deleteOnExit(root)
+        return self.root
 
     def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and read it again. Snappy, since Zstandard's buffers outside the heap wait for its garbage collection."""
@@ -55,8 +81,8 @@ class Scratch:
         path = f"{self.root}/{self.n:03d}"
         df.write.option("compression", codec).option("parquet.block.size", GROUP_BYTES).mode("overwrite").parquet(path)
         if self.n == 1:
-            root, fs = self._path(self.root)
-            fs.deleteOnExit(root)
+            self.passing()
+        self.live.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.__dict__["_scratch_path"] = path
         return out
@@ -68,15 +94,29 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more. Spark deletes the shuffle files of a finished job once the driver has collected its objects, so the driver is asked to."""
         for df in frames:
+            self.live.remove(df.__dict__["_scratch_path"])
             path, fs = self._path(df.__dict__["_scratch_path"])
             fs.delete(path, True)
+        self.collect()
+
+    def only(self, *frames: DataFrame) -> None:
+        """Delete all tables but these."""
+        wanted = [df.__dict__["_scratch_path"] for df in frames]
+        gone = [p for p in self.live if p not in wanted]
+        for p in gone:
+            path, fs = self._path(p)
+            fs.delete(path, True)
+        self.live = [p for p in self.live if p in wanted]
+        if gone:
+            self.collect()
+
+    def collect(self) -> None:
         gc.collect()
         self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return quiet(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def width(spark: SparkSession) -> int:
