@@ -2,7 +2,10 @@
 
 Each stage is one operator of ``trailweave.llm``. It takes (spark, docs, sf_dir),
 works on all documents that the stage before it kept, and returns documents with
-the columns of the table; the last returns packed pieces.
+the columns of the table; the last returns packed pieces. The stages lower the
+batches of the session they are given, as ``docs`` are read with its settings.
+Nulls, ties and repeated rows are handled as the operators say; a column of
+``documents`` may have any name, also one of an operator's result.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from trailweave.llm.minhash import near_duplicates
 from trailweave.llm.packing import pack
 from trailweave.llm.quality import score_quality
-from trailweave.llm.scratch import Scratch, table
+from trailweave.llm.scratch import Scratch, lower, table
 from trailweave.llm.suffixes import remove_repeats
 
 
@@ -29,17 +32,20 @@ def _back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (operator 5) gives label 1; the others go."""
+    lower(spark)
     plain, names = _aside(docs)
     return _back(score_quality(plain, table(spark, sf_dir, "labels"), keep_text=True).where(F.col("predicted") == 1), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (operator 3): the one with the smallest doc_id; of rows that share it one with the smallest text digest."""
+    lower(spark)
     return near_duplicates(docs, keep_first=True).select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 200-byte strings (operator 10). Documents left without any text go; n_chars follows the text."""
+    lower(spark)
     plain, names = _aside(docs)
     out = remove_repeats(plain, text_out=True)
     out = _back(out.where((F.col("n_removed") == 0) | (F.length("text") > 0)), names)
@@ -48,6 +54,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens (operator 6): one row for each piece."""
+    lower(spark)
     return pack(docs)
 
 
