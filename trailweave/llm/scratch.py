@@ -22,23 +22,28 @@ READ_ROWS, READ_BYTES = 512, 256 << 10
 GROUP_BYTES = 16 << 20
 
 
-def quiet(spark: SparkSession) -> SparkSession:
-    """A copy of the session, with its settings, whose batches are lowered to the bounds above, so that the memory of an executor and its workers doesn't depend on the length of texts. The caller's session stays as it is."""
-    if spark.__dict__.get("_quiet"):
-        return spark
-    spark = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
-    spark.__dict__["_quiet"] = True
+def lower(spark: SparkSession) -> None:
+    """Lower the session's batches to the bounds above, so that the memory of an executor and its workers doesn't depend on the length of texts."""
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     conf.set("parquet.read.allocation.size", str(READ_BYTES))
+
+
+def quiet(spark: SparkSession) -> SparkSession:
+    """A copy of the session, with its settings, whose batches are lowered. The caller's session stays as it is."""
+    if spark.__dict__.get("_quiet"):
+        return spark
+    spark = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    spark.__dict__["_quiet"] = True
+    lower(spark)
     return spark
 
 
 def adopt(df: DataFrame, own: SparkSession | None = None) -> DataFrame:
-    """The same rows, run with the settings of a ``quiet`` session, or of the given one."""
+    """The same rows, run with the settings of a ``quiet`` session, or of the given one. A file is still read with the settings of the session that opened it."""
     own = own or quiet(df.sparkSession)
     if own is df.sparkSession:
         return df
