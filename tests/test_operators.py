@@ -61,14 +61,54 @@ def test_track_flags_are_independent_and_funnel_adds_up(spark):
     assert [(r.entered, r.kept, r.rejected, r.weight_kept) for r in f] == [(3, 1, 2, 5), (1, 1, 0, 5)]
 
 
-def test_range_of_long_tracks_is_close(spark):
-    rng = random.Random(1)
-    rows = [("a", i, at(i), rng.gauss(0, 100), rng.gauss(0, 40)) for i in range(300)]
+@pytest.mark.parametrize("n", [1, 2, 24, 25, 300])
+def test_range_is_exact_at_every_length(spark, n):
+    rng = random.Random(n)
+    rows = [("a", i, at(i), rng.gauss(0, 100), rng.gauss(0, 40)) for i in range(n)] + [("b", i, at(i), 5.0 * (i % 3), 0.0) for i in range(n)]
     df = spark.createDataFrame(rows, POINTS).withColumns({"step_m": F.lit(0.0), "speed_mps": F.lit(0.0)})
-    exact = tracks.track_table(df, TrackFilterParams(), ["entity"]).first().range_m
-    near = tracks.track_table(df, TrackFilterParams(), ["entity"], max_points=10).first().range_m
-    assert exact == pytest.approx(max(math.dist(a[3:], b[3:]) for a, b in combinations(rows, 2)))
-    assert 0.98 * exact <= near <= exact + 1e-9
+    got = {r.entity: r.range_m for r in tracks.track_table(df, TrackFilterParams(), ["entity"]).collect()}
+    for k in "ab":
+        assert got[k] == max((math.dist(a[3:], b[3:]) for a, b in combinations([r for r in rows if r[0] == k], 2)), default=0.0)
+
+
+def test_range_of_many_points_without_a_switch():
+    rng = np.random.default_rng(2)
+    for n in (4095, 4096, 4097, 10000):
+        for x, y in ((rng.normal(0, 100, n), rng.normal(0, 40, n)), (np.cos(np.arange(n)), np.sin(np.arange(n))), (rng.integers(0, 50, n) * 1.0, rng.integers(0, 50, n) * 1.0), (np.arange(n) * 1.0, np.arange(n) * 2.0)):
+            want = max(float(np.hypot(x[a : a + 500, None] - x, y[a : a + 500, None] - y).max()) for a in range(0, n, 500))
+            assert tracks.diameter(x, y) == pytest.approx(want, rel=1e-15)
+
+
+def test_marked_points(spark):
+    rows = [("a", i, at(30 * i), 100.0 * i, 0.0) for i in range(5)] + [("b", 10, at(0), 0.0, 0.0)]
+    p = tracks.split_tracks(spark.createDataFrame(rows, POINTS), SplitParams())
+    got = tracks.mark_points(p, TrackFilterParams(), ["entity", "track_no"], ["source_row"]).collect()
+    assert sorted((r.source_row, r.is_valid_track) for r in got) == [(i, True) for i in range(5)] + [(10, False)]
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_neighbours_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(spatial, "BLOCK", block)
+    rng = random.Random(4)
+    rows = [(i, rng.choice([rng.uniform(0, 300), rng.gauss(100, 1)]), rng.choice([rng.uniform(0, 300), rng.gauss(100, 1)])) for i in range(250)]
+    rows += [(300 + i, 50.0, 50.0) for i in range(40)] + [(900, None, 1.0), (901, math.nan, 1.0), (902, math.inf, 1.0), (None, 50.0, 50.0)]
+    df = spark.createDataFrame(rows, "i int, x double, y double")
+    fine = [r for r in rows if r[0] is not None and r[1] is not None and math.isfinite(r[1])]
+    want = []
+    for i, x, y in fine:
+        near = sorted((d, j) for j, u, v in fine if j != i and (d := math.sqrt((x - u) ** 2 + (y - v) ** 2)) <= 60)[:5]
+        want += [(i, j, d, n) for n, (d, j) in enumerate(near, 1)]
+    assert sorted(map(tuple, spatial.knn_within(df, df, "i", "i", 60.0, 5).collect())) == [(i, j, pytest.approx(d), n) for i, j, d, n in sorted(want)]
+    other = spark.createDataFrame([(7, 51.0, 50.0), (3, 49.0, 50.0)], "j int, x double, y double")
+    assert sorted(tuple(r)[1:] for r in spatial.knn_within(df.where("i in (300, 900)"), other, "i", "j", 60.0, 5).collect()) == [(3, 1.0, 1), (7, 1.0, 2)]
+
+
+def test_lookup_or_nearest_loses_no_point(spark):
+    cells = spark.createDataFrame([(0, 0, 5), (3, 0, 2), (0, 3, 2), (9, 9, None)], "cell_x int, cell_y int, region int")
+    pts = [(1, 5.0, 5.0), (2, 25.0, 25.0), (3, 1e9, -1e9), (4, None, 3.0), (5, 20.0, 5.0), (6, math.nan, 0.0), (7, 95.0, 95.0)]
+    got = {r.i: (r.region, r.is_fallback) for r in spatial.lookup_or_nearest(spark.createDataFrame(pts, "i int, x double, y double"), cells, 10.0, "i").collect()}
+    assert got == {1: (5, False), 2: (2, True), 3: (2, True), 4: (None, True), 5: (2, True), 6: (None, True), 7: (2, True)}
+    assert [(r.region, r.is_fallback) for r in spatial.lookup_or_nearest(spark.createDataFrame(pts, "i int, x double, y double"), cells.where("region < 0"), 10.0, "i").collect()] == [(None, True)] * 7
 
 
 def test_forward_fill_and_asof(spark):
@@ -185,34 +225,48 @@ def test_information_and_similarity(spark):
     assert stats.element_similarity(df, "a", "b", "n").first()[0] == pytest.approx(1.0)
 
 
-def crossing(region, length, at=0.0):
-    return (region, length, at, 0.0, at + length, 0.0)
-
-
-@pytest.mark.parametrize(
-    "rows,offsets,want,cuts",
-    [
-        ([], [], [], 0),
-        ([(1, 200)], [], [(1, 200, False)], 0),
-        ([(1, 50)], [], [], 0),
-        ([(1, 50)], [10, 50], [(1, 50, False)], 0),  # the last span is closed
-        ([(1, 50), (2, 200)], [10, 50], [(2, 200, False)], 0),  # any other is half open
-        ([(1, 200), (2, 50), (1, 200)], [], [(1, 450, False)], 0),
-        ([(1, 200), (None, 150), (1, 200)], [], [(1, 200, False), (1, 200, True)], 1),
-        ([(1, 200), (None, 50), (1, 200)], [], [(1, 450, False)], 0),
-        ([(1, 200), (None, 150), (2, 50), (3, 200)], [], [(1, 200, False), (3, 200, True)], 1),
-        ([(None, 150), (1, 200)], [], [(1, 200, False)], 1),
-        ([(1, 200), (None, 150)], [], [(1, 200, False)], 1),
-        ([(1, 60), (1, 60)], [], [(1, 120, False)], 0),
-    ],
-)
-def test_debounce(rows, offsets, want, cuts):
-    at, crossings = 0.0, []
-    for region, length in rows:
-        crossings.append(crossing(region, length, at))
-        at += length
-    got, n = visits.debounce(crossings, offsets, DebounceParams())
-    assert [(s["region"], s["length"], s["gap"]) for s in got] == want and n == cuts
+DEBOUNCE = [
+    # region and length of each crossing; offsets; visits (region, entry, exit, gap before); spans, cuts
+    ([(1, 200)], [], [(1, 0, 200, False)], 1, 0),
+    ([(1, 50)], [], [], 1, 0),
+    ([(1, 50)], [10, 50], [(1, 0, 50, False)], 1, 0),  # the last span is closed
+    ([(1, 50), (2, 200)], [10, 50], [(2, 50, 250, False)], 2, 0),  # any other is half open
+    ([(1, 150), (2, 50)], [10, 150, 200], [(1, 0, 150, False), (2, 150, 200, False)], 2, 0),
+    ([(1, 200), (2, 50), (1, 200)], [], [(1, 0, 450, False)], 3, 0),
+    ([(1, 200), (None, 150), (1, 200)], [], [(1, 0, 200, False), (1, 350, 550, True)], 3, 1),
+    ([(1, 200), (None, 50), (1, 200)], [], [(1, 0, 450, False)], 3, 0),
+    ([(1, 150), (None, 40), (2, 150)], [], [(1, 0, 190, False), (2, 190, 340, False)], 3, 0),
+    ([(1, 150), (None, 50), (1, 150)], [160, 180], [(1, 0, 150, False), (1, 200, 350, True)], 3, 1),  # points can cut
+    ([(1, 200), (None, 150), (2, 50), (3, 200)], [], [(1, 0, 200, False), (3, 400, 600, True)], 4, 1),
+    ([(1, 200), (None, 150), (2, 50), (None, 150), (3, 200)], [], [(1, 0, 200, False), (3, 550, 750, True)], 5, 1),  # two cuts before one visit
+    ([(None, 150), (1, 200)], [], [(1, 150, 350, True)], 2, 1),  # a leading gap
+    ([(None, 150), (1, 200), (None, 150)], [], [(1, 150, 350, True)], 3, 2),
+    ([(1, 200), (None, 150)], [], [(1, 0, 200, False)], 2, 1),
+    ([(1, 200), (None, 150), (2, 20)], [], [(1, 0, 200, False)], 3, 1),
+    ([(None, 300)], [], [], 1, 0),  # nothing but a gap is no cut
+    ([(1, 60), (1, 60)], [], [(1, 0, 120, False)], 1, 0),
+    ([(1, 80), (1, 80), (2, 40)], [], [(1, 0, 200, False)], 2, 0),
+    ([(None, 50), (2, 40), (1, 200)], [], [(1, 90, 290, False)], 3, 0),
+]
+
+
+def test_debounce(spark):
+    rows, marks = [], []
+    for k, (line, offsets, *_) in enumerate(DEBOUNCE):
+        at = 0.0
+        for i, (region, length) in enumerate(line):
+            rows.append((k, i, region, float(length), at, 0.0, at + length, 0.0))
+            at += length
+        marks += [(k, float(o)) for o in offsets]
+    c = spark.createDataFrame(rows, "k int, run_index int, region int, length_m double, entry_x double, entry_y double, exit_x double, exit_y double")
+    o = spark.createDataFrame([*marks, (999, 5.0), (0, None)], "k int, offset_m double")
+    got = {}
+    for r in visits.debounce_pieces(c, o, ["k"], DebounceParams()).orderBy("k", "visit_index").collect():
+        got.setdefault(r.k, []).append((r.region, r.entry_x, r.exit_x, r.gap_before))
+        assert r.visit_index == len(got[r.k]) - 1 and r.length_m == r.exit_x - r.entry_x
+    assert [got.get(k, []) for k in range(len(DEBOUNCE))] == [want for _, _, want, _, _ in DEBOUNCE]
+    cuts = {r.k: (r.candidates, r.visits, r.cuts) for r in visits.piece_cuts(c, o, ["k"], DebounceParams()).collect()}
+    assert [cuts[k] for k in range(len(DEBOUNCE))] == [(n, len(want), cut) for _, _, want, n, cut in DEBOUNCE]
 
 
 def test_circular(spark):
@@ -223,42 +277,125 @@ def test_circular(spark):
     assert got[2].r == pytest.approx(1) and got[2].mean_bearing == pytest.approx(0) and got[1].r is None and got[1].mean_bearing is None
 
 
-def brute_viterbi(roads, points):
-    from itertools import product
+def plain_move(roads, a, b):
+    """Length of the way between two candidates (edge, place) by all ways up to the cut-off."""
+    (e, s), (f, t) = a, b
+    if e == f:
+        return None if t - s < -roads.p.backtrack_m else max(0.0, t - s)
+    best = {int(roads.head[e]): 0.0}
+    for _ in range(len(roads.length)):
+        for i in range(len(roads.length)):
+            u, v = int(roads.tail[i]), int(roads.head[i])
+            if u in best and best[u] + roads.length[i] <= roads.p.cutoff_m:
+                best[v] = min(best.get(v, math.inf), best[u] + roads.length[i])
+    return roads.length[e] - s + best[int(roads.tail[f])] + t if int(roads.tail[f]) in best else None
+
 
-    options = roads.candidates(points)
-    best = None
-    for path in product(*options):
-        s = roads.emission(path[0])
-        for (a, b), (p, q) in zip(zip(path, path[1:]), zip(points, points[1:])):
-            m = roads.move(a, b)
-            s += roads.emission(b) - (roads.p.no_path_cost if m is None else abs(m[0] - math.dist(p, q)) / roads.p.beta_m)
-        if best is None or s > best + 1e-12:
-            best = s
-    return best
+def plain_score(roads, points, path):
+    dist, edge, along = roads.candidates(np.array(points))
+    at = lambda i, k: (int(edge[i, k]), along[i, k])
+    emit = lambda i, k: -(dist[i, k] ** 2) / (2 * roads.p.sigma_m**2) - (0 if roads.legal[edge[i, k]] else roads.p.contraflow_penalty)
+    total = emit(0, path[0])
+    for i in range(1, len(points)):
+        m = plain_move(roads, at(i - 1, path[i - 1]), at(i, path[i]))
+        total += emit(i, path[i]) - (roads.p.no_path_cost if m is None else abs(m - math.dist(points[i - 1], points[i])) / roads.p.beta_m)
+    return total
+
+
+STREETS = [(0, 1, 2, [(0, 0), (100, 0)], True, True), (1, 2, 3, [(100, 0), (100, 100)], True, False), (2, 1, 4, [(0, 0), (0, 100)], True, True)]
+
+
+def matched(roads, *lines):
+    sizes = np.array([len(x) for x in lines])
+    return roads.match_all(np.array([p for x in lines for p in x], float).reshape(-1, 2), sizes)
 
 
 def test_map_matching():
+    from itertools import product
+
     p = MatchParams()
-    roads = matching.Roads([(0, 1, 2, [(0, 0), (100, 0)], True, True), (1, 2, 3, [(100, 0), (100, 100)], True, False), (2, 1, 4, [(0, 0), (0, 100)], True, True)], p)
+    roads = matching.Roads(STREETS, p)
     points = [(10.0, 5.0), (60.0, -4.0), (95.0, 20.0), (104.0, 80.0)]
-    rows = roads.match(points)
-    assert [r["edge"] for r in rows] == [0, 0, 2, 2] and {r["piece"] for r in rows} == {0}
-    assert rows[-1]["offset_m"] == pytest.approx(170)
-    chosen = roads.viterbi(points, roads.candidates(points))
-    s = roads.emission(chosen[0]) + sum(roads.emission(b) - abs(roads.move(a, b)[0] - math.dist(x, y)) / p.beta_m for a, b, x, y in zip(chosen, chosen[1:], points, points[1:]))
-    assert s == pytest.approx(brute_viterbi(roads, points))
-    far = roads.match([(10.0, 5.0), (5000.0, 5000.0), (0.0, 90.0)])
-    assert far[1]["edge"] is None and [far[0]["piece"], far[2]["piece"]] == [0, 1]
-    assert roads.route(4, 3) is not None and roads.route(3, 1) is not None and roads.route(99, 1) is None
+    rows = matched(roads, points)
+    assert rows["edge"].tolist() == [0, 0, 2, 2] and rows["piece"].tolist() == [0] * 4
+    assert rows["offset_m"][-1] == pytest.approx(170) and rows["inferred_m"].sum() == 0
+    dist, edge, along = roads.candidates(np.array(points))
+    first, size = np.array([0]), np.array([4])
+    chosen = roads.viterbi(np.array(points), dist, edge, along, first, size)
+    best = max(plain_score(roads, points, path) for path in product(*[range(int((e >= 0).sum())) for e in edge]))
+    assert plain_score(roads, points, chosen) == pytest.approx(best)
+    # Two pieces around a point far from any road; a single point rides over nothing, so it is no piece.
+    far = matched(roads, [(10.0, 5.0), (60.0, 0.0), (5000.0, 5000.0), (0.0, 90.0), (0.0, 20.0)], [(10.0, 5.0)], [], [(9e9, 0.0)], [(50.0, 0.0), (90.0, 0.0)])
+    assert far["piece"].tolist() == [0, 0, -1, 1, 1, -1, -1, 0, 0] and far["edge"].tolist()[2] == -1 and far["edge"].tolist()[5] >= 0
+    assert far["offset_m"][[1, 4, 8]].tolist() == [50, 70, 40]
+    nodes = roads.nodes
+    assert roads.between(np.array([nodes[4]]), np.array([nodes[3]]))[0] == 300
+    assert roads.way(nodes[4], nodes[3]) == [5, 0, 2]
+
+
+def test_matching_many_tracks_is_matching_each():
+    rng = random.Random(8)
+    grid_ = [(k, a, b, line, True, k % 3 > 0) for k, (a, b, line) in enumerate([(i * 10 + j, i * 10 + j + 1, [(i * 90, j * 90), (i * 90, j * 90 + 90)]) for i in range(6) for j in range(5)] + [(i * 10 + j, i * 10 + 10 + j, [(i * 90, j * 90), (i * 90 + 30, j * 90 + 8), (i * 90 + 90, j * 90)]) for i in range(5) for j in range(6)])]
+    lines = []
+    for n in (1, 2, 9, 30, 5, 17, 1, 30):
+        x, y, line = rng.uniform(0, 450), rng.uniform(0, 450), []
+        for _ in range(n):
+            x, y = x + rng.gauss(0, 50), y + rng.gauss(0, 50)
+            line.append((x, y))
+        lines.append(line)
+    p = MatchParams(radius_m=45.0)
+    together = matched(matching.Roads(grid_, p), *lines)
+    at = 0
+    for line in lines:
+        alone = matched(matching.Roads(grid_, p), line)
+        for c, v in alone.items():
+            assert together[c][at : at + len(line)].tolist() == v.tolist()
+        at += len(line)
+    assert (together["edge"] < 0).any() and len(set(together["piece"].tolist())) > 2
+
+
+def test_match_tables(spark):
+    points = [("a", 1, 10.0, 5.0), ("a", 2, 60.0, -4.0), ("a", 3, 95.0, 20.0), ("a", 4, 104.0, 80.0), ("b", 1, 0.0, 95.0), ("b", 2, 100.0, 50.0), ("c", 1, 9e9, 0.0), ("d", 1, 10.0, 0.0), ("d", 2, 0.0, 95.0), ("d", 3, 9e9, 0.0), ("d", 4, 100.0, 10.0), ("d", 5, 100.0, 60.0)]
+    df = spark.createDataFrame(points, "t string, n int, x double, y double")
+    at, edges, pieces = matching.match_tables(df, STREETS, MatchParams(), ["t"], "n")
+    rows = {(r.t, r.n): r for r in at.collect()}
+    assert [rows["a", i].edge for i in (1, 2, 3, 4)] == [0, 0, 2, 2] and rows["c", 1].edge is None and rows["c", 1].snap_m is None and rows["d", 4].piece == 1
+    assert {(r.t, r.n): r.offset_m for r in matching.match_tracks(df, STREETS, MatchParams(), ["t"], "n").collect()} == {k: r.offset_m for k, r in rows.items()}
+    assert [(r.seq, r.edge, r.start_m, r.end_m, r.is_inferred) for r in edges.where("t = 'a'").orderBy("seq").collect()] == [(0, 0, 10.0, 60.0, False), (1, 0, 60.0, 100.0, False), (2, 2, 0.0, 20.0, False), (3, 2, 20.0, 80.0, False)]
+    # From the end of one street to the middle of another: the street between was not observed.
+    assert [(r.edge, r.is_inferred) for r in edges.where("t = 'b'").orderBy("seq").collect()] == [(5, False), (0, True), (2, False)]
+    found = {(r.t, r.piece): r for r in pieces.collect()}
+    assert set(found) == {("a", 0), ("b", 0), ("d", 0), ("d", 1)}
+    assert [(v.x, v.y) for v in found["a", 0].line] == [(10, 0), (60, 0), (100, 0), (100, 20), (100, 80)]
+    assert (found["b", 0].length_m, found["b", 0].observed_m, found["b", 0].inferred_m) == (245, 145, 100)
+    for r in found.values():
+        assert r.length_m == pytest.approx(sum(math.dist(a, b) for a, b in zip(r.line, r.line[1:])))
+    legal = spark.createDataFrame([(2 * k + d, ok) for k, *_, f, b in STREETS for d, ok in enumerate((f, b))], "edge long, is_legal_direction boolean")
+    inside = pieces.withColumn("on_area", F.col("t") != "b")
+    judged = {r.t: r for r in matching.judge_matches(at, inside, ["t"], "n", MatchParams(), legal, "on_area").collect()}
+    assert judged["a"].is_valid and judged["a"].matched_points == 4 and judged["a"].contraflow_points == 0
+    assert judged["b"].fails_inside and judged["b"].fails_inferred and not judged["b"].is_valid
+    assert judged["c"].match_rate == 0 and judged["c"].pieces == 0 and judged["c"].path_inside and judged["c"].inferred_share == 1.0
+    assert judged["d"].path_breaks == 0 and judged["d"].pieces == 2 and matching.piece_points(pieces, ["t"]).where("t = 'a'").count() == 5
+
+
+def test_network_tables_feed_the_matcher(spark):
+    from trailweave.operators.network import AccessRules, build_network
+
+    ways = spark.createDataFrame([(1, {"highway": "a", "oneway": "yes"}, [1, 2, 3]), (2, {"highway": "b"}, [2, 4])], "osmid long, tags map<string,string>, refs array<long>")
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0), (3, 200.0, 0.0), (4, 100.0, 90.0)], "id long, x double, y double")
+    rows = matching.network_rows(*build_network(ways, nodes, AccessRules()))
+    assert rows == [(0, 1, 2, [(0, 0), (100, 0)], True, False), (1, 2, 3, [(100, 0), (200, 0)], True, False), (2, 2, 4, [(100, 0), (100, 90)], True, True)]
+    df = spark.createDataFrame([("a", 1, 20.0, 3.0), ("a", 2, 150.0, -3.0), ("a", 3, 190.0, 0.0)], "t string, n int, x double, y double")
+    assert [r.edge for r in matching.match_tracks(df, rows, MatchParams(), ["t"], "n").orderBy("n").collect()] == [0, 2, 2]
 
 
 def test_candidates_of_bent_segments():
     rng = random.Random(4)
     lines = [(k, 2 * k, 2 * k + 1, [(rng.uniform(0, 300), rng.uniform(0, 300)) for _ in range(rng.randrange(2, 5))], True, True) for k in range(12)]
     roads = matching.Roads(lines, MatchParams(radius_m=80.0))
-    points = [(rng.uniform(-50, 350), rng.uniform(-50, 350)) for _ in range(60)]
-    for (x, y), got in zip(points, roads.candidates(points)):
+    points = np.array([(rng.uniform(-50, 350), rng.uniform(-50, 350)) for _ in range(60)])
+    for (x, y), dist, edge, along in zip(points.tolist(), *roads.candidates(points)):
         want = []
         for k, _, _, pts, _, _ in lines:
             at, best = 0.0, (math.inf, 0.0)
@@ -270,8 +407,9 @@ def test_candidates_of_bent_segments():
             if best[0] <= 80:
                 want.append((best[0], 2 * k, best[1], at - best[1]))
         want = sorted(want)[:5]
-        assert [g[1] for g in got] == [e for w in want for e in (w[1], w[1] + 1)]
-        assert [v for g in got for v in (g[0], g[2])] == pytest.approx([v for w in want for v in (w[0], w[2], w[0], w[3])])
+        n = 2 * len(want)
+        assert edge[:n].tolist() == [e for w in want for e in (w[1], w[1] + 1)] and (edge[n:] == -1).all()
+        assert [v for g in zip(dist[:n], along[:n]) for v in g] == pytest.approx([v for w in want for v in (w[0], w[2], w[0], w[3])])
 
 
 def test_communities_and_tidying():
@@ -284,10 +422,12 @@ def test_communities_and_tidying():
     done = community.tidy(of, [((3, 0), (4, 0), 5.0), ((4, 0), (5, 0), 9.0)], 2)
     assert done.regions == {(x, 0): 1 for x in range(4)} | {(x, 0): 2 for x in range(4, 8)}
     ring = {(x, y): 0 for x in range(3) for y in range(3)} | {(1, 1): 5}
-    assert community.fill_enclosed(ring) == ({c: 0 for c in ring}, 1)
+    grid_ = community.Raster(ring)
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in grid_.enclosed(grid_.labels(ring))] == [[0] * 9, 1]
     assert community.layer_stats({c: 1 for c in ring if c != (1, 1)}) == {"regions": 1, "multipart": 0, "holes": 1}
-    assert community.display_fill({c: 1 for c in ring if c != (1, 1)}, list(ring))[(1, 1)] == 1
-    assert community.spread_labels({(0, 0): 2, (2, 0): 1}, [(1, 0), (9, 9)]) == {(0, 0): 2, (1, 0): 1, (2, 0): 1}
+    filled = community.display_fill({c: 1 for c in ring if c != (1, 1)}, list(ring), 150.0)
+    assert filled.regions[(1, 1)] == 1 and filled.filled == ((1, 1),) and filled.waves == 1
+    assert community.spread_labels({(0, 0): 2, (2, 0): 1}, [(1, 0), (9, 9)]) == ({(0, 0): 2, (1, 0): 1, (2, 0): 1}, 1)
     assert len(community.island_cells([(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)], 10.0)) == 9
     w = community.shuffle_weights(links, 1)
     assert sorted(x[2] for x in w) == sorted(x[2] for x in links) and w == community.shuffle_weights(links[::-1], 1)
@@ -296,6 +436,51 @@ def test_communities_and_tidying():
     assert community.districts({(0, 0): 1, (1, 0): 2, (9, 9): 3}, [((0, 0), (1, 0), 3.0), ((1, 0), (0, 0), 3.0)]) == {1: 1, 2: 1, 3: 2}
 
 
+def test_display_fill_keeps_wide_open_blocks():
+    island = [(x, y) for x in range(40) for y in range(30)]
+    lake = {(x, y) for x in range(10, 24) for y in range(8, 22)}
+    lane = {(x, 4) for x in range(40)} | {(x, 5) for x in range(40)}
+    of = {c: 1 + c[0] // 20 for c in island if c not in lake | lane}
+    out = community.display_fill(of, island, 150.0)
+    # 14 x 14 cells of 150 m are 4.4 km2; an erosion by two steps and back takes only the corners, which are filled.
+    assert lane <= set(out.filled) and len(out.blocks) == 1 and out.blocks == (4.14,)
+    corners = lake & set(out.filled)
+    assert len(lake) - len(corners) == round(out.blocks[0] * 1e6 / 150**2) and {(10, 8), (23, 21)} <= corners
+    assert community.display_fill(of, island, 150.0, max_hole_km2=5.0).blocks == () and len(community.display_fill(of, island, 150.0, max_hole_km2=5.0).regions) == len(island)
+    # Off the island nothing is filled, and of labels that reach a cell at once the smaller one stays.
+    assert community.display_fill({(0, 0): 7, (2, 0): 3, (9, 9): 1}, [(0, 0), (1, 0), (2, 0)], 150.0).regions == {(0, 0): 7, (1, 0): 3, (2, 0): 3, (9, 9): 1}
+
+
+def test_tidying_rules():
+    strip = {(x, 0): 1 for x in range(14)} | {(x, 0): 2 for x in range(14, 17)} | {(x, 0): 3 for x in range(17, 31)}
+    weak, strong = [((13, 0), (14, 0), 1.0)], [((16, 0), (17, 0), 1.0), ((17, 0), (16, 0), 1.0)]
+    assert community.tidy(strip, weak + strong).regions[(14, 0)] == community.tidy(strip, weak + strong).regions[(20, 0)]
+    # Equal flow: the longer border; then the smaller number.
+    field = {(x, 0): 1 for x in range(14)} | {(x, 2): 3 for x in range(14)} | {(0, 1): 2, (14, 0): 1, (14, 1): 1}
+    done = community.tidy(field, [])
+    assert done.regions[(0, 1)] == done.regions[(0, 0)]
+    # A small part without a neighbour stays, parts of one label that don't touch come apart, numbers go by size.
+    alone = community.tidy({(0, 0): 1, (5, 5): 1, (5, 6): 1}, [])
+    assert alone.regions == {(5, 5): 1, (5, 6): 1, (0, 0): 2} and alone.steps[0] == ("split", 1, 2)
+    assert community.tidy({}, []).regions == {}
+    rng = random.Random(5)
+    for _ in range(20):
+        of = {(x, y): rng.randrange(4) for x in range(9) for y in range(9) if rng.random() < 0.8}
+        r = community.Raster(of)
+        seen, want = {}, 0
+        for c in sorted(of):
+            if c not in seen:
+                stack = [c]
+                while stack:
+                    u = stack.pop()
+                    if seen.setdefault(u, want) == want:
+                        stack += [v for v in ((u[0] + 1, u[1]), (u[0] - 1, u[1]), (u[0], u[1] + 1), (u[0], u[1] - 1)) if of.get(v) == of[u] and v not in seen]
+                want += 1
+        assert r.mapping(r.parts(r.labels(of))) == seen
+        out = community.tidy(of, [], 5)
+        assert set(out.regions) == set(of) and sorted(set(out.regions.values())) == list(range(1, len(set(out.regions.values())) + 1))
+
+
 def test_trajectories():
     got = trajectory.interpolate([(0, 0), (10, 0), (10, 10)], [(0, 0), (20, 2_000_000)])
     assert got == [(0, 0, 0), (10, 0, 1_000_000), (10, 10, 2_000_000)]

@@ -2,32 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block of a crowded cell.
+BLOCK = 1024
+#: Cells or polygon vertices of a map that may be sent to every worker.
+MAX_CELLS = 2_000_000
+
+
+def _blocks(rows: DataFrame, radius: float, fields: Sequence[str], name: str, halo: bool) -> DataFrame:
+    """Rows in cells as wide as the radius (with a halo, also in the eight around), and in blocks of about BLOCK rows of a crowded cell: bx, by and an array for each field."""
+    placed = rows.withColumns({"bx": F.floor(F.col("x") / radius), "by": F.floor(F.col("y") / radius)})
+    size = placed.groupBy("bx", "by").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
+    dealt = placed.join(size, ["bx", "by"]).withColumn("block", F.pmod(F.xxhash64(*fields), F.col("cuts")))
+    if halo:
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
+        dealt = dealt.select(*fields, "block", "bx", "by", around).withColumns({"bx": F.col("bx") + F.col("d.dx"), "by": F.col("by") + F.col("d.dy")})
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: as many tasks as the session has partitions
+    held = dealt.repartition(tasks, "bx", "by").groupBy("bx", "by", "block").agg(F.collect_list(F.struct(*fields)).alias("v"))
+    return held.select("bx", "by", *[F.col(f"v.{c}").alias(f"{name}_{c}") for c in fields])
+
+
+def _near(places: DataFrame, rows: DataFrame, radius: float, k: int) -> DataFrame:
+    """For each place (x, y) the k nearest rows (id, x, y) within the radius, ties by id: x, y, near (array of d, id in order). Each block of places of a cell meets each block of rows in and around it in an Arrow batch, and some k rows for each place leave it."""
+    pairs = _blocks(places, radius, ["x", "y"], "l", False).join(_blocks(rows, radius, ["id", "x", "y"], "r", True).hint("merge"), ["bx", "by"]).drop("bx", "by")
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lx, ly, ri, rx, ry in zip(*[pdf[c] for c in ("l_x", "l_y", "r_id", "r_x", "r_y")], strict=True):
+                dx, dy = np.subtract.outer(lx, rx), np.subtract.outer(ly, ry)
+                dx *= dx
+                dy *= dy
+                dx += dy
+                # Squares a hair beyond the bound stay: roots decide, and ties go by id further on.
+                most = radius * radius * (1 + 1e-12)
+                if dx.shape[1] > k:
+                    most = np.minimum(np.partition(dx, k - 1, axis=1)[:, k - 1 : k] * (1 + 1e-12), most)
+                i, j = np.nonzero(dx <= most)
+                d = np.sqrt(dx[i, j])
+                near = d <= radius
+                yield pd.DataFrame({"x": lx[i[near]], "y": ly[i[near]], "d": d[near], "id": ri[j[near]]})
+
+    found = pairs.mapInPandas(nearest, f"x double, y double, d double, id {dict(rows.dtypes)['id']}")
+    return found.groupBy("x", "y").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k).alias("near"))
 
-def knn_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, k: int) -> DataFrame:
-    """At most k right rows within the radius of each left row, nearest first, ties by id: left id, right id, distance_m, rank.
 
-    Both sides fall into cells as wide as the radius; a left row visits the nine
-    cells around it, so the join is an equi-join on cells.
+def knn_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, k: int) -> DataFrame:
+    """At most k right rows within the radius of each left row, nearest first, ties by id: left id, right id, distance_m, rank. With one id column for both sides a row is not its own neighbour.
+
+    Work goes by place: rows at one place share their neighbours, and of right
+    rows at one place only the k + 1 smallest ids can be anybody's. Where cells as
+    wide as the radius are crowded, places that have enough neighbours within a
+    quarter of it, or a sixteenth and so on, are settled there first; all others
+    go on to the next wider cells, the last to the radius itself. Rows without an
+    id or a finite place have no neighbours and are nobody's.
     """
-    bx, by = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = left.select(F.col(left_id).alias("__l"), F.col("x").alias("__x"), F.col("y").alias("__y"), bx.alias("__bx"), by.alias("__by")).select("*", around.alias("__d"))
-    a = a.withColumns({"__bx": F.col("__bx") + F.col("__d.dx"), "__by": F.col("__by") + F.col("__d.dy")}).drop("__d")
-    b = right.select(F.col(right_id).alias("__r"), F.col("x").alias("__x2"), F.col("y").alias("__y2"), bx.alias("__bx"), by.alias("__by"))
-    d2 = (F.col("__x") - F.col("__x2")) * (F.col("__x") - F.col("__x2")) + (F.col("__y") - F.col("__y2")) * (F.col("__y") - F.col("__y2"))
-    near = a.join(b, ["__bx", "__by"]).withColumn("distance_m", F.sqrt(d2)).where(F.col("distance_m") <= radius)
-    if left_id == right_id:
-        near = near.where("__l <> __r")
-    w = Window.partitionBy("__l").orderBy("distance_m", "__r")
-    other = right_id if right_id != left_id else f"near_{right_id}"
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("__l").alias(left_id), F.col("__r").alias(other), "distance_m", "rank")
+    same = left_id == right_id
+    other = f"near_{right_id}" if same else right_id
+    placed = lambda df, id_: df.select(F.col(id_).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(F.col("id").isNotNull() & (F.abs("x") < math.inf) & (F.abs("y") < math.inf))
+    a, b = placed(left, left_id), placed(right, right_id)
+    nth = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    rows = b.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
+    open_ = a.select("x", "y").distinct()
+    crowd = rows.groupBy(F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    levels = max(0, math.ceil(math.log(crowd / (4 * BLOCK), 16))) if crowd > 4 * BLOCK else 0
+    found = None
+    for r in [radius / 4**j for j in range(min(levels, 10), -1, -1)]:
+        near = _near(open_, rows, r, k + 1)
+        if r < radius:
+            near = near.where(F.size("near") > k)
+            open_ = open_.join(near, ["x", "y"], "left_anti")
+        found = near if found is None else found.union(near)
+    own = F.filter("near", lambda n: n["id"] != F.col("id")) if same else F.col("near")
+    out = a.join(found, ["x", "y"]).select(F.col("id").alias(left_id), F.posexplode(F.slice(own, 1, k)).alias("at", "n"))
+    return out.select(left_id, F.col("n.id").alias(other), F.col("n.d").alias("distance_m"), (F.col("at") + 1).alias("rank"))
 
 
 def nearest_anchor(points: DataFrame, anchors: Sequence[tuple[int, float, float]], x: str = "x", y: str = "y") -> Column:
@@ -39,29 +93,35 @@ def nearest_anchor(points: DataFrame, anchors: Sequence[tuple[int, float, float]
 def lookup_or_nearest(points: DataFrame, cells: DataFrame, size: float, key: str) -> DataFrame:
     """Region of the cell of each point, else of the nearest cell centre that has one (ties to the smaller region, then cell), and whether that fallback was used.
 
-    Points without a hit search rings of ever larger blocks of cells, so far
-    points cost a few more equi-joins rather than a cross join.
+    Regions are as many cells as the map has: they are gathered once, sorted by
+    cell, and sent to the workers, where points without a hit are measured against
+    all centres in pieces, each exactly. More than MAX_CELLS cells are refused. A
+    point without coordinates, and any point if there are no cells, has a null
+    region and counts as a fallback.
     """
-    hit = points.withColumns({"cell_x": F.floor(F.col("x") / size).cast("int"), "cell_y": F.floor(F.col("y") / size).cast("int")}).join(cells, ["cell_x", "cell_y"], "left")
-    found = hit.where("region is not null").select(key, "region", F.lit(False).alias("is_fallback"))
-    open_ = hit.where("region is null").select(key, "x", "y", "cell_x", "cell_y")
-    extent = cells.agg(F.min("cell_x"), F.max("cell_x"), F.min("cell_y"), F.max("cell_y")).first()
-    if extent[0] is None:
-        return found.unionByName(open_.select(key, F.lit(None).cast("int").alias("region"), F.lit(True).alias("is_fallback")))
-    block = 4
-    d2 = (F.col("x") - (F.col("rx") + 0.5) * size) * (F.col("x") - (F.col("rx") + 0.5) * size) + (F.col("y") - (F.col("ry") + 0.5) * size) * (F.col("y") - (F.col("ry") + 0.5) * size)
-    while not open_.isEmpty():
-        offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
-        near = open_.select("*", offsets).withColumns({"bx": F.floor(F.col("cell_x") / block) + F.col("o.dx"), "by": F.floor(F.col("cell_y") / block) + F.col("o.dy")})
-        blocks = cells.select(F.floor(F.col("cell_x") / block).alias("bx"), F.floor(F.col("cell_y") / block).alias("by"), F.col("cell_x").alias("rx"), F.col("cell_y").alias("ry"), "region")
-        best = near.join(blocks, ["bx", "by"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), "region", "rx", "ry")).alias("best"))
-        sure = best.where(F.sqrt("best.d2") <= block * size)  # nothing outside the nine blocks is nearer
-        found = found.unionByName(sure.select(key, F.col("best.region").alias("region"), F.lit(True).alias("is_fallback")))
-        open_ = open_.join(sure, key, "left_anti")
-        block *= 4
-        if block > 16 * (2 + max(abs(v) for v in extent)) + 1_000_000:
-            break
-    return found
+    finite = (F.abs("x") < math.inf) & (F.abs("y") < math.inf)
+    hit = points.withColumns({f"cell_{c}": F.when(finite, F.floor(F.col(c) / size).cast("int")) for c in "xy"}).join(cells, ["cell_x", "cell_y"], "left")
+    rows = cells.where("region is not null").orderBy("region", "cell_x", "cell_y").select("region", "cell_x", "cell_y").limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells: cut the map first")
+    table = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3)
+    shared = points.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series, y: pd.Series) -> pd.Series:
+        t = shared.value
+        xs, ys = x.to_numpy(float), y.to_numpy(float)
+        out = np.full(len(xs), -1, np.int64)
+        fine = np.flatnonzero(np.isfinite(xs) & np.isfinite(ys)) if len(t) else np.zeros(0, int)
+        cx, cy = (t[:, 1] + 0.5) * size, (t[:, 2] + 0.5) * size
+        for a in range(0, len(fine), max(1, (1 << 21) // max(1, len(t)))):
+            part = fine[a : a + max(1, (1 << 21) // max(1, len(t)))]
+            dx, dy = xs[part][:, None] - cx, ys[part][:, None] - cy
+            out[part] = (dx * dx + dy * dy).argmin(axis=1)  # the first of equal ones, in order of region and cell
+        region = t[:, 0] if len(t) else np.zeros(1, np.int64)
+        return pd.Series(np.where(out >= 0, region[out], 0)).astype("Int32").mask(pd.Series(out < 0))
+
+    return hit.select(key, F.when(F.col("region").isNotNull(), F.col("region")).otherwise(F.when(F.col("region").isNull(), nearest("x", "y"))).alias("region"), F.col("region").isNull().alias("is_fallback"))
 
 
 def in_interval(items: DataFrame, spans: DataFrame, key: Sequence[str], at: str, start: str, end: str, last: str, width: float) -> DataFrame:

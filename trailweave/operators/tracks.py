@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import distance, seconds
 from ..params import SplitParams, TrackFilterParams
@@ -30,36 +33,76 @@ def split_tracks(points: DataFrame, p: SplitParams, entity: Sequence[str] = ("en
     return out.withColumns({c: F.when(~F.col("__start"), F.col(c)) for c in ("gap_s", "step_m", "speed_mps")}).drop("__t", "__x", "__y", "__start")
 
 
+#: Points up to which a track's range compares all pairs in columns; beyond, its hull does the same in Arrow batches.
+FEW = 24
+
+
 def largest_distance(points: Column) -> Column:
     """Largest distance between any two of an array of structs (x, y)."""
     far = F.transform(points, lambda a: F.array_max(F.transform(points, lambda b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))))
     return F.sqrt(F.array_max(far))
 
 
-def track_table(points: DataFrame, p: TrackFilterParams, key: Sequence[str], order: str = "source_row", ts: str = "ts", inside: str | None = None, max_points: int = 4096) -> DataFrame:
-    """One row for each track: size, times, range, shares, and each filter's flag, independent of the others.
-
-    The range compares all pairs of a track of at most ``max_points`` points; of
-    a longer one it is the largest distance between its extreme points in 16
-    directions, which differs from the diameter by less than 2 %.
-    """
-    agg = points.groupBy(*key).agg(
+def hull(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of the convex hull of points (monotone chain). Points within the octagon of the extreme points are left out first."""
+    if len(x) > 64:
+        at = np.unique([f(v) for v in (x, y, x + y, x - y) for f in (np.argmin, np.argmax)])
+        mid = np.arctan2(y[at] - y[at].mean(), x[at] - x[at].mean())
+        corner = at[np.argsort(mid)]
+        inside = np.ones(len(x), bool)
+        for i, j in zip(corner, np.roll(corner, -1), strict=True):
+            inside &= (x[j] - x[i]) * (y - y[i]) - (y[j] - y[i]) * (x - x[i]) > 0
+        keep = ~inside
+        keep[at] = True
+        x, y = x[keep], y[keep]
+    order = np.lexsort((y, x))
+    points = list(zip(x[order].tolist(), y[order].tolist(), strict=True))
+    out: list[tuple[float, float]] = []
+    for line in (points, points[::-1]):
+        chain: list[tuple[float, float]] = []
+        for p in line:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]) <= 0:
+                chain.pop()
+            chain.append(p)
+        out += chain[:-1] or chain
+    xs, ys = np.array(out).T
+    return xs, ys
+
+
+def diameter(x: np.ndarray, y: np.ndarray) -> float:
+    """Largest distance between two of the points: the farthest pair lies on the hull."""
+    x, y = hull(x, y)
+    best = 0.0
+    step = max(1, (1 << 20) // len(x))
+    for a in range(0, len(x), step):
+        dx, dy = np.subtract.outer(x[a : a + step], x), np.subtract.outer(y[a : a + step], y)
+        best = max(best, float((dx * dx + dy * dy).max()))
+    return math.sqrt(best)
+
+
+@F.pandas_udf(DoubleType())
+def hull_diameter(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """``diameter`` of each row's arrays; null for null."""
+    return pd.Series([None if x is None else diameter(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(xs, ys, strict=True)], dtype="float64")
+
+
+def _judged(grouped, p: TrackFilterParams, ts: str, inside: str | None, *more: Column) -> DataFrame:
+    """Tracks with their figures and flags from grouped points, and more aggregates."""
+    agg = grouped.agg(
         F.count("*").alias("points"),
         F.min(ts).alias("start_time"),
         F.max(ts).alias("end_time"),
         F.coalesce(F.sum("step_m"), F.lit(0.0)).alias("length_m"),
         F.coalesce(F.avg((F.col("speed_mps") < p.slow_speed_mps).cast("double")), F.lit(1.0)).alias("slow_share"),
         (F.bool_and(inside) if inside else F.lit(True)).alias("all_inside"),
-        F.array_distinct(F.collect_list(F.struct("x", "y"))).alias("__xy"),
+        F.collect_set(F.struct("x", "y")).alias("__xy"),
+        *more,
     )
     agg = agg.withColumn("duration_s", seconds(F.col("end_time")) - seconds(F.col("start_time")))
-    def extreme(angle: float) -> Column:
-        c, d = math.cos(angle), math.sin(angle)
-        return F.array_max(F.transform("__xy", lambda q: F.struct((q["x"] * c + q["y"] * d).alias("v"), q["x"].alias("x"), q["y"].alias("y"))))
-
-    corners = F.array(*[extreme(2 * math.pi * i / 16) for i in range(16)])
-    agg = agg.withColumn("range_m", F.when(F.size("__xy") <= max_points, largest_distance(F.col("__xy"))).otherwise(largest_distance(corners)))
-    agg = agg.withColumn("mean_speed_mps", F.when(F.col("duration_s") > 0, F.col("length_m") / F.col("duration_s")).otherwise(F.lit(float("inf")))).drop("__xy")
+    many = lambda c: F.when(F.size("__xy") > FEW, F.transform("__xy", lambda q: q[c]))
+    agg = agg.withColumn("__far", hull_diameter(many("x"), many("y")))
+    agg = agg.withColumn("range_m", F.when(F.size("__xy") <= FEW, largest_distance(F.col("__xy"))).otherwise(F.col("__far")))
+    agg = agg.withColumn("mean_speed_mps", F.when(F.col("duration_s") > 0, F.col("length_m") / F.col("duration_s")).otherwise(F.lit(float("inf")))).drop("__xy", "__far")
     flags = {
         "fails_points": F.col("points") < p.min_points,
         "fails_duration": (F.col("duration_s") <= p.min_duration_s) | (F.col("duration_s") >= p.max_duration_s),
@@ -75,9 +118,15 @@ def track_table(points: DataFrame, p: TrackFilterParams, key: Sequence[str], ord
     return out.withColumn("is_valid", ~fails)
 
 
-def mark_points(points: DataFrame, tracks: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Points with is_valid_track of their track."""
-    return points.join(tracks.select(*key, F.col("is_valid").alias("is_valid_track")), list(key), "left")
+def track_table(points: DataFrame, p: TrackFilterParams, key: Sequence[str], order: str = "source_row", ts: str = "ts", inside: str | None = None) -> DataFrame:
+    """One row for each track: size, times, range, shares, and each filter's flag, independent of the others. The range is the largest distance between any two points, exact at every length."""
+    return _judged(points.groupBy(*key), p, ts, inside)
+
+
+def mark_points(points: DataFrame, p: TrackFilterParams, key: Sequence[str], keep: Sequence[str], ts: str = "ts", inside: str | None = None) -> DataFrame:
+    """Points (key and ``keep``) with is_valid_track of their track: points are gathered with their track once and dealt out again, so that they are split once and never joined."""
+    held = _judged(points.groupBy(*key), p, ts, inside, F.collect_list(F.struct(*keep)).alias("__points"))
+    return held.select(*key, F.col("is_valid").alias("is_valid_track"), F.inline("__points"))
 
 
 def funnel(rows: DataFrame, flags: Sequence[tuple[str, str]], by: Sequence[str], weight: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tracks import split_tracks
@@ -51,6 +51,16 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_tracks(events(spark, sf_dir), SPLIT, ["user_id"], "event_id").withColumnRenamed("track_no", "s")
 
 
+WALK_X, WALK_Y = 5000.0, 3000.0
+
+
+def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long track of each user: events as small steps from the middle of the map, folded back at its borders. At sf0.1 a track has some 67 points, 50 m apart."""
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    fold = lambda step, size: F.lit(size) - F.abs(F.pmod(F.lit(size / 2) + F.sum(step).over(w), F.lit(2 * size)) - size)
+    return events(spark, sf_dir).select("user_id", "event_id", "ts", fold((F.col("value") - 50.0) * 0.8, WALK_X).alias("x"), fold(F.col("k") - 50.0, WALK_Y).alias("y"))
+
+
 SESS = E + """, lagged AS (
   SELECT *, t - lag(t) OVER w AS g, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS st
   FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)

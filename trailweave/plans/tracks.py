@@ -75,8 +75,7 @@ def filter_funnel(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {ROLL} SELECT event_id, user_id, s, is_valid AS is_valid_track FROM sess JOIN valid USING (user_id, s)")
 def mark_points(spark: SparkSession, sf: str) -> DataFrame:
-    points = sessions(spark, sf)
-    return tracks.mark_points(points, tracks.track_table(points, FILTERS, KEY, "event_id"), KEY).select("event_id", *KEY, "is_valid_track")
+    return tracks.mark_points(sessions(spark, sf), FILTERS, KEY, ["event_id"]).select("event_id", *KEY, "is_valid_track")
 
 
 @query(f"WITH {SESS} SELECT event_id, last_value(CASE WHEN event_id % 7 = 0 THEN event_type END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS event_type FROM sess")
@@ -158,21 +157,21 @@ CROSS = SESS + f""", legs AS (
   SELECT user_id, s, leg, part, cuts[part] AS a, cuts[part + 1] AS b, x0, y0, x1, y1 FROM parts0 WHERE cuts[part + 1] - cuts[part] > 1e-12
 ), placed AS (
   SELECT user_id, s, leg, part, CAST(floor((x0 + (a + b) / 2 * (x1 - x0)) / {CELL}) AS INTEGER) AS cx, CAST(floor((y0 + (a + b) / 2 * (y1 - y0)) / {CELL}) AS INTEGER) AS cy,
-         (b - a) * sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM parts
+         (b - a) * sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len, x0 + a * (x1 - x0) AS ex, y0 + a * (y1 - y0) AS ey, x0 + b * (x1 - x0) AS ox, y0 + b * (y1 - y0) AS oy FROM parts
 ), prev AS (
   SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py FROM placed WINDOW w AS (PARTITION BY user_id, s ORDER BY leg, part)
 ), stepped AS (
-  SELECT user_id, s, leg, part, 1000000 AS step, cx, cy, len FROM prev
+  SELECT user_id, s, leg, part, 1000000 AS step, cx, cy, len, ex, ey, ox, oy FROM prev
   UNION ALL
-  SELECT user_id, s, leg, part, i, CAST(px + sign(cx - px) * i AS INTEGER), py, 0.0 FROM (SELECT *, unnest(range(1, abs(cx - px) + 1)) AS i FROM prev WHERE px IS NOT NULL) WHERE NOT (px + sign(cx - px) * i = cx AND py = cy)
+  SELECT user_id, s, leg, part, i, CAST(px + sign(cx - px) * i AS INTEGER), py, 0.0, ex, ey, ex, ey FROM (SELECT *, unnest(range(1, abs(cx - px) + 1)) AS i FROM prev WHERE px IS NOT NULL) WHERE NOT (px + sign(cx - px) * i = cx AND py = cy)
   UNION ALL
-  SELECT user_id, s, leg, part, 1000 + i, cx, CAST(py + sign(cy - py) * i AS INTEGER), 0.0 FROM (SELECT *, unnest(range(1, abs(cy - py))) AS i FROM prev WHERE px IS NOT NULL)
+  SELECT user_id, s, leg, part, 1000 + i, cx, CAST(py + sign(cy - py) * i AS INTEGER), 0.0, ex, ey, ex, ey FROM (SELECT *, unnest(range(1, abs(cy - py))) AS i FROM prev WHERE px IS NOT NULL)
 ), runs0 AS (
   SELECT *, CASE WHEN lag(cx) OVER w IS NULL OR lag(cx) OVER w <> cx OR lag(cy) OVER w <> cy THEN 1 ELSE 0 END AS new FROM stepped WINDOW w AS (PARTITION BY user_id, s ORDER BY leg, part, step)
 ), runs AS (
   SELECT *, CAST(sum(new) OVER (PARTITION BY user_id, s ORDER BY leg, part, step ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS run_index FROM runs0
 ), crossing AS (
-  SELECT user_id, s, run_index, min(cx) AS cell_x, min(cy) AS cell_y, sum(len) AS length_m FROM runs GROUP BY ALL)"""
+  SELECT user_id, s, run_index, min(cx) AS cell_x, min(cy) AS cell_y, sum(len) AS length_m, first(ex ORDER BY leg, part, step) AS entry_x, first(ey ORDER BY leg, part, step) AS entry_y, last(ox ORDER BY leg, part, step) AS exit_x, last(oy ORDER BY leg, part, step) AS exit_y FROM runs GROUP BY ALL)"""
 
 
 @query(f"WITH {CROSS} SELECT user_id, s, run_index, cell_x, cell_y, round(length_m, 4) AS length_m FROM crossing")
@@ -222,17 +221,6 @@ def shared_edges(spark: SparkSession, sf: str) -> DataFrame:
     return g.crossJoin(F.broadcast(g.agg(F.max("tracks").alias("most"))))
 
 
-@query(
-    f"""WITH {E}, p AS (SELECT event_id, x, y FROM e), n AS (
-      SELECT a.event_id, b.event_id AS near_event_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance_m FROM p a JOIN p b ON a.event_id <> b.event_id), r AS (
-      SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY distance_m, near_event_id) AS INTEGER) AS rank FROM n WHERE distance_m <= 15.0)
-    SELECT event_id, near_event_id, round(distance_m, 6) AS distance_m, rank FROM r WHERE rank <= 5"""
-)
-def knn_radius(spark: SparkSession, sf: str) -> DataFrame:
-    p = events(spark, sf).select("event_id", "x", "y")
-    return rounded(spatial.knn_within(p, p, "event_id", "event_id", 15.0, 5))
-
-
 REACH = MatchParams().radius_m
 
 
@@ -242,8 +230,8 @@ REACH = MatchParams().radius_m
       SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY distance_m, near_event_id) AS INTEGER) AS rank FROM n WHERE distance_m <= {REACH})
     SELECT event_id, near_event_id, round(distance_m, 6) AS distance_m, rank FROM r WHERE rank <= {MatchParams().candidates}"""
 )
-def knn_reach(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours within the reference's radius, which reaches across rows of points."""
+def knn_radius(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest neighbours of every event within the matcher's radius, which reaches across rows of points."""
     p = events(spark, sf).select("event_id", "x", "y")
     return rounded(spatial.knn_within(p, p, "event_id", "event_id", REACH, MatchParams().candidates))
 
@@ -382,10 +370,11 @@ def percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(a.select("sessions", F.col("q")[0].alias("median_s"), F.col("q")[1].alias("p90_s"), F.col("q")[2].alias("p95_s"), "width_m"), 4)
 
 
-SEQ = VISIT + """, cut AS (SELECT *, sum(CASE WHEN rn = 1 THEN 0 WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, s ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seg
+LONGEST = SequenceParams().max_length
+SEQ = VISIT + f""", cut AS (SELECT *, sum(CASE WHEN rn = 1 THEN 0 WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, s ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seg
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id, s ORDER BY event_id) AS rn FROM visit)
 ), seqs AS (SELECT user_id, s, CAST(seg AS INTEGER) AS segment_index, list(region ORDER BY event_id) AS regions, min(d) AS d FROM cut GROUP BY ALL HAVING count(*) >= 2
-), runs AS (SELECT DISTINCT user_id, s, segment_index, d, regions[i:i + n - 1] AS pattern FROM (SELECT *, unnest(range(2, least(4, len(regions) - i + 1) + 1)) AS n FROM (SELECT *, unnest(range(1, len(regions))) AS i FROM seqs)))"""
+), runs AS (SELECT DISTINCT user_id, s, segment_index, d, regions[i:i + n - 1] AS pattern FROM (SELECT *, unnest(range(2, least({LONGEST}, len(regions) - i + 1) + 1)) AS n FROM (SELECT *, unnest(range(1, len(regions))) AS i FROM seqs)))"""
 
 
 def sequence_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -398,7 +387,7 @@ def sequence_cut(spark: SparkSession, sf: str) -> DataFrame:
     return sequence_rows(spark, sf).select(*KEY, "segment_index", F.array_join(F.transform("regions", lambda r: r.cast("string")), "-").alias("regions"), "length")
 
 
-def support_rows(spark: SparkSession, sf: str, max_length: int = 4) -> DataFrame:
+def support_rows(spark: SparkSession, sf: str, max_length: int = LONGEST) -> DataFrame:
     return sequences.contiguous_patterns(sequence_rows(spark, sf), KEY, max_length).groupBy("pattern").agg(F.count("*").alias("support"))
 
 
@@ -420,24 +409,6 @@ def pattern_top(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RUNGS = (2, 3, 5, 10, 20, 50)
-LONGEST = SequenceParams().max_length
-LONG_SEQ, LONG_SUPPORT = [q.replace("least(4, ", f"least({LONGEST}, ") for q in (SEQ, SUPPORT)]
-
-
-@query(f"WITH {LONG_SUPPORT} SELECT array_to_string(pattern, '-') AS pattern, support FROM supp")
-def long_support(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs up to the reference's length; ``contiguous_support`` stops at 4 regions."""
-    return support_rows(spark, sf, LONGEST).select(text().alias("pattern"), "support")
-
-
-@query(f"WITH {LONG_SUPPORT} SELECT array_to_string(pattern, '-') AS pattern, support FROM supp WHERE support >= 3 ORDER BY support DESC, pattern LIMIT 40")
-def long_top(spark: SparkSession, sf: str) -> DataFrame:
-    return support_rows(spark, sf, LONGEST).where("support >= 3").orderBy(F.desc("support"), "pattern").limit(40).select(text().alias("pattern"), "support")
-
-
-@query(f"WITH {LONG_SUPPORT}, r(rung) AS (VALUES {', '.join(f'({r})' for r in RUNGS)}) SELECT CAST(rung AS BIGINT) AS rung, CAST(len(pattern) AS INTEGER) AS length, count(*) AS patterns, max(support) AS top_support FROM supp JOIN r ON support >= rung GROUP BY ALL")
-def long_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.support_scan(support_rows(spark, sf, LONGEST), RUNGS)
 
 
 @query(f"WITH {SUPPORT}, r(rung) AS (VALUES {', '.join(f'({r})' for r in RUNGS)}) SELECT CAST(rung AS BIGINT) AS rung, CAST(len(pattern) AS INTEGER) AS length, count(*) AS patterns, max(support) AS top_support FROM supp JOIN r ON support >= rung GROUP BY ALL")
@@ -445,7 +416,7 @@ def support_scan(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.support_scan(support_rows(spark, sf), RUNGS)
 
 
-def overlap_rows(spark: SparkSession, sf: str, max_length: int) -> DataFrame:
+def overlap_rows(spark: SparkSession, sf: str, max_length: int = LONGEST) -> DataFrame:
     from ..operators.stats import coverage, jaccard
 
     v = visit_rows(spark, sf).withColumn("gap", F.coalesce("gap", F.lit(False))).withColumnRenamed("d", "day")
@@ -464,16 +435,7 @@ def overlap_rows(spark: SparkSession, sf: str, max_length: int) -> DataFrame:
     SELECT count(*) AS patterns, round(count(*) FILTER (WHERE a AND b) / count(*), 6) AS jaccard, round(count(*) FILTER (WHERE a AND b) / nullif(count(*) FILTER (WHERE a), 0), 6) AS covered FROM j"""
 )
 def pattern_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap_rows(spark, sf, 4)
-
-
-@query(
-    f"""WITH {LONG_SEQ}, sc AS (SELECT CASE WHEN dayofmonth(d) % 2 = 0 THEN 'even' ELSE 'odd' END AS scope, pattern, count(*) AS support FROM runs GROUP BY ALL
-    ), j AS (SELECT a.pattern IS NOT NULL AS a, b.pattern IS NOT NULL AS b FROM (SELECT * FROM sc WHERE scope = 'even' AND support >= 2) a FULL JOIN (SELECT * FROM sc WHERE scope = 'odd' AND support >= 2) b ON a.pattern = b.pattern)
-    SELECT count(*) AS patterns, round(count(*) FILTER (WHERE a AND b) / count(*), 6) AS jaccard, round(count(*) FILTER (WHERE a AND b) / nullif(count(*) FILTER (WHERE a), 0), 6) AS covered FROM j"""
-)
-def long_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap_rows(spark, sf, LONGEST)
+    return overlap_rows(spark, sf)
 
 
 @query(

@@ -28,6 +28,7 @@ def build_session(name: str = "trailweave", time_zone: str = "UTC", master: str
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",  # tracks are small and dear: few bytes can be much work
         "spark.sql.session.timeZone": time_zone,
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
