@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions.digest import ordered_digest, unordered_digest
 from trailweave.functions.scalars import half_even, half_up, haversine, sector, text_seed, upper_tail, utm
-from trailweave.operators import community, grid, matching, profiles, sequences, serving, spatial, stats, tracks, trajectory, trips, visits
+from trailweave.operators import community, grid, matching, profiles, sequences, serving, spatial, stats, tracks, trips, visits
 from trailweave.params import CommunityParams, DebounceParams, MatchParams, SequenceParams, SplitParams, TrackFilterParams, TripParams
 
 
@@ -107,6 +107,7 @@ def test_lookup_or_nearest_loses_no_point(spark):
     cells = spark.createDataFrame([(0, 0, 5), (3, 0, 2), (0, 3, 2), (9, 9, None)], "cell_x int, cell_y int, region int")
     pts = [(1, 5.0, 5.0), (2, 25.0, 25.0), (3, 1e9, -1e9), (4, None, 3.0), (5, 20.0, 5.0), (6, math.nan, 0.0), (7, 95.0, 95.0)]
     got = {r.i: (r.region, r.is_fallback) for r in spatial.lookup_or_nearest(spark.createDataFrame(pts, "i int, x double, y double"), cells, 10.0, "i").collect()}
+    # 25 m from the corner of the square of region 5, 5 m from those of region 2; at 20, 5 both are 10 m away.
     assert got == {1: (5, False), 2: (2, True), 3: (2, True), 4: (None, True), 5: (2, True), 6: (None, True), 7: (2, True)}
     assert [(r.region, r.is_fallback) for r in spatial.lookup_or_nearest(spark.createDataFrame(pts, "i int, x double, y double"), cells.where("region < 0"), 10.0, "i").collect()] == [(None, True)] * 7
 
@@ -184,7 +185,7 @@ def test_contains_and_supports(spark):
         return all(x in it for x in p)
 
     df = spark.createDataFrame(list(enumerate(seqs)), "id int, regions array<int>")
-    got = {tuple(r.pattern): r.support for r in sequences.contained_support(df, spark.createDataFrame([(p,) for p in pats], "pattern array<int>"), "id").collect()}
+    got = {tuple(r.pattern): r.support for r in sequences.contained_support(df, spark.createDataFrame([(p,) for p in pats], "pattern array<int>")).collect()}
     assert got == {tuple(p): n for p in pats if (n := sum(within(p, s) for s in seqs))}
     runs = {tuple(r.pattern): r.n for r in sequences.contiguous_patterns(df, ["id"], 3).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     want = {}
@@ -215,16 +216,68 @@ def test_monte_carlo_meets_the_closed_form(spark):
         assert 1 / 401 <= r.p_empirical <= 1
 
 
+def plain_ami(counts):
+    """AMI by the published formula, term by term."""
+    n = sum(counts.values())
+    a, b = {}, {}
+    for (i, j), k in counts.items():
+        a[i], b[j] = a.get(i, 0) + k, b.get(j, 0) + k
+    h = lambda m: -sum(k / n * math.log(k / n) for k in m.values())
+    mi = sum(k / n * math.log(n * k / (a[i] * b[j])) for (i, j), k in counts.items() if k)
+    f = math.lgamma
+    emi = sum(k / n * math.log(n * k / (x * y)) * math.exp(f(x + 1) + f(y + 1) + f(n - x + 1) + f(n - y + 1) - f(n + 1) - f(k + 1) - f(x - k + 1) - f(y - k + 1) - f(n - x - y + k + 1)) for x in a.values() for y in b.values() for k in range(max(1, x + y - n), min(x, y) + 1))
+    return (mi - emi) / ((h(a) + h(b)) / 2 - emi)
+
+
 def test_information_and_similarity(spark):
+    ami = lambda counts: stats.adjusted_mutual_information(spark.createDataFrame([(a, b, n) for (a, b), n in counts.items()], "a int, b int, n long"), "a", "b", "n").first()["ami"]
     same = {(0, 0): 5, (1, 1): 7}
-    assert stats.adjusted_mutual_information(same) == pytest.approx(1.0)
+    assert ami(same) == pytest.approx(1.0) and ami({(0, 0): 1}) is None and ami({(0, 0): 9}) == 1.0
     # Labels [0,0,1,1] against [0,0,1,2], by the published formula.
-    assert stats.adjusted_mutual_information({(0, 0): 2, (1, 1): 1, (1, 2): 1}) == pytest.approx(0.571428, abs=1e-5)
-    assert abs(stats.adjusted_mutual_information({(a, b): 25 for a in range(2) for b in range(2)})) < 0.02
+    assert ami({(0, 0): 2, (1, 1): 1, (1, 2): 1}) == pytest.approx(0.571428, abs=1e-5)
+    rng = random.Random(2)
+    for size in (3, 40, 4000):
+        counts = {(a, b): rng.randrange(size) for a in range(5) for b in range(4)} | {(0, 0): 3 * size}
+        assert ami(counts) == pytest.approx(plain_ami(counts), abs=1e-9)
+    ks = np.array([0, 1, 5, 254, 255, 256, 1000, 10**7, 10**12])
+    assert stats.log_factorial(ks) == pytest.approx([math.lgamma(k + 1) for k in ks.tolist()], rel=1e-13)
     df = spark.createDataFrame([(a, b, n) for (a, b), n in same.items()], "a int, b int, n int")
     assert stats.element_similarity(df, "a", "b", "n").first()[0] == pytest.approx(1.0)
 
 
+def test_null_floor_audit_and_extremes(spark):
+    df = spark.createDataFrame([("d", 1, 2, 0.0, 0.5, 0.0, 0.4), ("d", 1, 3, 3.0, 2.0, 4.0, 2.0), ("d", 2, 3, 3.0, 0.0, 3.0, 0.0)], "scope string, from_region int, to_region int, mc_mean double, null_mean double, mc_sd double, null_sd double")
+    got = [r.s for r in df.orderBy("from_region", "to_region").select(stats.floored_sd(F.col("mc_sd"), F.col("null_sd")).alias("s")).collect()]
+    assert got == [0.4, 4.0, 3.0]
+    r = stats.moment_audit(df, ["scope"]).first()
+    assert (r.mean_off, r.sd_off, r.pairs) == (0.5, 1.0, 1)
+    assert [(r.to_region, r.end) for r in stats.extremes(df, ["mc_mean", "from_region"], 1).select("to_region", "end").collect()] == [(2, "head"), (3, "tail")]
+    assert [(r.from_region, r.to_region) for r in stats.top_pairs(df, ["scope"], "mc_sd", 1).collect()] == [(1, 3)]
+    rng = np.random.default_rng(1)
+    left = np.array([3, 0, 10, 5])
+    for _ in range(50):
+        x = stats._hypergeometric(rng, left, 9)
+        assert x.sum() == 9 and (x <= left).all()
+    big = stats._hypergeometric(rng, np.array([10**12, 3 * 10**12]), 10**10)
+    assert big.sum() == 10**10 and abs(big[0] - 2.5 * 10**9) < 10**6
+
+
+def test_attributed_patterns(spark):
+    seqs = spark.createDataFrame([([1, 2, 3], "d1", 6), ([1, 9, 2], "d1", 7), ([1, 2], "d2", 7), ([1, 2], "d2", 7), ([3, 2, 1], "d2", 8)], "regions array<int>, day string, start_hour int")
+    scopes = spark.createDataFrame(sequences.scopes_of(["d1", "d2"], ["d1", "d2"], "all"), "scope string, day string")
+    pats = spark.createDataFrame([("all", [1, 2], 4), ("d1", [1, 2], 2), ("d1", [1, 3], 1), ("d2", [9, 2], 0)], "scope string, pattern array<int>, support int")
+    adjacency = spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")
+    codes = spark.createDataFrame([(r, f"c{r}", r % 2) for r in (1, 2, 3, 9)], "region int, code string, district int")
+    got = {(r.scope, tuple(r.pattern)): r for r in sequences.attribute_patterns(seqs, pats, scopes, adjacency, codes).collect()}
+    assert (got["all", (1, 2)].contained, got["all", (1, 2)].contiguous, got["all", (1, 2)].hour_07) == (4, 3, 3)
+    assert (got["d1", (1, 2)].contained, got["d1", (1, 2)].contiguous, got["d1", (1, 2)].hour_06) == (2, 1, 1)
+    assert not got["d1", (1, 3)].all_steps_adjacent and got["d1", (1, 2)].all_steps_adjacent and got["d1", (1, 3)].codes == ["c1", "c3"] and got["d1", (1, 3)].districts == [1, 1]
+    assert (got["d2", (9, 2)].contained, got["d2", (9, 2)].contiguous) == (0, 0)
+    with pytest.raises(ValueError, match="9"):
+        sequences.attribute_patterns(seqs, pats, scopes, adjacency, codes.where("region < 9"))
+    assert sequences.scopes_of(["d1"], ["d1", "d2"]) == [("d1", "d1")] and sequences.overlap_floor(1001) == 4
+
+
 DEBOUNCE = [
     # region and length of each crossing; offsets; visits (region, entry, exit, gap before); spans, cuts
     ([(1, 200)], [], [(1, 0, 200, False)], 1, 0),
@@ -481,14 +534,6 @@ def test_tidying_rules():
         assert set(out.regions) == set(of) and sorted(set(out.regions.values())) == list(range(1, len(set(out.regions.values())) + 1))
 
 
-def test_trajectories():
-    got = trajectory.interpolate([(0, 0), (10, 0), (10, 10)], [(0, 0), (20, 2_000_000)])
-    assert got == [(0, 0, 0), (10, 0, 1_000_000), (10, 10, 2_000_000)]
-    assert trajectory.interpolate([(0, 0), (10, 0)], [(5, 7)]) == [(5, 0, 7)] and trajectory.interpolate([(0, 0)], [(0, 1)]) == []
-    times = [t for *_, t in trajectory.interpolate([(0, 0), (10, 0)], [(2, 5), (4, 5), (9, 5)])]
-    assert times == sorted(set(times))
-
-
 def test_serving(spark):
     with pytest.raises(serving.RequestError):
         serving.check_window(datetime(2024, 1, 1, 8), datetime(2024, 1, 1, 13))

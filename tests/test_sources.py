@@ -53,6 +53,7 @@ def test_release(spark, tmp_path):
     assert sinks.publish(spark, {"t": t.repartition(3)}, {"t": ["k"]}, root) == first == sinks.current_release(spark, root)
     second = sinks.publish(spark, {"t": t.where("k = 1")}, {"t": ["k"]}, root)
     assert second != first and sinks.current_release(spark, root) == second
+    assert not [p for p in (tmp_path / "r").iterdir() if p.name.startswith("next")]
     with pytest.raises(files.InputError, match="repeated key"):
         sinks.publish(spark, {"t": t.union(t)}, {"t": ["k"]}, root)
     assert sinks.check_release({"t": t.withColumn("k", F.lit(None).cast("int"))}, {"t": ["k"]}) == ["t: null in the key", "t: repeated key"]
@@ -88,3 +89,18 @@ def test_streams(spark, tmp_path):
     assert sorted((r.hour.hour, r.k, r.n) for r in drain(hourly_counts(src(), "ts", "k"), spark, "s2")) == [(0, "x", 1), (1, "y", 1), (2, "x", 1), (9, "x", 1)]
     pairs = drain(pair_streams(src().where("k = 'x'"), src().where("k = 'y'"), "u", "ts"), spark, "s3")
     assert [(r.entity, r.open_ts.hour, r.close_ts.hour) for r in pairs] == [("a", 0, 1)]
+
+
+def test_every_session_of_a_stream(spark, tmp_path):
+    from trailweave.streaming.sessions import all_sessions
+
+    t = lambda h, d=1: datetime(2024, 1, d, h)
+    schema, folder = "u string, ts timestamp", str(tmp_path / "in")
+    src = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+    spark.createDataFrame([("a", t(0)), ("a", t(5)), ("a", t(12)), ("b", t(1)), ("c", t(0, 5))], schema).coalesce(1).write.parquet(folder + "/0")
+    got = lambda: sorted((r.u, r.start_time, r.end_time, r.points) for r in all_sessions(src(), "u", "ts", str(tmp_path / "out")).collect())
+    first = [("a", t(0), t(11), 2), ("a", t(12), t(18), 1), ("b", t(1), t(7), 1), ("c", t(0, 5), t(6, 5), 1)]
+    assert got() == first and got() == first  # nothing new, nothing twice
+    # Out of order but within the watermark: joined; later than it: dropped by the stream.
+    spark.createDataFrame([("c", t(3, 5)), ("c", t(22, 4)), ("b", t(2))], schema).coalesce(1).write.parquet(folder + "/1")
+    assert got() == [*first[:3], ("c", t(22, 4), t(9, 5), 3)]

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Way ids that are numbered together.
+RANGE = 1 << 16
+
+
 @dataclass(frozen=True)
 class AccessRules:
     """Values of tags that open or close a way to bicycles; given by the caller, since they are local knowledge."""
@@ -65,8 +69,8 @@ def build_network(ways: DataFrame, nodes: DataFrame, r: AccessRules) -> tuple[Da
 
     A way is cut at inner nodes that several ways use. Each segment gives two
     directed edges, 2 * segment and 2 * segment + 1; the illegal one is kept and
-    marked. Segments are numbered in order of way and place; the numbering is one
-    window over the segments of a map.
+    marked. Segments are numbered in order of way and place: counts of ranges of
+    ways go before the places within a range, so no window holds all segments.
     """
     at = ways.select("osmid", "tags", F.posexplode("refs").alias("i", "id"), (F.size("refs") - 1).alias("end"))
     uses = at.groupBy("id").agg(F.count_distinct("osmid").alias("uses"))
@@ -80,7 +84,10 @@ def build_network(ways: DataFrame, nodes: DataFrame, r: AccessRules) -> tuple[Da
     g = p.where("has_prev").groupBy("osmid", "piece").agg(rows.alias("r"), F.sum("step").alias("length_m"), F.first("tags").alias("tags")).where("length_m > 0")
     first, last = F.col("r")[0]["prev"], F.element_at("r", -1)
     line = F.concat(F.array(F.struct(first["x"].alias("x"), first["y"].alias("y"))), F.transform("r", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))))
-    segments = g.select((F.row_number().over(Window.orderBy("osmid", "piece")) - 1).cast("long").alias("segment_id"), "osmid", F.coalesce(F.col("tags")["highway"], F.lit("")).alias("highway"), F.coalesce(F.col("tags")["name"], F.lit("")).alias("name"), "length_m", line.alias("line"), first["id"].alias("u"), last["id"].alias("v"), direction_sign(F.col("tags"), r).alias("sign"), both_ways(F.col("tags"), r).alias("both"))
+    g = g.withColumn("range", F.floor(F.col("osmid") / RANGE))
+    before = g.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    g = g.withColumn("own", F.row_number().over(Window.partitionBy("range").orderBy("osmid", "piece")) - 1).join(before, "range")
+    segments = g.select((F.col("before") + F.col("own")).cast("long").alias("segment_id"), "osmid", F.coalesce(F.col("tags")["highway"], F.lit("")).alias("highway"), F.coalesce(F.col("tags")["name"], F.lit("")).alias("name"), "length_m", line.alias("line"), first["id"].alias("u"), last["id"].alias("v"), direction_sign(F.col("tags"), r).alias("sign"), both_ways(F.col("tags"), r).alias("both"))
     edges = segments.withColumn("direction", F.explode(F.array(F.lit(0), F.lit(1))))
     back = F.col("direction") == 1
     edges = edges.select((F.col("segment_id") * 2 + F.col("direction")).alias("edge_index"), "segment_id", "direction", F.when(back, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(back, F.col("u")).otherwise(F.col("v")).alias("v"), "highway", "name", "length_m", (F.col("both") | F.when(back, F.col("sign") != 1).otherwise(F.col("sign") != -1)).alias("is_legal_direction"))

@@ -44,13 +44,64 @@ def first_at_or_after(positions: Column, start: Column) -> Column:
     return F.try_element_at(F.filter(positions, lambda p: p >= start), F.lit(1))
 
 
-def contained_support(sequences: DataFrame, patterns: DataFrame, id_: str, column: str = "regions") -> DataFrame:
-    """Sequences that contain each pattern with gaps. A pattern only meets sequences that hold its rarest region, by an equi-join, before the exact test."""
-    held = sequences.select(id_, column, F.explode(F.array_distinct(column)).alias("__r"))
+def contained_support(sequences: DataFrame, patterns: DataFrame, column: str = "regions", by: Sequence[str] = ()) -> DataFrame:
+    """Sequences that contain each pattern, with gaps (support) and as a run (contiguous), for each value of ``by``. Equal sequences are counted before they meet patterns, and a pattern only meets those that hold its rarest region, by an equi-join, before the exact test."""
+    weighed = sequences.groupBy(column, *by).agg(F.count("*").alias("__n"))
+    held = weighed.select("*", F.explode(F.array_distinct(column)).alias("__r"))
     freq = held.groupBy("__r").agg(F.count("*").alias("__f"))
-    keys = patterns.select("pattern", F.explode(F.array_distinct("pattern")).alias("__r")).join(freq, "__r")
-    keys = keys.groupBy("pattern").agg(F.min_by("__r", F.struct("__f", "__r")).alias("__r"))
-    return keys.join(held, "__r").where(contains(F.col(column), F.col("pattern"))).groupBy("pattern").agg(F.count("*").alias("support"))
+    keys = patterns.select("pattern").distinct().select("pattern", F.explode(F.array_distinct("pattern")).alias("__r")).join(freq, "__r", "left")
+    keys = keys.groupBy("pattern").agg(F.min_by("__r", F.struct(F.coalesce("__f", F.lit(0)), "__r")).alias("__r"))
+    met = keys.join(held, "__r").where(contains(F.col(column), F.col("pattern")))
+    run = F.when(is_run(F.col(column), F.col("pattern")), F.col("__n")).otherwise(0)
+    return met.groupBy("pattern", *by).agg(F.sum("__n").alias("support"), F.sum(run).alias("contiguous"))
+
+
+def is_run(sequence: Column, pattern: Column) -> Column:
+    """Whether the pattern occurs without gaps."""
+    last = F.size(sequence) - F.size(pattern) + 1
+    return F.when(last >= 1, F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(sequence, i, F.size(pattern)) == pattern)).otherwise(False)
+
+
+def scopes_of(days: Sequence[str], clear: Sequence[str], merged: str = "clear-days") -> list[tuple[str, str]]:
+    """(scope, day): one scope for each day, and the merged one of all clear days only if every one of them is there."""
+    out = [(d, d) for d in days]
+    return out + [(merged, d) for d in clear] if clear and set(clear) <= set(days) else out
+
+
+def unknown_regions(patterns: DataFrame, regions: DataFrame, region: str = "region") -> list:
+    """Regions that patterns name and the partition doesn't hold, in order; at most 100 are listed."""
+    named = patterns.select(F.explode("pattern").alias("r")).distinct()
+    return [x["r"] for x in named.join(regions.select(F.col(region).alias("r")), "r", "left_anti").orderBy("r").limit(100).collect()]
+
+
+def attribute_patterns(sequences: DataFrame, patterns: DataFrame, scopes: DataFrame, adjacency: DataFrame, codes: DataFrame, day: str = "day", hour: str = "start_hour", hours: Sequence[int] = (6, 7, 8, 9)) -> DataFrame:
+    """Mined patterns (scope, pattern, support) with what the sequences of their scope say.
+
+    Adds contained (sequences that hold it, gaps allowed), contiguous (as a run),
+    hour_<h> (contained, by hour of the start), all_steps_adjacent (each step goes
+    between regions that share an edge), codes and districts in order. ``scopes``
+    has (scope, day), ``adjacency`` pairs a < b, ``codes`` (region, code, district).
+    A region that ``codes`` doesn't hold is an error that names it.
+    """
+    if missing := unknown_regions(patterns, codes):
+        raise ValueError(f"patterns name regions that the partition does not hold: {missing}")
+    counted = contained_support(sequences, patterns, by=[day, hour])
+    one = counted.groupBy("pattern", day).agg(F.sum("support").alias("contained"), F.sum("contiguous").alias("contiguous"), *[F.sum(F.when(F.col(hour) == h, F.col("support")).otherwise(0)).alias(f"hour_{h:02d}") for h in hours])
+    sums = ["contained", "contiguous", *[f"hour_{h:02d}" for h in hours]]
+    per = fan_out(one, day, scopes).groupBy("scope", "pattern").agg(*[F.sum(c).alias(c) for c in sums])
+    distinct = patterns.select("pattern").distinct()
+    at = distinct.select("pattern", F.posexplode("pattern").alias("i", "region")).join(codes.select("region", "code", "district"), "region")
+    inorder = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("i", c))), lambda s: s[c]).alias(f"{c}s")
+    names = at.groupBy("pattern").agg(inorder("code"), inorder("district"))
+    steps = distinct.select("pattern", F.explode(F.transform(F.sequence(F.lit(1), F.size("pattern") - 1), lambda i: F.struct(F.least(F.element_at("pattern", i), F.element_at("pattern", i + 1)).alias("a"), F.greatest(F.element_at("pattern", i), F.element_at("pattern", i + 1)).alias("b")))).alias("s")).select("pattern", "s.*")
+    adjacent = steps.join(adjacency.select("a", "b", F.lit(True).alias("ok")), ["a", "b"], "left").groupBy("pattern").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("all_steps_adjacent"))
+    out = patterns.join(names, "pattern").join(adjacent, "pattern", "left").join(per, ["scope", "pattern"], "left")
+    return out.fillna(0, sums)
+
+
+def overlap_floor(sequences: int, share: float = 0.003) -> int:
+    """Least support in comparisons between scopes of different size."""
+    return math.ceil(share * sequences)
 
 
 def mine(sequences: DataFrame, min_count: int, p: SequenceParams, column: str = "regions") -> DataFrame:

@@ -91,11 +91,12 @@ def nearest_anchor(points: DataFrame, anchors: Sequence[tuple[int, float, float]
 
 
 def lookup_or_nearest(points: DataFrame, cells: DataFrame, size: float, key: str) -> DataFrame:
-    """Region of the cell of each point, else of the nearest cell centre that has one (ties to the smaller region, then cell), and whether that fallback was used.
+    """Region of the cell of each point, else the nearest region (ties within 1e-9 to the smaller one), and whether that fallback was used.
 
-    Regions are as many cells as the map has: they are gathered once, sorted by
-    cell, and sent to the workers, where points without a hit are measured against
-    all centres in pieces, each exactly. More than MAX_CELLS cells are refused. A
+    A region is the union of the squares of its cells, so the nearest region is
+    that of the nearest square. Regions have as many cells as the map: they are
+    gathered once and sent to the workers, where points without a hit are measured
+    against all squares in pieces, each exactly. More than MAX_CELLS cells are refused. A
     point without coordinates, and any point if there are no cells, has a null
     region and counts as a fallback.
     """
@@ -116,8 +117,9 @@ def lookup_or_nearest(points: DataFrame, cells: DataFrame, size: float, key: str
         cx, cy = (t[:, 1] + 0.5) * size, (t[:, 2] + 0.5) * size
         for a in range(0, len(fine), max(1, (1 << 21) // max(1, len(t)))):
             part = fine[a : a + max(1, (1 << 21) // max(1, len(t)))]
-            dx, dy = xs[part][:, None] - cx, ys[part][:, None] - cy
-            out[part] = (dx * dx + dy * dy).argmin(axis=1)  # the first of equal ones, in order of region and cell
+            dx, dy = (np.maximum(np.abs(v[part][:, None] - c) - size / 2, 0.0) for v, c in ((xs, cx), (ys, cy)))
+            d = np.hypot(dx, dy)
+            out[part] = (d <= d.min(axis=1, keepdims=True) + 1e-9).argmax(axis=1)  # the first of equal ones, in order of region
         region = t[:, 0] if len(t) else np.zeros(1, np.int64)
         return pd.Series(np.where(out >= 0, region[out], 0)).astype("Int32").mask(pd.Series(out < 0))
 
@@ -166,12 +168,54 @@ def in_polygons(polygons: Sequence[Sequence[Sequence[tuple[float, float]]]], tol
     return inside
 
 
+def segments_meet(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether segments p[i] q[i] and a[j] b[j] have a point in common, ends included: a matrix."""
+    side = lambda o, u, v: (u[..., 0] - o[..., 0]) * (v[..., 1] - o[..., 1]) - (u[..., 1] - o[..., 1]) * (v[..., 0] - o[..., 0])
+    p, q, a, b = p[:, None], q[:, None], a[None], b[None]
+    s1, s2, s3, s4 = side(a, b, p), side(a, b, q), side(p, q, a), side(p, q, b)
+    apart = (np.minimum(p, q) > np.maximum(a, b)).any(axis=-1) | (np.maximum(p, q) < np.minimum(a, b)).any(axis=-1)
+    return ~apart & (s1 * s2 <= 0) & (s3 * s4 <= 0)
+
+
 def segments_cross(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
     """Whether segment pq properly crosses segment ab."""
     side = lambda o, u, v: (u[0] - o[0]) * (v[1] - o[1]) - (u[1] - o[1]) * (v[0] - o[0])
     return bool(side(a, b, p) * side(a, b, q) < 0 and side(p, q, a) * side(p, q, b) < 0)
 
 
+Polygon = Sequence[Sequence[tuple[float, float]]]
+
+
+def polygon_distance(x: np.ndarray, y: np.ndarray, polygon: Polygon) -> np.ndarray:
+    """Distance of each point to a polygon with holes; 0 inside."""
+    rings = [np.asarray(r, float) for r in polygon]
+    inside, near = ring_distance(x, y, rings[0])
+    for hole in rings[1:]:
+        within, d = ring_distance(x, y, hole)
+        inside &= ~within
+        near = np.minimum(near, d)
+    return np.where(inside, 0.0, near)
+
+
+def nearest_polygon(polygons: Sequence[tuple[int, Polygon]]):
+    """A vectorised function (x, y) -> id of the nearest polygon; of those within 1e-9 of the nearest the smallest id. Null for a point that is not finite."""
+    if sum(len(r) for _, p in polygons for r in p) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} vertices: cut the map first")
+    known = sorted(polygons, key=lambda p: p[0])
+
+    @F.pandas_udf("long")
+    def nearest(x: pd.Series, y: pd.Series) -> pd.Series:
+        xs, ys = x.to_numpy(float), y.to_numpy(float)
+        fine = np.isfinite(xs) & np.isfinite(ys)
+        out = pd.Series(pd.NA, index=x.index, dtype="Int64")
+        if known and fine.any():
+            d = np.stack([polygon_distance(xs[fine], ys[fine], p) for _, p in known])
+            out[fine] = np.array([i for i, _ in known])[(d <= d.min(axis=0) + 1e-9).argmax(axis=0)]
+        return out
+
+    return nearest
+
+
 def line_inside(line: Sequence[tuple[float, float]], ring: Sequence[tuple[float, float]]) -> bool:
     """All vertices inside or on the ring and no leg crossing it."""
     pts, edge = np.asarray(line, float), np.asarray(ring, float)
@@ -181,6 +225,52 @@ def line_inside(line: Sequence[tuple[float, float]], ring: Sequence[tuple[float,
     return not any(segments_cross(p, q, a, b) for p, q in zip(pts[:-1], pts[1:], strict=True) for a, b in zip(edge[:-1], edge[1:], strict=True))
 
 
+def path_inside(polygons: Sequence[Polygon], tolerance: float = 0.0):
+    """A vectorised predicate (xs, ys arrays) -> the whole path lies in one of the polygons, or within the tolerance of it. Without a tolerance it is exact; with one, legs are looked at in steps of an eighth of it. Null for null."""
+
+    @F.pandas_udf("boolean")
+    def inside(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(xs, ys, strict=True):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            line = np.stack([np.asarray(x, float), np.asarray(y, float)], axis=1)
+            if tolerance > 0:
+                legs = np.hypot(*np.diff(line, axis=0).T)
+                more = [np.linspace(a, b, max(2, math.ceil(8 * n / tolerance) + 1)) for a, b, n in zip(line[:-1], line[1:], legs, strict=True)]
+                dense = np.concatenate([line, *more])
+                out.append(any(bool((polygon_distance(dense[:, 0], dense[:, 1], p) <= tolerance).all()) for p in polygons))
+            else:
+                out.append(any(line_inside(line, p[0]) and not any(_touches_inside(line, hole) for hole in p[1:]) for p in polygons))
+        return pd.Series(out, dtype=object)
+
+    return inside
+
+
+def _touches_inside(line: np.ndarray, hole: Sequence[tuple[float, float]]) -> bool:
+    """Whether a path enters a hole."""
+    edge = np.asarray(hole, float)
+    within, near = ring_distance(line[:, 0], line[:, 1], edge)
+    return bool((within & (near > 1e-9)).any()) or any(segments_cross(p, q, a, b) for p, q in zip(line[:-1], line[1:], strict=True) for a, b in zip(edge[:-1], edge[1:], strict=True))
+
+
+def meets_polygon(polygon: Polygon):
+    """A vectorised predicate (x0, y0, x1, y1) -> the leg has a point in common with the polygon; borders belong to it."""
+    rings = [np.asarray(r, float) for r in polygon]
+    a, b = (np.concatenate([r[i] for r in rings for i in [s]]) for s in (slice(None, -1), slice(1, None)))
+
+    @F.pandas_udf("boolean")
+    def meets(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        p, q = (np.stack([u.to_numpy(float), v.to_numpy(float)], axis=1) for u, v in ((x0, y0), (x1, y1)))
+        out = polygon_distance(p[:, 0], p[:, 1], polygon) <= 1e-9
+        for i in range(0, len(p), 1000):
+            out[i : i + 1000] |= segments_meet(p[i : i + 1000], q[i : i + 1000], a, b).any(axis=1)
+        return pd.Series(out)
+
+    return meets
+
+
 def overlay_share(features: DataFrame, regions: DataFrame) -> DataFrame:
     """Share of each region's cells under each category, on a raster: features (category, cell_x, cell_y), regions (region, cell_x, cell_y). Overlapping features of a category count once."""
     covered = features.select("category", "cell_x", "cell_y").distinct().join(regions, ["cell_x", "cell_y"]).groupBy("region", "category").agg(F.count("*").alias("cells"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ def pair_union(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> D
 
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson correlation; null with fewer than two rows or a constant side."""
-    return F.when((F.count(F.lit(1)) >= 2) & (F.min(a) != F.max(a)) & (F.min(b) != F.max(b)), F.corr(a, b))
+    return F.when((F.count(F.lit(1)) >= 2) & (F.min(a) != F.max(a)) & (F.min(b) != F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def average_rank(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
@@ -97,36 +97,86 @@ def stable_pairs(rows: DataFrame, scope: str, scopes: int) -> DataFrame:
 
 
 def top_pairs(rows: DataFrame, by: Sequence[str], n: str, k: int) -> DataFrame:
+    """The k largest pairs of each group, ties by region."""
     w = Window.partitionBy(*by).orderBy(F.desc(n), "from_region", "to_region")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def replicate_null(flows: DataFrame, scope: str, n: str, reps: int, seed: str) -> DataFrame:
-    """Monte-Carlo mean, sd and upper tail of the permutation null for each pair: one task for each scope, whose matrix is regions x regions.
+def extremes(rows: DataFrame, by: Sequence, k: int) -> DataFrame:
+    """The first k and the last k rows in an order, marked head and tail."""
+    back = [c.desc() if not isinstance(c, str) else F.desc(c) for c in by]
+    return rows.orderBy(*by).limit(k).withColumn("end", F.lit("head")).union(rows.orderBy(*back).limit(k).withColumn("end", F.lit("tail")))
 
-    The stream of a scope is named by seed and scope. The tail counts the
-    observed matrix among the draws.
+
+def replicate_null(flows: DataFrame, scope: str, n: str, reps: int, seed: str, block: int = 25) -> DataFrame:
+    """Monte-Carlo mean, sd and upper tail of the permutation null for each pair.
+
+    A draw permutes the targets of all trips of a scope, which is a row by row
+    multivariate hypergeometric draw from the targets left, so memory follows the
+    regions and not the trips. Draws go to tasks in blocks of ``block`` for each
+    scope; the stream of a block is named by seed, scope and block. The tail counts
+    the observed matrix among the draws.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf[scope].iloc[0])
+        name, number = str(pdf[scope].iloc[0]), int(pdf["__block"].iloc[0])
         regions = np.unique(np.concatenate([pdf["from_region"], pdf["to_region"]]))
         i, j = np.searchsorted(regions, pdf["from_region"]), np.searchsorted(regions, pdf["to_region"])
-        size, counts = len(regions), pdf[n].to_numpy(np.int64)
-        sources, targets = np.repeat(i, counts), np.repeat(j, counts)
-        rng = np.random.default_rng(text_seed(f"{seed}|{name}"))
-        total, square, tail = np.zeros(len(pdf)), np.zeros(len(pdf)), np.ones(len(pdf))
-        for _ in range(reps):
-            drawn = np.bincount(sources * size + rng.permutation(targets), minlength=size * size)[i * size + j]
-            total += drawn
-            square += drawn.astype(float) ** 2
-            tail += drawn >= counts
-        mean = total / reps
-        sd = np.sqrt(np.maximum(0, square - reps * mean**2) / max(1, reps - 1))
-        return pdf[[scope, "from_region", "to_region", n]].assign(mc_mean=mean, mc_sd=sd, p_empirical=tail / (reps + 1))
+        counts = pdf[n].to_numpy(np.int64)
+        size = len(regions)
+        sent, got = np.bincount(i, counts, minlength=size).astype(np.int64), np.bincount(j, counts, minlength=size).astype(np.int64)
+        rng = np.random.default_rng(text_seed(f"{seed}|{name}|{number}"))
+        total, square, tail = np.zeros(len(pdf)), np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
+        for _ in range(min(block, reps - number * block)):
+            left, drawn = got.copy(), np.zeros((size, size), np.int64)
+            for r in np.flatnonzero(sent):
+                drawn[r] = _hypergeometric(rng, left, int(sent[r]))
+                left -= drawn[r]
+            seen = drawn[i, j]
+            total += seen
+            square += seen.astype(float) ** 2
+            tail += seen >= counts
+        return pdf[[scope, "from_region", "to_region", n]].assign(total=total, square=square, tail=tail)
 
     s = flows.select(scope, "from_region", "to_region", F.col(n).cast("long").alias(n))
-    return s.groupBy(scope).applyInPandas(run, ", ".join([*(f"{c} {t}" for c, t in s.dtypes), "mc_mean double", "mc_sd double", "p_empirical double"]))
+    blocks = s.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // block) - 1))))
+    parts = blocks.groupBy(scope, "__block").applyInPandas(run, ", ".join([*(f"{c} {t}" for c, t in s.dtypes), "total double", "square double", "tail long"]))
+    mean, sums = F.sum("total") / reps, F.sum("square")
+    sd = F.sqrt(F.greatest(F.lit(0.0), (sums - reps * mean * mean) / max(1, reps - 1)))
+    return parts.groupBy(scope, "from_region", "to_region", n).agg(mean.alias("mc_mean"), sd.alias("mc_sd"), ((1 + F.sum("tail")) / (reps + 1)).alias("p_empirical"))
+
+
+def _hypergeometric(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
+    """How many of ``take`` items drawn without return are of each kind; numpy draws one kind after the other only below 10^9 items, beyond that halves of the kinds share the draw by the same rule."""
+    out = np.zeros(len(left), np.int64)
+    rest = int(left.sum())
+    for k in np.flatnonzero(left):
+        if not take:
+            break
+        others = rest - int(left[k])
+        if rest < 1_000_000_000:
+            x = int(rng.hypergeometric(int(left[k]), others, take)) if others else take
+        else:
+            # Beyond numpy's range: the normal limit with the exact mean and variance, within the possible counts.
+            p = int(left[k]) / rest
+            sd = math.sqrt(max(0.0, take * p * (1 - p) * (rest - take) / max(1, rest - 1)))
+            x = min(max(round(rng.normal(take * p, sd)), max(0, take - others)), min(take, int(left[k])))
+        out[k] = x
+        take -= x
+        rest = others
+    return out
+
+
+def floored_sd(mc_sd: Column, closed_sd: Column) -> Column:
+    """The Monte-Carlo sd; the closed form's where all draws agreed and the closed form says that they need not."""
+    return F.when((mc_sd <= 0) & (closed_sd > 0), closed_sd).otherwise(mc_sd)
+
+
+def moment_audit(rows: DataFrame, by: Sequence[str], least_sd: float = 1.0) -> DataFrame:
+    """How far the draws are from the closed forms, in units of the closed sd, over pairs whose closed sd is at least ``least_sd``: largest deviations of mean and sd, and the number of such pairs. ``rows`` has mc_mean, mc_sd, null_mean, null_sd."""
+    live = F.col("null_sd") >= max(least_sd, 5e-324)
+    off = lambda a, b: F.max(F.when(live, F.abs(F.col(a) - F.col(b)) / F.col("null_sd")))
+    return rows.groupBy(*by).agg(F.coalesce(off("mc_mean", "null_mean"), F.lit(0.0)).alias("mean_off"), F.coalesce(off("mc_sd", "null_sd"), F.lit(0.0)).alias("sd_off"), F.count_if(live).alias("pairs"))
 
 
 def element_similarity(contingency: DataFrame, a: str, b: str, n: str) -> DataFrame:
@@ -137,31 +187,62 @@ def element_similarity(contingency: DataFrame, a: str, b: str, n: str) -> DataFr
     return c.agg((F.sum(s * (1 - d / 2)) / F.sum(s)).alias("similarity"))
 
 
-def adjusted_mutual_information(counts: dict[tuple[int, int], int]) -> float | None:
-    """AMI with the arithmetic mean of entropies, from a contingency table; None under two elements."""
-    total = sum(counts.values())
+_SMALL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+
+
+def log_factorial(k: np.ndarray) -> np.ndarray:
+    """log k! of whole numbers of any size: a table up to 255, Stirling's series beyond."""
+    k = np.asarray(k, np.float64)
+    z = np.maximum(k, 255.0)
+    series = z * np.log(z) - z + 0.5 * np.log(2 * np.pi * z) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return np.where(k < 256, _SMALL[np.minimum(k, 255).astype(np.int64)], series)
+
+
+def expected_part(x: int, y: int, total: int) -> float:
+    """Expected information that two margins of x and y elements give. Counts further than 40 deviations and 60 elements from their mean have no weight in doubles."""
+    low, high = max(1, x + y - total), min(x, y)
+    mean = x * y / total
+    sd = math.sqrt(mean * (1 - x / total) * (1 - y / total) * total / max(1, total - 1))
+    low, high = max(low, math.floor(mean - 40 * sd - 60)), min(high, math.ceil(mean + 40 * sd + 60))
+    fixed = float(log_factorial(x) + log_factorial(y) + log_factorial(total - x) + log_factorial(total - y) - log_factorial(total))
+    out = 0.0
+    for a in range(low, high + 1, 1 << 18):
+        k = np.arange(a, min(high + 1, a + (1 << 18)), dtype=np.float64)
+        p = fixed - log_factorial(k) - log_factorial(x - k) - log_factorial(y - k) - log_factorial(total - x - y + k)
+        out += float((k / total * np.log(total * k / (float(x) * y)) * np.exp(p)).sum())
+    return out
+
+
+def adjusted_mutual_information(counts: DataFrame, a: str, b: str, n: str) -> DataFrame:
+    """AMI (arithmetic mean of entropies) of two labelings from their contingency, in one row: ami, null under two elements, 1 if both have one label or none repeats.
+
+    Margins of equal size share the work, and pairs of sizes go to tasks of their
+    own: sizes of one side are rows, those of the other are sent to all (as many
+    as the map has labels; checked).
+    """
+    spark = counts.sparkSession
+    c = counts.groupBy(a, b).agg(F.sum(n).cast("long").alias("n")).where("n > 0")
+    total = c.agg(F.sum("n").alias("n")).first()["n"] or 0
     if total < 2:
-        return None
-    a, b = {}, {}
-    for (i, j), n in counts.items():
-        a[i] = a.get(i, 0) + n
-        b[j] = b.get(j, 0) + n
-    if len(a) == len(b) == 1 or len(a) == len(b) == total:
-        return 1.0
-    entropy = lambda m: -sum(n / total * math.log(n / total) for n in m.values())
-    mi = sum(n / total * math.log(n * total / (a[i] * b[j])) for (i, j), n in counts.items() if n)
-    log_fact = np.array([math.lgamma(k + 1) for k in range(total + 1)]) if total <= 2_000_000 else None
-    lf = (lambda k: log_fact[k]) if log_fact is not None else np.vectorize(lambda k: math.lgamma(k + 1))
-    expected = 0.0
-    ua, na = np.unique(list(a.values()), return_counts=True)
-    ub, nb = np.unique(list(b.values()), return_counts=True)
-    for x, cx in zip(ua.tolist(), na.tolist(), strict=True):
-        for y, cy in zip(ub.tolist(), nb.tolist(), strict=True):
-            k = np.arange(max(1, x + y - total), min(x, y) + 1)
-            if len(k):
-                log_p = lf(x) + lf(y) + lf(total - x) + lf(total - y) - lf(total) - lf(k) - lf(x - k) - lf(y - k) - lf(total - x - y + k)
-                expected += cx * cy * float((k / total * np.log(total * k / (x * y)) * np.exp(log_p)).sum())
-    mean = (entropy(a) + entropy(b)) / 2
-    low = mean - expected
-    low = min(low, -1e-15) if low < 0 else max(low, 1e-15)
-    return (mi - expected) / low
+        return spark.createDataFrame([(None,)], "ami double")
+    rows, columns = (c.groupBy(F.col(k).alias("k")).agg(F.sum("n").alias("m")) for k in (a, b))
+    sizes = columns.groupBy("m").agg(F.count("*").alias("times")).orderBy("m").limit(1_000_001).collect()
+    if len(sizes) > 1_000_000:
+        raise ValueError("more than 1,000,000 different sizes of labels")
+    other = spark.sparkContext.broadcast([(r["m"], r["times"]) for r in sizes])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"e": [times * sum(t * expected_part(x, y, total) for y, t in other.value) for x, times in zip(pdf["m"].tolist(), pdf["times"].tolist(), strict=True)]})
+
+    expected = rows.groupBy("m").agg(F.count("*").alias("times")).repartition(tasks).mapInPandas(expect, "e double").agg(F.sum("e").alias("expected"))
+    share = F.col("m") / F.lit(float(total))
+    entropy = lambda df, name: df.agg((-F.sum(share * F.log(share))).alias(f"h_{name}"), F.count("*").alias(f"k_{name}"))
+    met = c.join(rows.select(F.col("k").alias(a), F.col("m").alias("ma")), a).join(columns.select(F.col("k").alias(b), F.col("m").alias("mb")), b)
+    mi = met.agg(F.sum(F.col("n") / F.lit(float(total)) * F.log(F.col("n") * F.lit(float(total)) / (F.col("ma").cast("double") * F.col("mb")))).alias("mi"))
+    one = expected.crossJoin(F.broadcast(entropy(rows, "a"))).crossJoin(F.broadcast(entropy(columns, "b"))).crossJoin(F.broadcast(mi))
+    low = (F.col("h_a") + F.col("h_b")) / 2 - F.col("expected")
+    low = F.when(low < 0, F.least(low, F.lit(-1e-15))).otherwise(F.greatest(low, F.lit(1e-15)))
+    same = ((F.col("k_a") == 1) & (F.col("k_b") == 1)) | ((F.col("k_a") == total) & (F.col("k_b") == total))
+    return one.select(F.when(same, 1.0).otherwise((F.col("mi") - F.col("expected")) / low).alias("ami"))

@@ -2,64 +2,91 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Metres by which offsets may differ and still be the same place.
+SAME = 1e-6
 
-def interpolate(line: Sequence[tuple[float, float]], seen: Sequence[tuple[float, int]]) -> list[tuple[float, float, int]]:
-    """(x, y, time in microseconds) of the line's vertices and observed places between the first and the last observation.
 
-    Observations are (mileage, time); times between two are linear in mileage and
-    never step back. With one observation the result is that place.
-    """
-    if not seen or len(line) < 2:
-        return []
-    seen = sorted(seen)
-    marks = [0.0]
-    for (x0, y0), (x1, y1) in zip(line, line[1:], strict=False):
-        marks.append(marks[-1] + math.hypot(x1 - x0, y1 - y0))
+def interpolate(line: np.ndarray, offsets: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, str | None]:
+    """(rows of x, y, microseconds; None) of a line and the observed places on it, or (no rows, what is wrong).
 
-    def place(m: float) -> tuple[float, float]:
-        m = min(max(m, 0.0), marks[-1])
-        for i in range(len(line) - 1):
-            if m <= marks[i + 1] or i == len(line) - 2:
-                size = marks[i + 1] - marks[i]
-                t = (m - marks[i]) / size if size else 0.0
-                return line[i][0] + t * (line[i + 1][0] - line[i][0]), line[i][1] + t * (line[i + 1][1] - line[i][1])
-        raise AssertionError
+    Observed times stay as they are. A vertex between two observations has a time
+    linear in mileage, rounded to a microsecond, after the row before it and before
+    the next observation; observations at a vertex take its place.
+    """
+    none = np.zeros((0, 3))
+    if not len(offsets) or not np.isfinite(offsets).all():
+        return none, "offsets must be finite"
+    order = np.argsort(times, kind="stable")
+    offsets, times = offsets[order].copy(), times[order]
+    if (np.diff(times) <= 0).any():
+        return none, "times must increase"
+    back = np.flatnonzero(np.diff(offsets) < 0)
+    for i in back:
+        if abs(offsets[i + 1] - offsets[i]) > SAME:
+            return none, "offsets must not decrease"
+        offsets[i + 1] = offsets[i]
+    if len(line) < 2 or not (size := np.hypot(*np.diff(line, axis=0).T)).sum() > 0:
+        if len(line) and len(offsets) == 1 and abs(offsets[0]) <= SAME:
+            return np.array([[*line[0], times[0]]]), None
+        return none, "a line needs a length"
+    marks = np.concatenate([[0.0], np.cumsum(size)])
+    if abs(offsets[0]) > SAME or abs(offsets[-1] - marks[-1]) > max(SAME, 1e-9 * marks[-1]):
+        return none, "observations must begin and end with the line"
+    near = np.abs(marks[None, :] - offsets[:, None]).argmin(axis=1)
+    offsets = np.where(np.abs(marks[near] - offsets) <= np.maximum(SAME, 1e-9 * offsets), marks[near], offsets)
+    inner = np.arange(1, len(marks) - 1)
+    after = np.searchsorted(offsets, marks[inner], side="left")
+    between = (after > 0) & (after < len(offsets))
+    inner, after = inner[between], after[between]
+    inner, after = inner[offsets[after] != marks[inner]], after[offsets[after] != marks[inner]]
+    start, end = after - 1, after
+    part = (marks[inner] - offsets[start]) / (offsets[end] - offsets[start])
+    t = times[start] + np.rint((times[end] - times[start]) * part).astype(np.int64)
+    t = np.minimum(t, times[end] - 1)
+    for i in range(len(t)):  # at least a microsecond after the row before
+        floor = times[start[i]] if i == 0 or after[i - 1] != after[i] else t[i - 1]
+        t[i] = max(t[i], floor + 1)
+        if t[i] >= times[end[i]]:
+            return none, "no room for the times of vertices"
+    seen = np.stack([np.interp(offsets, marks, line[:, 0]), np.interp(offsets, marks, line[:, 1]), times.astype(np.float64)], axis=1)
+    rows = np.concatenate([seen, np.concatenate([line[inner], t[:, None].astype(np.float64)], axis=1)])
+    return rows[np.argsort(np.concatenate([times, t]), kind="stable")], None
 
-    out = []
-    for k, (m, t) in enumerate(seen):
-        if k:
-            m0, t0 = seen[k - 1]
-            for v in marks:
-                if m0 < v < m:
-                    out.append((*place(v), int(t0 + (t - t0) * (v - m0) / (m - m0))))
-        out.append((*place(m), int(t)))
-    clean: list[tuple[float, float, int]] = []
-    for x, y, t in out:
-        t = max(t, clean[-1][2]) if clean else t
-        if clean and clean[-1] == (x, y, t):
-            continue
-        if clean and t == clean[-1][2]:
-            t += 1
-        clean.append((x, y, t))
-    return clean
 
+def trajectories(pieces: DataFrame, key: Sequence[str], piece: str | None = None) -> DataFrame:
+    """Timed points of each piece, a sequence of its own: key, piece, trajectory (array of x, y, us), problem.
 
-def trajectories(pieces: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Timed points of each piece: ``pieces`` has line (array of structs x, y) and seen (array of structs offset_m, us)."""
+    ``pieces`` has line (array of x, y) and seen (array of offset_m, us). A piece
+    that breaks a rule has a null trajectory and the rule as problem: observed
+    times must increase, also from piece to piece of a track; offsets must be
+    finite, not decrease, begin at 0 and end with the line; a line needs a length,
+    unless it is one place with one observation.
+    """
 
-    @F.pandas_udf("array<struct<x:double,y:double,us:long>>")
-    def run(lines: pd.Series, seen: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<x:array<double>,y:array<double>,us:array<long>,problem:string>")
+    def run(xs: pd.Series, ys: pd.Series, offsets: pd.Series, times: pd.Series) -> pd.DataFrame:
         out = []
-        for a, b in zip(lines, seen, strict=True):
-            rows = interpolate([(p["x"], p["y"]) for p in a], [(s["offset_m"], s["us"]) for s in b])
-            out.append([{"x": x, "y": y, "us": t} for x, y, t in rows])
-        return pd.Series(out)
+        for x, y, o, t in zip(xs, ys, offsets, times, strict=True):
+            line = np.stack([np.asarray(x, float), np.asarray(y, float)], axis=1)
+            us = np.asarray(t, np.int64)
+            origin = int(us.min()) if len(us) else 0
+            rows, problem = interpolate(line, np.asarray(o, float), us - origin)
+            out.append((None, None, None, problem) if problem else (rows[:, 0], rows[:, 1], rows[:, 2].astype(np.int64) + origin, None))
+        return pd.DataFrame(out, columns=["x", "y", "us", "problem"])
 
-    return pieces.select(*key, run.asNondeterministic()("line", "seen").alias("trajectory"))
+    at = [*key, *([piece] if piece else [])]
+    done = pieces.select(*at, F.array_max("seen.us").alias("__last"), F.array_min("seen.us").alias("__first"), run.asNondeterministic()(F.col("line.x"), F.col("line.y"), F.col("seen.offset_m"), F.col("seen.us")).alias("__t"))
+    problem = F.col("__t.problem")
+    if piece:
+        late = F.col("__first") <= F.lag("__last").over(Window.partitionBy(*key).orderBy(piece))
+        problem = F.coalesce(problem, F.when(late, "times must increase from piece to piece"))
+    done = done.withColumn("problem", problem)
+    points = F.transform(F.arrays_zip("__t.x", "__t.y", "__t.us"), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["us"].alias("us")))
+    return done.select(*at, F.when(F.col("problem").isNull(), points).alias("trajectory"), "problem")

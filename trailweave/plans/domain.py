@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import community, grid, matching, profiles, sequences, serving, trajectory, visits
 from ..params import CommunityParams, DebounceParams, MatchParams, SequenceParams
-from .base import CELL, query, rounded, sessions, walks
-from .tracks import CROSS, KEY, crossings, link_rows, sequence_rows
+from .base import CELL, SESS, SPLIT, query, rounded, sessions, walks
+from .tracks import CROSS, KEY, SEQ, SUPPORT, crossings, link_rows, sequence_rows
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SEQ}, ids AS (SELECT row_number() OVER () AS id, regions FROM seqs
+    ), sub(id, spot, pattern) AS (SELECT id, i, [regions[i]] FROM (SELECT id, regions, unnest(range(1, len(regions) + 1)) AS i FROM ids)
+      UNION SELECT s.id, j, list_append(s.pattern, regions[j]) FROM (SELECT sub.*, regions, unnest(range(spot + 1, len(regions) + 1)) AS j FROM sub JOIN ids USING (id) WHERE len(pattern) < {SequenceParams().max_length}) s
+    ), held AS (SELECT DISTINCT id, pattern FROM sub WHERE len(pattern) >= 2), n AS (SELECT count(*) AS n FROM ids)
+    SELECT array_to_string(pattern, '-') AS pattern, count(*) AS support FROM held GROUP BY pattern HAVING count(*) >= (SELECT greatest(floor(0.02 * n + 0.5), 5) FROM n)"""
+)
 def prefixspan(spark: SparkSession, sf: str) -> DataFrame:
     p = SequenceParams(support_ratio=0.02, support_floor=5)
     seqs = sequence_rows(spark, sf)
@@ -22,13 +28,18 @@ def prefixspan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.array_join(F.transform("pattern", lambda r: r.cast("string")), "-").alias("pattern"), "support").orderBy(F.length("pattern"), F.desc("support"), "pattern")
 
 
-@query()
+@query(
+    f"""WITH {SUPPORT}, pats AS (SELECT pattern, support AS contiguous FROM supp), step(pattern, k, i, contiguous, user_id, s, segment_index, regions) AS (
+      SELECT pattern, 0, 0, contiguous, user_id, s, segment_index, regions FROM pats, seqs),
+    walk AS (SELECT pattern, contiguous, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(regions, lambda r: CAST(r AS BIGINT))), lambda k, r: CASE WHEN k < len(pattern) AND pattern[k + 1] = r THEN k + 1 ELSE k END) AS k FROM step)
+    SELECT array_to_string(pattern, '-') AS pattern, CAST(count(*) FILTER (WHERE k = len(pattern)) AS BIGINT) AS support, contiguous FROM walk GROUP BY ALL"""
+)
 def contained_support(spark: SparkSession, sf: str) -> DataFrame:
     """Gapped support of every run."""
     seqs = sequence_rows(spark, sf)
     runs = sequences.contiguous_patterns(seqs, KEY, SequenceParams().max_length).select("pattern").distinct()
-    got = sequences.contained_support(seqs.withColumn("id", F.concat_ws("-", *KEY, "segment_index")), runs, "id")
-    return got.select(F.array_join(F.transform("pattern", lambda r: r.cast("string")), "-").alias("pattern"), "support")
+    got = sequences.contained_support(seqs, runs)
+    return got.select(F.array_join(F.transform("pattern", lambda r: r.cast("string")), "-").alias("pattern"), "support", "contiguous")
 
 
 LEAST = 700.0
@@ -155,13 +166,14 @@ def display_fill(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(x, y, r, (x, y) in set(filled.filled)) for (x, y), r in sorted(filled.regions.items())], "cell_x int, cell_y int, region int, is_filled boolean")
 
 
-@query()
+@query(
+    f"""WITH {SESS}, m AS (SELECT *, row_number() OVER w - 1 AS seq, count(*) OVER (PARTITION BY user_id, s) AS n, sum(step_m) OVER (PARTITION BY user_id, s) AS total FROM sess WINDOW w AS (PARTITION BY user_id, s ORDER BY event_id))
+    SELECT user_id, s, CAST(seq AS INTEGER) AS seq, round(x, 4) AS x, round(y, 4) AS y, epoch_us(ts) AS us FROM m WHERE n >= 2 AND total > 0"""
+)
 def trajectories(spark: SparkSession, sf: str) -> DataFrame:
-    s = sessions(spark, sf)
-    from pyspark.sql import Window
-
+    """Sessions of two points or more as lines with observed vertices."""
     w = Window.partitionBy(*KEY).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    p = s.withColumn("offset_m", F.coalesce(F.sum("step_m").over(w), F.lit(0.0)))
+    p = sessions(spark, sf).withColumn("offset_m", F.coalesce(F.sum("step_m").over(w), F.lit(0.0)))
     rows = p.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("event_id", "x", "y", "offset_m", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")))).alias("r"))
     pieces = rows.where(F.size("r") >= 2).select(*KEY, F.transform("r", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("line"), F.transform("r", lambda v: F.struct(v["offset_m"].alias("offset_m"), v["us"].alias("us"))).alias("seen"))
     t = trajectory.trajectories(pieces, KEY)
@@ -169,9 +181,33 @@ def trajectories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query()
+def walk_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    """Times of the vertices of matched tracks: how many rows each piece has, and when it ends."""
+    points, _, pieces = matching.match_tables(walks(spark, sf), street_grid(**BLOCKS), MatchParams(), ["user_id"], "event_id")
+    at = points.where("piece is not null").join(walks(spark, sf).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")), ["user_id", "event_id"])
+    seen = at.groupBy("user_id", "piece").agg(F.collect_list(F.struct("offset_m", "us")).alias("seen"))
+    t = trajectory.trajectories(pieces.join(seen, ["user_id", "piece"]), ["user_id"], "piece")
+    return t.select("user_id", "piece", F.size("trajectory").alias("rows"), F.element_at("trajectory", -1)["us"].alias("last_us"), "problem")
+
+
+BOX, WINDOW = (1000.0, 600.0, 3000.0, 2000.0), (datetime(2024, 1, 5, 8), datetime(2024, 1, 5, 12))
+
+
+def _track_sql() -> str:
+    lo, hi = "CASE WHEN b > a THEN greatest(0.0, (s0 - a) / (b - a)) ELSE 0.0 END", "CASE WHEN b > a THEN least(1.0, (e0 - a) / (b - a)) ELSE 1.0 END"
+    for c, low, high in (("x", BOX[0], BOX[2]), ("y", BOX[1], BOX[3])):
+        d, u, v = f"({c}1 - {c}0)", f"({low} - {c}0) / nullif({c}1 - {c}0, 0)", f"({high} - {c}0) / nullif({c}1 - {c}0, 0)"
+        lo = f"CASE WHEN {d} = 0 THEN CASE WHEN {c}0 BETWEEN {low} AND {high} THEN {lo} ELSE 2.0 END ELSE greatest({lo}, least({u}, {v})) END"
+        hi = f"CASE WHEN {d} = 0 THEN CASE WHEN {c}0 BETWEEN {low} AND {high} THEN {hi} ELSE -1.0 END ELSE least({hi}, greatest({u}, {v})) END"
+    return f"""WITH {SESS}, legs AS (SELECT user_id, s, CAST(epoch_us(lag(ts) OVER w) AS DOUBLE) AS a, CAST(epoch_us(ts) AS DOUBLE) AS b, lag(x) OVER w AS x0, lag(y) OVER w AS y0, x AS x1, y AS y1, CAST(epoch_us(TIMESTAMP '{WINDOW[0]}') AS DOUBLE) AS s0, CAST(epoch_us(TIMESTAMP '{WINDOW[1]}') AS DOUBLE) AS e0 FROM sess WINDOW w AS (PARTITION BY user_id, s ORDER BY ts, x, y)
+    ), hits AS (SELECT DISTINCT user_id, s FROM legs WHERE a IS NOT NULL AND b >= s0 AND a < e0 AND {lo} <= {hi})
+    SELECT total, user_id, s FROM (SELECT count(*) AS total FROM hits) LEFT JOIN (SELECT * FROM hits ORDER BY user_id, s LIMIT 200) ON TRUE"""
+
+
+@query(_track_sql())
 def track_query(spark: SparkSession, sf: str) -> DataFrame:
-    start, end = datetime(2024, 1, 5, 8), datetime(2024, 1, 5, 12)
-    serving.check_window(start, end)
+    serving.check_window(*WINDOW)
     points = sessions(spark, sf).select(*KEY, "ts", "x", "y")
-    total, sample = serving.tracks_in_box(points, KEY, (1000.0, 600.0, 3000.0, 2000.0), F.lit("2024-01-05 08:00:00").cast("timestamp_ntz"), F.lit("2024-01-05 12:00:00").cast("timestamp_ntz"), 200)
+    stamp = [F.lit(str(t)).cast("timestamp_ntz") for t in WINDOW]
+    total, sample = serving.tracks_in_box(points, KEY, BOX, *stamp, 200, longest_s=SPLIT.max_gap_s)
     return total.join(sample, F.lit(True), "left").select("total", *KEY)

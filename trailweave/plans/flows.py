@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import upper_tail_sql
-from ..operators import serving, stats
+from ..operators import contrast, serving, stats
 from .base import CELL, OD, OD_ROWS, E, events, flow_counts, query, rounded, table, year_flows
 
 YEARS = tuple(range(1995, 2002))
@@ -115,15 +115,21 @@ def null_moments_channel(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.channel_null(year_flows(spark, sf), ["year"], "trips"))
 
 
-SIG = NULLS + f""", z AS (SELECT year, from_region, to_region, trips, CASE WHEN null_sd > 0 THEN (trips - null_mean) / null_sd END AS z, trips < 5 AS gated, from_region = to_region AS is_self_loop FROM odn
+def _sig(fdr: float) -> str:
+    return NULLS + f""", z AS (SELECT year, from_region, to_region, trips, CASE WHEN null_sd > 0 THEN (trips - null_mean) / null_sd END AS z, trips < 5 AS gated, from_region = to_region AS is_self_loop FROM odn
 ), p AS (SELECT *, {upper_tail_sql("z")} AS p FROM z
 ), t AS (SELECT year, from_region, to_region, p * count(*) OVER (PARTITION BY year) / row_number() OVER w AS scaled, row_number() OVER w AS k FROM p WHERE NOT gated AND NOT is_self_loop AND p IS NOT NULL WINDOW w AS (PARTITION BY year ORDER BY p, from_region, to_region)
 ), q AS (SELECT *, least(1.0, min(scaled) OVER (PARTITION BY year ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM t
-), sig AS (SELECT p.*, q.q, coalesce(q.q <= 0.2, FALSE) AS is_significant FROM p LEFT JOIN q USING (year, from_region, to_region))"""
+), sig AS (SELECT p.*, q.q, coalesce(q.q <= {fdr}, FALSE) AS is_significant FROM p LEFT JOIN q USING (year, from_region, to_region))"""
 
 
-def sig_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.significance(stats.od_null(year_flows(spark, sf), ["year"]), ["year"], "trips", 5, 0.2)
+#: False discovery rates of the queries: the flows of the test data are near their null, so stable pairs are few even at a rate that takes most.
+FDR, STABLE_FDR = 0.2, 0.95
+SIG, STABLE_SIG = _sig(FDR), _sig(STABLE_FDR)
+
+
+def sig_rows(spark: SparkSession, sf: str, fdr: float = FDR) -> DataFrame:
+    return stats.significance(stats.od_null(year_flows(spark, sf), ["year"]), ["year"], "trips", 5, fdr)
 
 
 @query(f"WITH {SIG} SELECT year, from_region, to_region, trips, round(z, 6) AS z, round(p, 8) AS p, round(q, 8) AS q, gated, is_self_loop, is_significant FROM sig")
@@ -131,10 +137,9 @@ def significance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sig_rows(spark, sf).select("year", *PAIR, "trips", "z", "p", "q", "gated", "is_self_loop", "is_significant"), 6, p=8, q=8)
 
 
-@query(f"WITH {SIG} SELECT from_region, to_region, count(DISTINCT year) AS scopes, round(min(z), 6) AS z_min, round(quantile_cont(z, 0.5), 6) AS z_median FROM sig WHERE z > 0 AND year <= 1998 GROUP BY ALL HAVING count(DISTINCT year) = 4")
+@query(f"WITH {STABLE_SIG} SELECT from_region, to_region, count(DISTINCT year) AS scopes, round(min(z), 6) AS z_min, round(quantile_cont(z, 0.5), 6) AS z_median FROM sig WHERE is_significant AND year <= 1998 GROUP BY ALL HAVING count(DISTINCT year) = 4")
 def stable_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    s = sig_rows(spark, sf).where("year <= 1998").withColumn("is_significant", F.coalesce(F.col("z") > 0, F.lit(False)))
-    return rounded(stats.stable_pairs(s, "year", 4))
+    return rounded(stats.stable_pairs(sig_rows(spark, sf, STABLE_FDR).where("year <= 1998"), "year", 4))
 
 
 @query(
@@ -158,21 +163,72 @@ def merge_contrast(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(g)
 
 
+TOP = 50
+
+
 @query(
-    f"""WITH {MERGED}, p AS (SELECT 'pair' AS family, 'pearson' AS metric, year_a AS year, year_b AS other, CAST(NULL AS INTEGER) AS region, round(corr(a, b), 6) AS value, count(*) AS n FROM (SELECT y1.year AS year_a, y2.year AS year_b, coalesce(o1.trips, 0) AS a, coalesce(o2.trips, 0) AS b FROM (SELECT DISTINCT year FROM od) y1 JOIN (SELECT DISTINCT year FROM od) y2 ON y1.year < y2.year CROSS JOIN m LEFT JOIN od o1 ON o1.year = y1.year AND o1.from_region = m.from_region AND o1.to_region = m.to_region LEFT JOIN od o2 ON o2.year = y2.year AND o2.from_region = m.from_region AND o2.to_region = m.to_region WHERE coalesce(o1.trips, 0) + coalesce(o2.trips, 0) > 0) GROUP BY ALL
-    ), c AS (SELECT 'merged', 'cosine', year, CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), round(sum(a * m) / sqrt(sum(CAST(a * a AS DOUBLE)) * sum(CAST(m * m AS DOUBLE))), 6), count(*) FROM v GROUP BY year
-    ), s AS (SELECT 'region', 'self share', CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), from_region, round(sum(CASE WHEN from_region = to_region THEN m ELSE 0 END) / sum(m), 6), count(*) FROM m GROUP BY from_region)
-    SELECT * FROM p UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s"""
+    f"""WITH {MERGED}, ys AS (SELECT DISTINCT year FROM od), cube AS (SELECT y.year, m.from_region, m.to_region, coalesce(trips, 0) AS trips, m FROM ys y CROSS JOIN m LEFT JOIN od USING (year, from_region, to_region)
+    ), two AS (
+      SELECT 'pair' AS family, a.year, b.year AS other, a.from_region, a.to_region, a.trips AS a, b.trips AS b FROM cube a JOIN cube b ON a.year < b.year AND a.from_region = b.from_region AND a.to_region = b.to_region WHERE a.trips + b.trips > 0
+      UNION ALL SELECT 'merged', year, NULL, from_region, to_region, trips, m FROM cube
+    ), ranked AS (
+      SELECT *, rank() OVER (PARTITION BY family, year, other ORDER BY a) + (count(*) OVER (PARTITION BY family, year, other, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY family, year, other ORDER BY b) + (count(*) OVER (PARTITION BY family, year, other, b) - 1) / 2.0 AS rb,
+        a > 0 AND row_number() OVER (PARTITION BY family, year, other ORDER BY a DESC, from_region, to_region) <= {TOP} AS ta, b > 0 AND row_number() OVER (PARTITION BY family, year, other ORDER BY b DESC, from_region, to_region) <= {TOP} AS tb FROM two
+    ), wide AS (
+      SELECT family, year, other, count(*) AS n, corr(a, b) AS pearson, corr(ln(1 + a), ln(1 + b)) AS pearson_log, corr(ra, rb) AS spearman, sum(CAST(a AS DOUBLE) * b) / nullif(sqrt(sum(CAST(a AS DOUBLE) * a) * sum(CAST(b AS DOUBLE) * b)), 0) AS cosine,
+        count(*) FILTER (WHERE ta AND tb) / nullif(count(*) FILTER (WHERE ta OR tb), 0) AS top_jaccard FROM ranked GROUP BY family, year, other
+    ), long AS (
+      UNPIVOT wide ON pearson, pearson_log, spearman, cosine, top_jaccard INTO NAME metric VALUE value)
+    SELECT family, metric, CAST(year AS INTEGER) AS year, CAST(other AS INTEGER) AS other, CAST(NULL AS INTEGER) AS region, round(value, 6) AS value, n FROM long
+    UNION ALL SELECT 'region', 'self share', NULL, NULL, from_region, round(sum(CASE WHEN from_region = to_region THEN m ELSE 0 END) / sum(m), 6), count(*) FROM m GROUP BY from_region"""
 )
 def consistency_long(spark: SparkSession, sf: str) -> DataFrame:
+    """How alike the years are, pair by pair and against their sum, and the share of each region that stays: all from one table of pairs, built once."""
+    g = year_flows(spark, sf).groupBy(*PAIR).agg(F.sum("trips").alias("m"), F.map_from_entries(F.collect_list(F.struct("year", "trips"))).alias("t"))
+    at = lambda y: F.coalesce(F.col("t")[F.lit(y)], F.lit(0))
     none = F.lit(None).cast("int")
-    u = year_pairs(spark, sf).groupBy("year_a", "year_b").agg(stats.safe_corr(F.col("a").cast("double"), F.col("b").cast("double")).alias("value"), F.count("*").alias("n"))
-    p = u.select(F.lit("pair").alias("family"), F.lit("pearson").alias("metric"), F.col("year_a").alias("year"), F.col("year_b").alias("other"), none.alias("region"), "value", "n")
-    v = against_merged(spark, sf)
-    c = v.groupBy("year").agg(stats.cosine(F.col("a").cast("double"), F.col("m").cast("double")).alias("value"), F.count("*").alias("n")).select(F.lit("merged"), F.lit("cosine"), "year", none, none, "value", "n")
-    m = year_flows(spark, sf).groupBy(*PAIR).agg(F.sum("trips").alias("m"))
-    s = m.groupBy("from_region").agg((F.sum(F.when(F.col("from_region") == F.col("to_region"), F.col("m")).otherwise(0)) / F.sum("m")).alias("value"), F.count("*").alias("n")).select(F.lit("region"), F.lit("self share"), none, none, "from_region", "value", "n")
-    return rounded(p.union(c).union(s)).orderBy("family", "metric", F.col("year").asc_nulls_first(), F.col("other").asc_nulls_first(), F.col("region").asc_nulls_first())
+    row = lambda family, y, z, a, b: F.struct(F.lit(family).alias("family"), y.cast("int").alias("year"), z.cast("int").alias("other"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    rows = [row("pair", F.lit(y), F.lit(z), at(y), at(z)) for y in YEARS for z in YEARS if y < z] + [row("merged", F.lit(y), none, at(y), F.col("m")) for y in YEARS]
+    both = g.select(*PAIR, F.explode(F.array(*rows)).alias("r")).select(*PAIR, "r.*").where("family = 'merged' or a + b > 0")
+    by = ["family", "year", "other"]
+    both = stats.average_rank(stats.average_rank(both, by, "a", "ra"), by, "b", "rb")
+    top = lambda c: (F.col(c) > 0) & (F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(c), *PAIR)) <= TOP)
+    both = both.withColumns({"ta": top("a"), "tb": top("b")})
+    a, b = F.col("a"), F.col("b")
+    wide = both.groupBy(*by).agg(F.count("*").alias("n"), stats.safe_corr(a, b).alias("pearson"), stats.safe_corr(F.log1p("a"), F.log1p("b")).alias("pearson_log"), stats.safe_corr(F.col("ra"), F.col("rb")).alias("spearman"), stats.cosine(a, b).alias("cosine"), stats.jaccard(F.col("ta"), F.col("tb")).alias("top_jaccard"))
+    long = wide.unpivot([*by, "n"], ["pearson", "pearson_log", "spearman", "cosine", "top_jaccard"], "metric", "value").where("value is not null").select("family", "metric", "year", "other", none.alias("region"), "value", "n")
+    stay = g.groupBy("from_region").agg((F.sum(F.when(F.col("from_region") == F.col("to_region"), F.col("m")).otherwise(0)) / F.sum("m")).alias("value"), F.count("*").alias("n"))
+    out = long.union(stay.select(F.lit("region"), F.lit("self share"), none, none, "from_region", "value", "n"))
+    return rounded(out).orderBy("family", "metric", F.col("year").asc_nulls_first(), F.col("other").asc_nulls_first(), F.col("region").asc_nulls_first())
+
+
+RAIN, CLEAR = 1997, (1995, 1996, 1998, 1999)
+
+
+@query(
+    f"""WITH {OD_ROWS}, rows AS (SELECT year, from_region, to_region, CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 200000 THEN 'middle' ELSE 'high' END AS band FROM od_rows WHERE year IN {(RAIN, *CLEAR)}
+    ), x AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS exposure FROM orders GROUP BY ALL
+    ), b AS (SELECT band, year, count(*) AS n FROM rows GROUP BY ALL UNION ALL SELECT 'all', year, count(*) FROM rows GROUP BY year
+    ), r AS (SELECT band, max(n / exposure) FILTER (WHERE year = {RAIN}) / avg(n / exposure) FILTER (WHERE year <> {RAIN}) AS ratio FROM b JOIN x USING (year) GROUP BY band
+    ), bands AS (SELECT band, ratio FROM r WHERE band <> 'all'), mid AS (SELECT avg(ratio) AS mean, max(ratio) - min(ratio) AS spread FROM bands
+    ), far AS (SELECT band, abs(ratio - mean) AS off FROM bands, mid ORDER BY off DESC, band LIMIT 1
+    ), pairs AS (SELECT from_region, to_region, count(*) FILTER (WHERE year = {RAIN}) AS a, count(*) FILTER (WHERE year <> {RAIN}) AS b FROM rows WHERE from_region <> to_region GROUP BY ALL
+    ), shares AS (SELECT a / sum(a) OVER () AS a, b / sum(b) OVER () AS b FROM pairs
+    ), ranks AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM shares
+    ), own AS (SELECT year, count(*) FILTER (WHERE from_region = to_region) / count(*) AS share FROM rows GROUP BY year)
+    SELECT 'exposure_ratio' AS metric, band, round(ratio, 6) AS value FROM r
+    UNION ALL SELECT 'band_spread', NULL, round(spread, 6) FROM mid
+    UNION ALL SELECT 'band_furthest', band, round(off, 6) FROM far
+    UNION ALL SELECT 'share_spearman', NULL, round(corr(ra, rb), 6) FROM ranks
+    UNION ALL SELECT 'share_cosine', NULL, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) FROM shares
+    UNION ALL SELECT 'self_loop_ratio', NULL, round(max(share) FILTER (WHERE year = {RAIN}) / avg(share) FILTER (WHERE year <> {RAIN}), 6) FROM own"""
+)
+def rain_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("o_totalprice")
+    band = F.when(p < 100000, "low").when(p < 200000, "middle").otherwise("high")
+    counts = flow_counts(spark, sf, "year", band=band).withColumnsRenamed({"year": "day", "trips": "n"})
+    exposure = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("day")).agg(F.count("*").alias("exposure"))
+    return rounded(contrast.day_contrast(counts, exposure, RAIN, CLEAR).select("metric", "band", "value"))
 
 
 @query(
@@ -211,9 +267,7 @@ def contingency_ecs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ami(spark: SparkSession, sf: str) -> DataFrame:
-    """One value: a contingency of two grids is as large as the map, whatever the events."""
-    counts = {(r["a"], r["b"]): r["n"] for r in two_grids(spark, sf).collect()}
-    return spark.createDataFrame([(round(stats.adjusted_mutual_information(counts) or 0.0, 6),)], "ami double")
+    return rounded(stats.adjusted_mutual_information(two_grids(spark, sf), "a", "b", "n"))
 
 
 @query(
@@ -227,11 +281,12 @@ def flows_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SIG}, st AS (SELECT from_region, to_region, sum(trips) AS observed FROM sig WHERE z > 0 AND year <= 1998 GROUP BY ALL HAVING count(*) = 4), o AS (SELECT from_region, to_region, count(*) AS n FROM od_rows WHERE month = 3 AND year <= 1998 GROUP BY ALL)
+    f"""WITH {STABLE_SIG}, st AS (SELECT from_region, to_region, sum(trips) AS observed FROM sig WHERE is_significant AND year <= 1998 GROUP BY ALL HAVING count(*) = 4), o AS (SELECT from_region, to_region, count(*) AS n FROM od_rows WHERE month = 3 AND year <= 1998 GROUP BY ALL)
     SELECT from_region, to_region, round(coalesce(n, 0) / 4.0, 6) AS weight, CAST(observed AS BIGINT) AS observed FROM st LEFT JOIN o USING (from_region, to_region)"""
 )
 def flows_stable(spark: SparkSession, sf: str) -> DataFrame:
-    s = sig_rows(spark, sf).where("year <= 1998 and z > 0").groupBy(*PAIR).agg(F.count("*").alias("k"), F.sum("trips").alias("observed")).where("k = 4")
+    tested = sig_rows(spark, sf, STABLE_FDR).where("year <= 1998")
+    s = stats.stable_pairs(tested, "year", 4).join(tested.groupBy(*PAIR).agg(F.sum("trips").alias("observed")), PAIR)
     s = s.select(F.lit("stable").alias("scope"), *PAIR, "observed", F.lit(True).alias("is_significant"), F.lit(False).alias("gated"), F.lit(False).alias("is_self_loop"))
     o = flow_counts(spark, sf, "year", "month").select(F.col("year").cast("string").alias("scope"), F.col("month").alias("slot"), *PAIR, F.col("trips").alias("n"))
     return rounded(serving.flows(s, o, "stable", ["1995", "1996", "1997", "1998"], 3).select(*PAIR, "weight", "observed"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import second_of_day
+from ..operators.labels import dominant_names
+from ..operators.network import AccessRules, accessible, build_network, classify
 from ..sources.files import union_days
 from .base import E, OD_ROWS, events, flow_counts, query, rounded, table
 
@@ -29,25 +31,38 @@ def union_daily(spark: SparkSession, sf: str) -> DataFrame:
     return union_days([e.where(F.col("d") == F.lit(d)).select("event_id", "d", F.lit(f"day {d.day}").alias("part")) for d in DAYS[:3]])
 
 
-CLASSES = [("steel", ["STEEL"]), ("copper", ["COPPER"]), ("promo", ["PROMO"]), ("brass", ["BRASS"])]
+RULES = [("promo", [("kind", ["PROMO"])]), ("bolt", [("item", ["bolt", "gear"])]), ("house", [("brand", ["Brand#11", "Brand#12", "Brand#13"])]), ("plain", [("mood", ["cold"]), ("kind", ["ECONOMY", "STANDARD"])])]
+ACCESS = AccessRules(never=["economy"], motorway=["promo"], foot=["standard"], service_private=["bolt"])
+
+
+def part_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as tagged ways."""
+    n = F.split("p_name", " ")
+    size = F.col("p_size")
+    tags = {
+        "kind": F.col("p_type"), "brand": F.col("p_brand"), "mood": n[0], "item": n[1], "highway": F.when(size % 11 == 0, "service").otherwise(F.lower("p_type")), "service": n[1],
+        "bicycle": F.when(size % 5 == 0, "no").when(size % 5 == 1, "yes").otherwise(""), "access": F.when(size % 7 == 0, "private").otherwise(""),
+        "oneway": F.when(size % 3 == 0, "yes").when(size % 3 == 1, "-1").otherwise(""), "cycleway": F.when(size % 4 == 0, "opposite").otherwise(""),
+    }
+    return table(spark, sf, "part").select("p_partkey", F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), v)]).alias("tags"))
+
+
+TAGS = """t AS (
+  SELECT p_partkey, p_type AS kind, p_brand AS brand, split_part(p_name, ' ', 1) AS mood, split_part(p_name, ' ', 2) AS item, CASE WHEN p_size % 11 = 0 THEN 'service' ELSE lower(p_type) END AS highway,
+         CASE p_size % 5 WHEN 0 THEN 'no' WHEN 1 THEN 'yes' ELSE '' END AS bicycle, CASE WHEN p_size % 7 = 0 THEN 'private' ELSE '' END AS access FROM part)"""
 
 
 @query(
-    "SELECT p_partkey, CASE "
-    + " ".join(f"WHEN p_type IS NOT NULL AND ({' OR '.join(f'contains(upper(p_type), {chr(39)}{w}{chr(39)})' for w in ws)}) THEN '{c}'" for c, ws in CLASSES)
-    + " WHEN p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') THEN 'house' ELSE 'other' END AS category, CASE WHEN p_size < 10 AND NOT contains(upper(p_type), 'STEEL') THEN TRUE WHEN p_brand = 'Brand#11' THEN TRUE ELSE FALSE END AS accessible FROM part"
+    f"""WITH {TAGS} SELECT p_partkey,
+      CASE WHEN kind = 'PROMO' THEN 'promo' WHEN item IN ('bolt', 'gear') THEN 'bolt' WHEN brand IN ('Brand#11', 'Brand#12', 'Brand#13') THEN 'house' WHEN mood = 'cold' OR kind IN ('ECONOMY', 'STANDARD') THEN 'plain' END AS category,
+      CASE WHEN kind = 'PROMO' THEN 'kind=PROMO' WHEN item IN ('bolt', 'gear') THEN 'item=' || item WHEN brand IN ('Brand#11', 'Brand#12', 'Brand#13') THEN 'brand=' || brand WHEN mood = 'cold' THEN 'mood=cold' WHEN kind IN ('ECONOMY', 'STANDARD') THEN 'kind=' || kind END AS matched,
+      highway <> 'economy' AND bicycle <> 'no' AND NOT (access = 'private' AND bicycle <> 'yes') AND CASE WHEN highway IN ('promo', 'standard') THEN bicycle = 'yes' ELSE NOT (highway = 'service' AND item = 'bolt') END AS is_open
+    FROM t"""
 )
 def first_match_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    p = F.upper("p_type")
-    kind = F.when(F.lit(False), "")
-    for c, ws in CLASSES:
-        hit = F.lit(False)
-        for w in ws:
-            hit = hit | p.contains(w)
-        kind = kind.when(F.col("p_type").isNotNull() & hit, c)
-    kind = kind.when(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"), "house").otherwise("other")
-    ok = F.when((F.col("p_size") < 10) & ~p.contains("STEEL"), True).when(F.col("p_brand") == "Brand#11", True).otherwise(False)
-    return table(spark, sf, "part").select("p_partkey", kind.alias("category"), ok.alias("accessible"))
+    tags = F.col("tags")
+    c = classify(tags, RULES)
+    return part_tags(spark, sf).select("p_partkey", c["category"].alias("category"), c["matched"].alias("matched"), accessible(tags, ACCESS).alias("is_open"))
 
 
 @query(
@@ -113,17 +128,19 @@ def rank_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT p_size AS region, p_brand AS name, min(CASE WHEN contains(p_type, 'STEEL') THEN 0 ELSE 1 END) AS class, sum(l_quantity) AS length FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL
-    ), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY class, length DESC, name) AS k FROM l WHERE NOT (name LIKE '%1' AND EXISTS (SELECT 1 FROM l o WHERE o.region = l.region AND o.name NOT LIKE '%1')))
-    SELECT region, string_agg(name, '/' ORDER BY k) AS label FROM r WHERE k <= 2 GROUP BY region"""
+    """WITH l AS (SELECT p_size AS region, CASE WHEN p_partkey % 4 = 0 AND p_size % 2 = 0 THEN '路' || p_brand ELSE p_brand END AS name, CASE p_type WHEN 'PROMO' THEN 0 WHEN 'ECONOMY' THEN 1 ELSE 2 END AS rank, sum(l_quantity) AS weight FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL
+    ), own AS (SELECT * FROM l WHERE name <> '' AND (contains(name, '路') OR NOT EXISTS (SELECT 1 FROM l o WHERE o.region = l.region AND contains(o.name, '路')))
+    ), best AS (SELECT region, name, min(struct_pack(r := rank, w := -weight)) AS place FROM own GROUP BY region, name
+    ), k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY place, name) AS k FROM best)
+    SELECT region, string_agg(name, '/' ORDER BY k) AS label FROM k WHERE k <= 2 GROUP BY region"""
 )
 def road_label(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("region"), F.col("p_brand").alias("name"), F.when(F.col("p_type").contains("STEEL"), 0).otherwise(1).alias("class"))
-    q = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"))
-    n = q.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("region", "name").agg(F.min("class").alias("class"), F.sum("q").alias("length"))
-    n = n.withColumn("better", F.max((~F.col("name").like("%1")).cast("int")).over(Window.partitionBy("region"))).where("not (name like '%1' and better = 1)")
-    k = n.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy("class", F.desc("length"), "name"))).where("k <= 2")
-    return k.groupBy("region").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda s: s["name"]), "/").alias("label"))
+    """Two names for each size of parts, as for the roads of a region: brands by kind, then quantity, those with an ideograph first of all."""
+    name = F.when((F.col("p_partkey") % 4 == 0) & (F.col("p_size") % 2 == 0), F.concat(F.lit("路"), "p_brand")).otherwise(F.col("p_brand"))
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("region"), name.alias("name"), F.when(F.col("p_type") == "PROMO", 0).when(F.col("p_type") == "ECONOMY", 1).otherwise(2).alias("rank"))
+    q = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("weight"))
+    names = dominant_names(q.join(p, F.col("l_partkey") == F.col("p_partkey")), ["region"])
+    return names.select("region", F.array_join(F.filter("names", lambda n: n != ""), "/").alias("label"))
 
 
 @query(f"WITH {E} SELECT count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS kinds, round(max(abs(value)), 6) AS scale FROM e")
@@ -170,26 +187,26 @@ def small_dim_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT l_orderkey AS way, l_partkey % 50 AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_tax, l_discount) AS seq, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem
-    ), u AS (SELECT node, count(*) AS uses FROM n GROUP BY node
-    ), typical AS (SELECT quantile_cont(uses, 0.5) AS half FROM u
-    ), c AS (SELECT n.* FROM n JOIN u USING (node), typical WHERE seq = 1 OR seq = size OR uses > half
-    ), g AS (SELECT way, seq AS s0, lead(seq) OVER w AS s1, node AS u, lead(node) OVER w AS v FROM c WINDOW w AS (PARTITION BY way ORDER BY seq)
-    ) SELECT way, CAST(s0 AS INTEGER) AS from_seq, CAST(s1 AS INTEGER) AS to_seq, dir AS direction, CASE dir WHEN 0 THEN u ELSE v END AS u, CASE dir WHEN 0 THEN v ELSE u END AS v, dir = 0 OR way % 3 <> 0 AS is_legal FROM g, (VALUES (0), (1)) d(dir) WHERE s1 IS NOT NULL"""
+    """WITH n AS (SELECT l_orderkey AS osmid, CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 40 ELSE 1000 + l_orderkey * 8 + l_linenumber END AS id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) - 1 AS last FROM lineitem
+        WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_tax, l_discount)
+    ), u AS (SELECT id, count(DISTINCT osmid) AS uses FROM n GROUP BY id
+    ), p AS (SELECT osmid, i, id, CAST(id * 37 % 5003 AS DOUBLE) AS x, CAST(id * 91 % 3001 AS DOUBLE) AS y, CASE WHEN i > 0 AND i < last AND uses > 1 THEN 1 ELSE 0 END AS cut FROM n JOIN u USING (id)
+    ), g AS (SELECT *, coalesce(sum(cut) OVER (PARTITION BY osmid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece, lag(id) OVER w AS before, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step FROM p WINDOW w AS (PARTITION BY osmid ORDER BY i)
+    ), s AS (SELECT osmid, piece, first(before ORDER BY i) AS a, last(id ORDER BY i) AS b, sum(step) AS length_m FROM g WHERE i > 0 GROUP BY osmid, piece HAVING sum(step) > 0
+    ), k AS (SELECT *, row_number() OVER (ORDER BY osmid, piece) - 1 AS segment_id FROM s)
+    SELECT 2 * segment_id + dir AS edge_index, osmid, CAST(dir AS INTEGER) AS direction, CASE dir WHEN 0 THEN a ELSE b END AS u, CASE dir WHEN 0 THEN b ELSE a END AS v, round(length_m, 6) AS length_m, osmid % 5 = 0 OR CASE dir WHEN 1 THEN osmid % 3 <> 0 ELSE osmid % 3 <> 1 END AS is_legal_direction FROM k, (VALUES (0), (1)) d(dir)"""
 )
 def network_cut(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem")
-    w = Window.partitionBy("way").orderBy("seq")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_tax", "l_discount")
-    n = line.select(F.col("l_orderkey").alias("way"), (F.col("l_partkey") % 50).alias("node"), F.row_number().over(order).alias("seq"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("size"))
-    # Uses are counted on the raw lines, before any window; nodes are as many as the map has.
-    uses = line.groupBy((F.col("l_partkey") % 50).alias("node")).agg(F.count("*").alias("uses"))
-    shared = uses.join(F.broadcast(uses.agg(F.percentile("uses", F.lit(0.5)).alias("half"))), F.col("uses") > F.col("half"), "left_semi").select("node", F.lit(True).alias("shared"))
-    cut = n.join(F.broadcast(shared), "node", "left").where((F.col("seq") == 1) | (F.col("seq") == F.col("size")) | F.col("shared"))
-    seg = cut.select("way", F.col("seq").alias("from_seq"), F.lead("seq").over(w).alias("to_seq"), F.col("node").alias("a"), F.lead("node").over(w).alias("b")).where("to_seq is not null")
-    both = seg.withColumn("direction", F.explode(F.array(F.lit(0), F.lit(1))))
-    fwd = F.col("direction") == 0
-    return both.select("way", "from_seq", "to_seq", "direction", F.when(fwd, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(fwd, F.col("b")).otherwise(F.col("a")).alias("v"), (fwd | (F.col("way") % 3 != 0)).alias("is_legal"))
+    """Orders as ways over their parts as nodes, some of them shared: segments between shared nodes and their two directed edges."""
+    node = F.when(F.col("l_partkey") % 3 == 0, F.col("l_partkey") % 40).otherwise(1000 + F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_tax", "l_discount", node.alias("node"))
+    refs = F.transform(F.sort_array(F.collect_list(order)), lambda v: v["node"])
+    key = F.col("osmid")
+    tags = F.create_map(F.lit("highway"), F.lit("path"), F.lit("oneway"), F.when(key % 3 == 0, "yes").when(key % 3 == 1, "-1").otherwise(""), F.lit("cycleway"), F.when(key % 5 == 0, "opposite").otherwise(""))
+    ways = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("osmid")).agg(refs.alias("refs")).withColumn("tags", tags)
+    nodes = table(spark, sf, "lineitem").select(node.alias("id")).distinct().select("id", (F.col("id") * 37 % 5003).cast("double").alias("x"), (F.col("id") * 91 % 3001).cast("double").alias("y"))
+    segments, edges = build_network(ways, nodes, AccessRules())
+    return rounded(edges.join(segments.select("segment_id", "osmid"), "segment_id").select("edge_index", "osmid", "direction", "u", "v", "length_m", "is_legal_direction"))
 
 
 @query(
@@ -227,23 +244,23 @@ def rollup_bands(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("status", F.when(F.col("g") == 1, "all").otherwise(F.col("band")).alias("band"), "n", "total")
 
 
-@query("SELECT DISTINCT event_type, TRUE AS near FROM events")
+@query("SELECT event_type, count(DISTINCT user_id) AS users, TRUE AS near FROM events GROUP BY event_type")
 def approx_distinct(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("x"))
-    return g.select("event_type", (F.abs(F.col("a") - F.col("x")) <= 0.05 * F.col("x")).alias("near"))
+    return g.select("event_type", F.col("x").alias("users"), (F.abs(F.col("a") - F.col("x")) <= 0.05 * F.col("x")).alias("near"))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events
+    ), n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l)
+    SELECT user_id, min(ts) AS start_time, max(ts) + INTERVAL 6 HOURS AS end_time, count(*) AS points FROM n GROUP BY user_id, k"""
+)
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions by gap of the events read as a stream, run to the end of what is there."""
-    import uuid
-
-    from ..streaming.sessions import gap_sessions
+    """Sessions by gap of the events read as a stream, run to the end of what is there, the open ones too."""
+    from ..session import shared_folder
+    from ..streaming.sessions import all_sessions
 
-    path = f"{sf}/events.parquet"
-    schema = spark.read.parquet(path).schema
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
     src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    name = f"sessions_{uuid.uuid4().hex}"
-    q = gap_sessions(src.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts").writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out = all_sessions(src.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", shared_folder(spark, "stream"))
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_time", "end_time")], "points")

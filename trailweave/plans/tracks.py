@@ -259,10 +259,10 @@ def region_cells(spark: SparkSession) -> DataFrame:
 @query(
     f"""WITH {E}, {REGION_CELLS}, hit AS (
       SELECT event_id, x, y, region FROM e LEFT JOIN region_cells ON CAST(floor(x / {CELL}) AS INTEGER) = cell_x AND CAST(floor(y / {CELL}) AS INTEGER) = cell_y
-    ), near AS (
-      SELECT event_id, r.region, row_number() OVER (PARTITION BY event_id ORDER BY (x - (cell_x + 0.5) * {CELL}) * (x - (cell_x + 0.5) * {CELL}) + (y - (cell_y + 0.5) * {CELL}) * (y - (cell_y + 0.5) * {CELL}), r.region, cell_x, cell_y) AS k
-      FROM hit h, region_cells r WHERE h.region IS NULL)
-    SELECT event_id, region, FALSE AS is_fallback FROM hit WHERE region IS NOT NULL UNION ALL SELECT event_id, region, TRUE FROM near WHERE k = 1"""
+    ), away AS (
+      SELECT event_id, r.region, sqrt(power(greatest(abs(x - (cell_x + 0.5) * {CELL}) - {CELL} / 2, 0), 2) + power(greatest(abs(y - (cell_y + 0.5) * {CELL}) - {CELL} / 2, 0), 2)) AS d FROM hit h, region_cells r WHERE h.region IS NULL
+    ), near AS (SELECT event_id, min(region) AS region FROM (SELECT *, min(d) OVER (PARTITION BY event_id) AS least FROM away) WHERE d <= least + 1e-9 GROUP BY event_id)
+    SELECT event_id, region, FALSE AS is_fallback FROM hit WHERE region IS NOT NULL UNION ALL SELECT event_id, region, TRUE FROM near"""
 )
 def cell_assign(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.lookup_or_nearest(events(spark, sf).select("event_id", "x", "y"), region_cells(spark), CELL, "event_id")

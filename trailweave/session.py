@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import subprocess
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,22 @@ def java_major() -> int:
     return int(m[1])
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names, which driver and executors share; it goes when the application ends. Where the setting is absent, one of our own, but only if the driver runs all tasks itself."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir names no folder that driver and executors share, and the master is {master}")
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='trailweave-')}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def build_session(name: str = "trailweave", time_zone: str = "UTC", master: str | None = None, event_log_dir: str | None = None, **conf: str) -> SparkSession:
     """Adaptive execution, a pinned time zone, and overwrites that replace only the partitions written."""
     b = SparkSession.builder.appName(name)

@@ -66,7 +66,11 @@ def check_release(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[s
 
 
 def publish(spark: SparkSession, tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], root: str) -> str:
-    """Write a release beside the current one and switch to it with one rename; the same content again changes nothing. Returns its name."""
+    """Write a release beside the current one and switch to it; the same content again changes nothing. Returns its name.
+
+    The pointer is a small file that a rename replaces, so at every moment there is
+    an old or a new release and never none (in file systems whose rename is atomic).
+    """
     if problems := check_release(tables, keys):
         raise InputError("; ".join(problems))
     marks = {name: unordered_digest(df) for name, df in tables.items()}
@@ -77,16 +81,26 @@ def publish(spark: SparkSession, tables: Mapping[str, DataFrame], keys: Mapping[
         return name
     for t, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/{t}")
-    spark.createDataFrame([(name,)], "release string").coalesce(1).write.mode("overwrite").json(f"{root}/_next")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    here, there = (jvm.org.apache.hadoop.fs.Path(f"{root}/{x}") for x in ("_next", "_current"))
-    fs = here.getFileSystem(conf)
-    fs.delete(there, True)
-    fs.rename(here, there)
+    after, pointer = (jvm.org.apache.hadoop.fs.Path(f"{root}/{x}") for x in (f"next-{name}", "current"))
+    out = after.getFileSystem(conf).create(after, True)
+    out.writeBytes(name)
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(after, pointer, how)
     return name
 
 
 def current_release(spark: SparkSession, root: str) -> str | None:
-    if not exists(spark, f"{root}/_current"):
+    """Name of the release that the pointer names; None before the first."""
+    if not exists(spark, f"{root}/current"):
         return None
-    return spark.read.schema("release string").json(f"{root}/_current").first()["release"]
+    return spark.read.text(f"{root}/current").first()["value"]
+
+
+def write_run(path: str, params: object, environment: Mapping[str, object], digests: Mapping[str, object]) -> None:
+    """Record of a run: its parameters, where it ran and the digests of what it wrote, as three JSON files."""
+    for name, value in (("params", params), ("environment", dict(environment)), ("digests", dict(digests))):
+        write_json(f"{path}/{name}.json", value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,23 @@ def gap_sessions(events: DataFrame, entity: str, ts: str, gap: str = "6 hours",
     return s.select(entity, F.col("s.start").alias("start_time"), F.col("s.end").alias("end_time"), "points")
 
 
+def open_sessions(spark: SparkSession, checkpoint: str, entity: str) -> DataFrame:
+    """Sessions that a stopped ``gap_sessions`` query still holds, from the state in its checkpoint."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(F.col(f"value.{entity}").alias(entity), F.col("value.session_window.start").alias("start_time"), F.col("value.session_window.end").alias("end_time"), F.col("value.count").alias("points"))
+
+
+def all_sessions(events: DataFrame, entity: str, ts: str, folder: str, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
+    """Every session of what a stream holds now: those that the watermark closed, written to ``folder`` (which driver and executors share), and those still open. Called again with the same folder it goes on with what came since."""
+    spark = events.sparkSession
+    out, state = f"{folder}/sessions", f"{folder}/state"
+    query = gap_sessions(events, entity, ts, gap, late).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kind = "timestamp"
+    closed = spark.read.schema(f"{entity} {dict(events.dtypes)[entity]}, start_time {kind}, end_time {kind}, points long").parquet(out)
+    return closed.unionByName(open_sessions(spark, state, entity))
+
+
 def hourly_counts(events: DataFrame, ts: str, by: str, late: str = "1 hour") -> DataFrame:
     """Events of each hour and kind."""
     w = events.withWatermark(ts, late).groupBy(F.window(ts, "1 hour").alias("w"), by).agg(F.count("*").alias("n"))
