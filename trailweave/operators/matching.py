@@ -302,7 +302,7 @@ def network_rows(segments: DataFrame, edges: DataFrame) -> list[tuple]:
 _ROADS: dict[str, Roads] = {}
 
 
-def _matched(points: DataFrame, segments: Sequence[tuple], p: MatchParams, key: Sequence[str], order: str, with_paths: bool) -> DataFrame:
+def matched(points: DataFrame, segments: Sequence[tuple], p: MatchParams, key: Sequence[str], order: str, with_paths: bool) -> DataFrame:
     """Key, ``o`` (the order's values) and ``m``: one struct of arrays for each track. ``segments`` is a road network of checked size, sent once to each worker."""
     shared = points.sparkSession.sparkContext.broadcast(list(segments))
     name = uuid.uuid4().hex
@@ -350,7 +350,7 @@ def _points(done: DataFrame, key: Sequence[str], order: str) -> DataFrame:
 
 def match_tracks(points: DataFrame, segments: Sequence[tuple], p: MatchParams, key: Sequence[str], order: str) -> DataFrame:
     """Matched points of each track: key, order, edge, snap_m, along_m, piece, offset_m, inferred_m (metres of connecting edges before the point). Points without a candidate have nulls; those of a piece without length have an edge but no piece."""
-    return _points(_matched(points, segments, p, key, order, False), key, order)
+    return _points(matched(points, segments, p, key, order, False), key, order)
 
 
 def match_tables(points: DataFrame, segments: Sequence[tuple], p: MatchParams, key: Sequence[str], order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -362,7 +362,11 @@ def match_tables(points: DataFrame, segments: Sequence[tuple], p: MatchParams, k
     Each table runs the matcher when it is read; write them, or persist what is
     read more than once.
     """
-    done = _matched(points, segments, p, key, order, True)
+    return tables_of(matched(points, segments, p, key, order, True), key, order)
+
+
+def tables_of(done: DataFrame, key: Sequence[str], order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, edges, pieces) from what ``matched`` returned with paths."""
     e = done.select(*key, F.explode(F.arrays_zip("m.e_piece", "m.e_seq", "m.e_edge", "m.e_start", "m.e_end", "m.e_inferred")).alias("z"))
     edges = e.select(*key, *[F.col(f"z.{a}").alias(b) for a, b in (("e_piece", "piece"), ("e_seq", "seq"), ("e_edge", "edge"), ("e_start", "start_m"), ("e_end", "end_m"), ("e_inferred", "is_inferred"))])
     q = done.select(*key, F.explode(F.arrays_zip("m.p_piece", "m.p_x", "m.p_y", "m.p_length", "m.p_observed", "m.p_inferred")).alias("z"))
