@@ -59,9 +59,10 @@ def test_round_trip(text):
 
 
 def test_query_rows(spark, tmp_path):
-    rows = [(1, None, 5), (2, "", 6), (3, "hello", 7), (4, "hello", 8), (None, "z" * 64, 9)]
+    rows = [(1, None, 5), (2, "", 6), (3, "hello", 7), (4, "hello", 8), (None, "z" * 64, 9), (2**62 + 1, "big", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, feature int").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in op7_telephony(spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows}
     assert got[3][1:] == got[4][1:] and got[1][1:] == got[2][1:]
     payload = b"hello" + b"\0" * 59
     assert (got[3].n_bytes, got[3].payload_bytes, got[3].payload_sha256, got[3].tail_crc32) == (5, 64, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload))
@@ -77,3 +78,47 @@ def test_column_of_media(spark):
     assert got[4].pcm_media is None and got[4].media_error is None
     assert decode(bytes(got[5].pcm_media))[1].tolist() == [1, 1, 1] and decode(bytes(got[6].pcm_media))[1].tolist() == []
     assert to_pcm(spark.createDataFrame([], "media binary")).select(F.count("*")).first()[0] == 0
+
+
+def test_query_equals_plain_recomputation(spark):
+    """Every column of every row of the test documents, by whole numbers of Python."""
+    from collections import Counter
+
+    table = [int(x) for x in EXPAND[MULAW]]
+
+    def plain(text):
+        raw = (text or "").encode()
+        payload = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
+        n, per = len(payload), 8000
+        fmt = (7).to_bytes(2, "little") + (1).to_bytes(2, "little") + per.to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (8).to_bytes(2, "little") + b"\0\0"
+        body = b"WAVEfmt " + len(fmt).to_bytes(4, "little") + fmt + b"fact" + (4).to_bytes(4, "little") + n.to_bytes(4, "little") + b"data" + n.to_bytes(4, "little") + payload
+        media = b"RIFF" + len(body).to_bytes(4, "little") + body
+        pcm = [table[b] for b in payload]
+        twice = [v for i, v in enumerate(pcm) for v in (v, (v + (pcm[i + 1] if i + 1 < n else v) + 1) // 2)]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(twice, twice[1:]))
+        feature = f"frames={len(twice)};rate=16000;rms={(sum(v * v for v in twice) / len(twice)) ** 0.5:.3f};peak={max(map(abs, twice))};zc={crossings};crc={zlib.crc32(b''.join(v.to_bytes(2, 'little', signed=True) for v in twice))}"
+        return len(raw), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
+    dir_ = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{dir_}/documents.parquet").collect()
+    got = Counter((r.doc_id, *r[1:8]) for r in op7_telephony(spark, dir_).collect())
+    assert got == Counter((r.doc_id, *plain(r.text)) for r in docs)
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, made int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert op7_telephony(spark, str(tmp_path)).collect() == []
+
+
+def test_files_that_end_early_are_padded_or_extended():
+    ok = wav(MULAW, 8000, b"\x00" * 100)
+    with pytest.raises(ValueError, match="early"):
+        parse_wav(ok[:-1])
+    ima = wav(IMA, 8000, bytes(range(128)), 4, 64, 121)
+    at = ima.index(b"fact") + 8
+    assert len(decode(ima)[1]) == 242 and len(decode(ima[:at] + (200).to_bytes(4, "little") + ima[at + 4 :])[1]) == 200
+    fmt = ok.index(b"fmt ") + 8
+    own = ok[fmt : fmt + 18]
+    extended = b"\xfe\xff" + own[2:16] + (22).to_bytes(2, "little") + b"\x08\0" + b"\0" * 4 + b"\x07\0" + bytes(14)
+    body = b"WAVEfmt " + len(extended).to_bytes(4, "little") + extended + ok[fmt + 18 :]
+    assert decode(b"RIFF" + len(body).to_bytes(4, "little") + body)[1].tolist() == decode(ok)[1].tolist()

@@ -78,6 +78,8 @@ def test_rendered_text_and_edge_rows(spark):
     text = render(repair(spark.createDataFrame(rows, SCHEMA))).first().text
     assert text == "<|im_start|>user\nhi\nthere<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user\nbye<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert repair(spark.createDataFrame([], SCHEMA)).collect() == []
+    big = spark.createDataFrame([(2**62 + 1, 2**61 + 1, "user", "x", 0, ""), (None, None, "user", "y", 0, ""), (2**62 + 3, None, "user", "z", 0, "")], SCHEMA)
+    assert {(r.conv_id, r.turn) for r in repair(big).where("action <> 'insert'").collect()} == {(2**62 + 1, 2**61 + 1), (None, None), (2**62 + 3, None)}
     same = spark.createDataFrame([(5, None, None, None, 0, "")] * 3, SCHEMA)
     assert [r.role for r in sorted(repair(same).collect(), key=lambda r: r.position)] == ["system", "user", "assistant"]
 

@@ -80,3 +80,48 @@ def test_near_pairs_inside_a_template(spark):
         rows += [(i, " ".join(template + own), "", 0), (i + 1, " ".join(template + other), "", 0)]
         want |= {frozenset([i, i + 1])} if i < 400 else {frozenset([i]), frozenset([i + 1])}
     assert classes(near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) == want
+
+
+def test_recall_by_similarity(spark):
+    """Every pair of the test documents that is similar by weight is found, and nine of ten or more of each band of plain similarity."""
+    from tests.llm.recall import recall
+
+    (bands, weighted), = recall(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spreads=(0.2,)).values()
+    assert weighted[0] > 20 and weighted[1] == weighted[0]
+    assert all(found >= 0.9 * n for n, found in bands.values())
+
+
+def test_query_equals_all_pairs(spark, tmp_path):
+    """Classes of the query against union-find over every pair of texts, at similarities around the limit."""
+    from trailweave.llm.minhash import cell_weights, op3_minhash
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [(None, "a b c d e f", "x", 0), (2**62 + 1, "a b c d e f", "x", 0), (2**62 + 3, "", "x", 0), (2**62 + 5, None, "x", 0)]
+    for i in range(60):
+        base = [word() for _ in range(120)]
+        rows += [(3 * i, " ".join(base), "x", 0), (3 * i + 1, edit(base, rng.randrange(1, 6), rng), "x", 0), (3 * i + 2, edit(base, rng.randrange(1, 6), rng), "x", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    weights = cell_weights(docs, len(rows), 0.004, 0.2)
+    held = [weigh(r[1], weights) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = held[i], held[j]
+            if (rows[i][1] or "") == (rows[j][1] or "") or (len(a[0]) and len(b[0]) and weighted_jaccard(a, b) >= 0.8):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = defaultdict(set)
+    for i, r in enumerate(rows):
+        want[find(i)].add(r[0])
+    got = defaultdict(set)
+    for r in op3_minhash(spark, str(tmp_path)).collect():
+        got[r.class_id].add(r.doc_id)
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values()}

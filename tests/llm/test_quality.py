@@ -45,3 +45,27 @@ def test_nulls_no_labels_and_clashing_names(spark):
 
     ids = spark.range(50).select(held_out(F.col("id")).alias("h"), "id").collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in ids)
+
+
+def test_query_equals_plain_recomputation(spark):
+    """Scores of every row of the test documents from statistics, labels and trees walked one row at a time."""
+    import zlib
+
+    dir_ = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{dir_}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{dir_}/labels.parquet").collect() if r.doc_id is not None and r.quality in (0, 1)}
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    order = {r.i: r.h for r in spark.createDataFrame([(i,) for i in labels], "i long").select("i", F.xxhash64("i").alias("h")).collect()}
+    known = sorted(((order[i], i, t) for i, t in docs if i in labels and not out(i)), key=lambda k: k[:2])
+    model = fit(np.stack([statistics(t) for _, _, t in known]), np.array([labels[i] for _, i, _ in known], float))
+    want = {}
+    for i, t in docs:
+        x, total = statistics(t), model.base
+        for at in model.roots:
+            while model.left[at] != at:
+                at = model.left[at] if x[model.feature[at]] <= model.threshold[at] else model.right[at]
+            total += model.value[at]
+        want[i] = 1 / (1 + np.exp(-total))
+    got = op5_quality(spark, dir_).collect()
+    assert len(got) == len(docs) and all(r.held_out == out(r.doc_id) and r.predicted == (r.score >= 0.5) for r in got)
+    assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-9) for r in got)

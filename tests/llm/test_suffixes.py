@@ -55,6 +55,8 @@ def test_empty_table_and_text_out(spark):
     out = {r.doc_id: r for r in remove_repeats(df, text_out=True).collect()}
     assert (out[1].text, out[1].bytes, out[1]["from"]) == ("tail", "x", 3)
     assert (out[2].text, out[3].text, out[3].n_bytes) == ("é", None, 0)
+    big = spark.createDataFrame([(2**62 + 1, base, "x", 2**31 - 1), (None, base + "z", None, None), (2**62 + 3, None, "y", 5)], SCHEMA)
+    assert {(r.doc_id, r.bytes, r["from"]) for r in remove_repeats(big, text_out=True).collect()} == {(2**62 + 1, "x", 2**31 - 1), (None, None, None), (2**62 + 3, "y", 5)}
 
 
 def thue_morse(n, a, b):

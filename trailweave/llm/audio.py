@@ -61,20 +61,30 @@ def wav(kind: int, rate: int, data: bytes, bits: int = 8, block: int = 1, sample
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def parse_wav(media: bytes) -> tuple[int, int, int, memoryview]:
-    """(format, rate, block align, data bytes) of a mono WAV file; ValueError if it is none."""
+#: Fixed value of WAVE_FORMAT_EXTENSIBLE, whose own format stands at the beginning of its sub-format.
+EXTENSIBLE = 0xFFFE
+
+
+def parse_wav(media: bytes) -> tuple[int, int, int, memoryview, int | None]:
+    """(format, rate, block align, data bytes, frames that the file says it has, or None) of a mono WAV file; ValueError if it is none or ends before its data do."""
     view = memoryview(media)
     if len(view) < 12 or view[:4] != b"RIFF" or view[8:12] != b"WAVE":
         raise ValueError("no WAV file")
-    at, head = 12, None
+    at, head, frames = 12, None, None
     while at + 8 <= len(view):
         name, size = bytes(view[at : at + 4]), struct.unpack_from("<I", view, at + 4)[0]
         if name == b"fmt " and size >= 16:
             head = struct.unpack_from("<HHIIHH", view, at + 8)
+            if head[0] == EXTENSIBLE and size >= 40:
+                head = (struct.unpack_from("<H", view, at + 8 + 24)[0], *head[1:])
+        elif name == b"fact" and size >= 4:
+            frames = struct.unpack_from("<I", view, at + 8)[0]
         elif name == b"data":
             if head is None or head[1] != 1 or not head[2] or not head[4]:
                 raise ValueError("no mono format before the data")
-            return head[0], head[2], head[4], view[at + 8 : at + 8 + size]
+            if at + 8 + size > len(view):
+                raise ValueError("the data end early")
+            return head[0], head[2], head[4], view[at + 8 : at + 8 + size], frames
         at += 8 + size + size % 2
     raise ValueError("no data")
 
@@ -108,12 +118,12 @@ def decode_ima(data: bytes | memoryview, block: int) -> np.ndarray:
 
 
 def decode(media: bytes) -> tuple[int, np.ndarray]:
-    """Sampling rate and 16-bit samples of a telephony WAV file."""
-    kind, rate, block, data = parse_wav(media)
+    """Sampling rate and 16-bit samples of a telephony WAV file. Samples of mu-law and A-law are the bytes of the data, whatever the file says of its frames."""
+    kind, rate, block, data, frames = parse_wav(media)
     if kind in EXPAND:
         return rate, EXPAND[kind][np.frombuffer(data, np.uint8)]
     if kind == IMA and block > 4:
-        return rate, decode_ima(data, block)
+        return rate, decode_ima(data, block)[:frames]  # the last block is padded; the file says how far it counts
     if kind == PCM and block == 2:
         return rate, np.frombuffer(data[: len(data) // 2 * 2], "<i2")
     raise ValueError(f"unknown format {kind}")
@@ -178,20 +188,26 @@ def store_text_as_audio(text: str | None) -> tuple[int, bytes]:
 
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document through a mu-law file and back; the digest columns come from the bytes read back, the features from resampled PCM."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                rows = []
-                for doc_id, text in zip(pdf["doc_id"][a : a + 256], pdf["text"][a : a + 256], strict=True):
-                    n, media = store_text_as_audio(text)
-                    payload = parse_wav(media)[3]
-                    own, pcm = decode(media)
-                    stored = wav(PCM, 16000, resample(pcm, own, 16000).astype("<i2").tobytes(), 16, 2)
-                    rate, back = decode(stored)
-                    rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(back, rate), len(stored)))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"])
-                yield out.astype({"doc_id": "Int64"})
-
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long")
+    """Every document through a mu-law file and back; the digest columns come from the bytes read back, the features from resampled PCM.
+
+    A null or empty text is 64 bytes 0. Only texts go through Python: a null
+    doc_id stays null and any other is kept as it is. Rows that repeat give rows
+    that repeat, equal texts equal values, an empty table none; other columns,
+    whatever their names, are ignored. A long text is stored whole.
+    """
+
+    @F.pandas_udf("struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string,pcm_bytes:long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for text in texts:
+                n, media = store_text_as_audio(text)
+                payload = parse_wav(media)[3]
+                own, pcm = decode(media)
+                stored = wav(PCM, 16000, resample(pcm, own, 16000).astype("<i2").tobytes(), 16, 2)
+                rate, back = decode(stored)
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(back, rate), len(stored)))
+            yield pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"])
+
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run.asNondeterministic()(F.col("text").cast("string")).alias("made")).select("doc_id", "made.*")

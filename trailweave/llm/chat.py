@@ -28,7 +28,7 @@ from .scratch import Scratch, adopt, table, width
 
 ROLES = ("system", "user", "assistant")
 NEVER = 1 << 60
-OUT = "conv_id {kind}, position long, turn long, role string, action string, fragment string"
+OUT = "conv_id string, position long, turn string, role string, action string, fragment string"
 START = (0, NEVER, NEVER, NEVER)
 
 #: Turns that must be put in between two states of the automaton (states: 0 nothing yet, 1 system, 2 user, 3 assistant).
@@ -148,9 +148,7 @@ def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, object, li
     """(partition, conversation, roles, turns, texts, first of the partition, last of the partition)."""
     held, first = None, True
     for pdf in batches:
-        conv = pdf["conv"].astype(object).where(pdf["conv"].notna(), None).tolist()
-        turns = pdf["turn"].astype("Int64").astype(object).where(pdf["turn"].notna(), None).tolist()
-        for part, c, t, r, x in zip(pdf["part"].tolist(), conv, turns, pdf["read"].tolist(), pdf["text"], strict=True):
+        for part, c, t, r, x in zip(pdf["part"].tolist(), pdf["conv"], pdf["turn"], pdf["read"].tolist(), pdf["text"], strict=True):
             if held is None or held[1] != c or held[0] != part:
                 if held is not None:
                     yield *held, first, False
@@ -182,9 +180,10 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     role = F.lower(F.trim("role"))
     read = F.when(role == "system", 0).when(role == "user", 1).when(role == "assistant", 2).otherwise(3)
     base = turns.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), read.alias("read"), escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    # Ids and turns go through Python as text: beside nulls pandas would make doubles of numbers.
     kind = dict(base.dtypes)["conv"]
     dealt = base.withColumns({"h": F.xxhash64("text"), "n": F.monotonically_increasing_id()}).repartitionByRange(width(spark), "conv", "turn", "role", "h", "n")
-    dealt = dealt.sortWithinPartitions("conv", "turn", "role", "h", "text").select(F.spark_partition_id().alias("part"), "conv", "turn", "read", "text").checkpoint()
+    dealt = dealt.sortWithinPartitions("conv", "turn", "role", "h", "text").select(F.spark_partition_id().alias("part"), F.col("conv").cast("string").alias("conv"), F.col("turn").cast("string").alias("turn"), "read", "text").checkpoint()
 
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = Automaton(costs)
@@ -192,7 +191,7 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         yield pd.DataFrame(rows, columns=["part", "conv", "matrix"])
 
     borders: dict[object, list] = {}
-    for r in sorted(dealt.mapInPandas(summaries, f"part int, conv {kind}, matrix array<long>").collect(), key=lambda r: r["part"]):
+    for r in sorted(dealt.mapInPandas(summaries, "part int, conv string, matrix array<long>").collect(), key=lambda r: r["part"]):
         borders.setdefault(r["conv"], []).append((r["part"], r["matrix"]))
     a = Automaton(costs)
     starts, ends = {}, {}
@@ -218,7 +217,7 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
                             rows.append((part, c, q, path[0], path[1], b.added(path)))
             yield pd.DataFrame(rows, columns=["part", "conv", "last", "first", "second", "n"])
 
-        found = {(r["part"], r["conv"], r["last"]): (r["first"], r["second"], r["n"]) for r in dealt.mapInPandas(traces, f"part int, conv {kind}, last int, first int, second int, n long").collect()}
+        found = {(r["part"], r["conv"], r["last"]): (r["first"], r["second"], r["n"]) for r in dealt.mapInPandas(traces, "part int, conv string, last int, first int, second int, n long").collect()}
         for c, state in ends.items():
             way, more = [], None
             for part, _ in reversed(borders[c]):
@@ -243,10 +242,9 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["conv_id", "position", "turn", "role", "action", "fragment"], dtype=object)
-        return out.astype({"turn": "Int64"})
+        return pd.DataFrame(rows, columns=["conv_id", "position", "turn", "role", "action", "fragment"], dtype=object)
 
-    return dealt.mapInPandas(solve, OUT.format(kind=kind))
+    return dealt.mapInPandas(solve, OUT).withColumns({"conv_id": F.col("conv_id").cast(kind), "turn": F.col("turn").cast("long")})
 
 
 def render(repaired: DataFrame) -> DataFrame:

@@ -159,10 +159,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
     weights = spark.sparkContext.broadcast(cell_weights(base, n, floor, spread))
     seeds = splitmix(909, bands * rows)
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    @F.pandas_udf("array<long>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
             keys = []
-            for text in pdf["text"]:
+            for text in texts:
                 items, weight = weigh(text, weights.value)
                 if not len(items):
                     keys.append(None)
@@ -172,9 +173,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 14, ro
                 for c in range(1, rows):
                     k = mix(k * np.uint64(0x9E3779B97F4A7C15) + s[:, c])
                 keys.append(k.view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "digest": pdf["digest"], "keys": pd.Series(keys, dtype=object)})
+            yield pd.Series(keys, dtype=object)
 
-    signed = scratch.keep(base.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text").mapInPandas(sign, "doc_id long, digest binary, keys array<long>"))
+    signed = scratch.keep(base.select("doc_id", F.unhex(F.md5("text")).alias("digest"), sign("text").alias("keys")))
     smallest = F.lit(-(1 << 63))
     texts = scratch.keep(signed.groupBy("digest").agg(F.min(F.coalesce("doc_id", smallest)).alias("id"), F.first("keys").alias("keys")))
     buckets = texts.where("keys is not null").select("id", "digest", "keys", F.posexplode("keys").alias("band", "key"))

@@ -24,7 +24,6 @@ from .tokenize import default_path, tokenizer_at
 
 END = np.array([1], "<u4").tobytes()
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
@@ -86,19 +85,21 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
-    """Pieces of the token ids of every text, each text ended by id 1."""
+    """Pieces of the token ids of every text, each text ended by id 1. Only texts go through Python, so ids of documents stay what they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = tokenizer_at(path)
-        for pdf in batches:
+        for texts in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for text in texts:
                 ids = tokenizer.encode(text) + END
                 n = len(ids) // 4
-                rows += [(doc_id, k, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for k, s in enumerate(range(0, n, capacity))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                rows.append([{"piece": k, "start": s, "length": min(capacity, n - s), "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + capacity)])} for k, s in enumerate(range(0, n, capacity))])
+            yield pd.Series(rows, dtype=object)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), cut.asNondeterministic()(F.col("text").cast("string")).alias("p"))
+    return found.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
 
 
 def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> DataFrame:
@@ -125,17 +126,19 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> Data
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("own", F.row_number().over(order)).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("own") - 1)
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = np.lexsort((slots[:, 1], slots[:, 0]))
-        sorted_slots = slots[by]
-        span = 1 << 44
-        keys = sorted_slots[:, 0] * span + sorted_slots[:, 1]
-        for pdf in batches:
-            at = np.searchsorted(keys, pdf["length"].to_numpy() * span + pdf["rank"].to_numpy(), side="right") - 1
-            s = sorted_slots[at]
-            yield pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].astype({"doc_id": "Int64"}).assign(sequence_id=s[:, 3] + pdf["rank"].to_numpy() - s[:, 1], offset=s[:, 4])
-
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(take, PIECES + ", sequence_id long, offset long")
+    by = np.lexsort((slots[:, 1], slots[:, 0]))
+    planned = spark.sparkContext.broadcast(slots[by])
+
+    @F.pandas_udf("struct<sequence_id:long,offset:long>")
+    def take(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        own, span = planned.value, 1 << 44
+        n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        s = own[np.searchsorted(own[:, 0] * span + own[:, 1], n * span + r, side="right") - 1]
+        return pd.DataFrame({"sequence_id": s[:, 3] + r - s[:, 1], "offset": s[:, 4]})
+
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    placed = ranked.select(*columns, take.asNondeterministic()("length", "rank").alias("slot"))
+    return placed.select(*columns, "slot.sequence_id", "slot.offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

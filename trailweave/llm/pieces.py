@@ -6,6 +6,10 @@ position. Characters that no piece covers become byte pieces. Blanks become the
 mark of a word start, as the model has it, with one mark before the text. No
 piece of the model crosses from a word into the next mark, so the best path of
 a text is made of the best paths of its words; each worker keeps those it has met.
+
+A model of log-probabilities is used as it is. A model of merges has ranks for
+scores, whose sum means nothing (it prefers many frequent pieces to one rare
+one): its ranks become log-probabilities by the law of Zipf and Mandelbrot.
 """
 
 from __future__ import annotations
@@ -24,6 +28,16 @@ from pyspark.sql import functions as F
 from .scratch import table
 
 MARK = "▁"
+#: Shift of ranks in the law of Zipf and Mandelbrot.
+SHIFT = 2.7
+
+
+def log_probabilities(scores: np.ndarray) -> np.ndarray:
+    """Scores of a model's pieces; whole numbers that are not positive are ranks, rank r then having a probability in proportion to 1 / (r + SHIFT)."""
+    if not len(scores) or (scores > 0).any() or (scores != np.floor(scores)).any():
+        return scores
+    total = float((1 / (np.arange(len(scores)) + SHIFT)).sum())
+    return -np.log(-scores + SHIFT) - np.log(total)
 
 
 def default_path() -> str:
@@ -43,15 +57,18 @@ class Pieces:
         self.texts = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes: dict[int, int] = {}
         self.automaton = ahocorasick.Automaton()
-        scores = []
+        plain: list[int] = []
         crossing = False
         for i, piece in enumerate(self.texts):
             if model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.automaton.add_word(piece, (i, len(piece), model.get_score(i)))
-                scores.append(model.get_score(i))
+                plain.append(i)
                 crossing |= MARK in piece.lstrip(MARK)
+        scores = log_probabilities(np.array([model.get_score(i) for i in plain], np.float64)).tolist()
+        self.score = dict(zip(plain, scores, strict=True))
+        for i, score in self.score.items():
+            self.automaton.add_word(self.texts[i], (i, len(self.texts[i]), score))
         self.automaton.make_automaton()
         self.fallback = min(scores) - 10.0
         self.literal = [self.bytes[b] for b in MARK.encode()]
@@ -162,20 +179,30 @@ def decode_column(df: DataFrame, ids_col: str = "piece_ids", path: str | None =
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded again: doc_id, n_pieces, n_byte_pieces, ids_crc32, decoded_sha256, same (the text came back). A null text counts as empty."""
+    """Every document encoded and decoded again: doc_id, n_pieces, n_byte_pieces, ids_crc32, decoded_sha256, same (the text came back).
+
+    Ids are those of a path with the best score; of paths with equal scores the
+    library's own encoder may take another. A null text counts as empty and has
+    no pieces. Only texts go through Python: a null doc_id stays null and any
+    other is kept as it is. Rows that repeat give rows that repeat, an empty table
+    none; other columns, whatever their names, are ignored. A long text is encoded
+    whole.
+    """
     path = default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<n_pieces:long,n_byte_pieces:long,ids_crc32:long,decoded_sha256:string,same:boolean>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = pieces_at(path)
         is_byte = np.zeros(len(pieces.texts), bool)
         is_byte[list(pieces.byte_of)] = True
-        for pdf in batches:
+        for texts in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for text in texts:
                 ids = pieces.encode(text)
                 back = pieces.decode(ids)
                 numbers = np.frombuffer(ids, "<u4")
-                rows.append((doc_id, len(numbers), int(is_byte[numbers].sum()), zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (text or "")))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "same"]).astype({"doc_id": "Int64"})
+                rows.append((len(numbers), int(is_byte[numbers].sum()), zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (text or "")))
+            yield pd.DataFrame(rows, columns=["n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "same"])
 
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, same boolean")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run.asNondeterministic()(F.col("text").cast("string")).alias("made")).select("doc_id", "made.*")

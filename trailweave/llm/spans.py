@@ -45,25 +45,20 @@ def others(docs: DataFrame, text_out: bool) -> list[str]:
 
 
 def cut_out(frame: DataFrame, spans: DataFrame, rest: list[str], text_out: bool) -> DataFrame:
-    """Texts of a frame without the spans (key, from, till: arrays of half-open byte bounds), with sizes and a digest of what is kept."""
-    joined = frame.join(spans, "key", "left").drop("key")
-    kinds = dict(joined.dtypes)
-    names = ["doc_id", *MADE, *(["text"] if text_out else []), *[f"c{i}" for i in range(len(rest))]]
-    own = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "text": "string"}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    """Texts of a frame without the spans (key, from, till: arrays of half-open byte bounds), with sizes and a digest of what is kept. Only texts and bounds go through Python, so other columns keep their types and nulls."""
+
+    @F.pandas_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string" + (",text:string>" if text_out else ">"))
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, froms, tills in batches:
             rows = []
-            for text, starts, ends in zip(pdf["text"], pdf["from"], pdf["till"], strict=True):
+            for text, starts, ends in zip(texts, froms, tills, strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 a, b = merge(np.asarray(starts), np.asarray(ends)) if starts is not None else ([], [])
                 kept = b"".join([raw[i:j] for i, j in zip([0, *b], [*a, len(raw)], strict=True)])
-                rows.append((len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), text if not len(a) else kept.decode("utf-8", "ignore")))
-            out = pd.DataFrame(rows, columns=[*MADE, "text"])
-            out["doc_id"] = pdf["doc_id"].astype("Int64").to_numpy(dtype=object)
-            for i in range(len(rest)):
-                out[f"c{i}"] = pdf[f"c{i}"].to_numpy(dtype=object)
-            yield out[names]
-
-    out = joined.mapInPandas(run, ", ".join(f"{n} {own.get(n) or kinds[n]}" for n in names))
-    return out.select(*[F.col(n).alias(rest[int(n[1:])]) if n not in own else F.col(n) for n in names])
+                rows.append((len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), *((text if not len(a) else kept.decode("utf-8", "ignore"),) if text_out else ())))
+            yield pd.DataFrame(rows, columns=[*MADE, *(["text"] if text_out else [])])
+
+    made = [*MADE, *(["text"] if text_out else [])]
+    columns = [f"c{i}" for i in range(len(rest))]
+    done = frame.join(spans, "key", "left").select("doc_id", *columns, cut.asNondeterministic()("text", "from", "till").alias("made"))
+    return done.select("doc_id", *[F.col(f"made.{c}").alias(c) for c in made], *[F.col(c).alias(name) for c, name in zip(columns, rest, strict=True)])
