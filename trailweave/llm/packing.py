@@ -87,19 +87,21 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 def cut_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """Pieces of the token ids of every text, each text ended by id 1. Only texts go through Python, so ids of documents stay what they are."""
 
-    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<n:long,sums:array<long>>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = tokenizer_at(path)
         for texts in batches:
-            rows = []
+            sizes, sums = [], []
             for text in texts:
                 ids = tokenizer.encode(text) + END
-                n = len(ids) // 4
-                rows.append([{"piece": k, "start": s, "length": min(capacity, n - s), "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + capacity)])} for k, s in enumerate(range(0, n, capacity))])
-            yield pd.Series(rows, dtype=object)
+                sizes.append(len(ids) // 4)
+                sums.append([zlib.crc32(ids[s : s + 4 * capacity]) for s in range(0, len(ids), 4 * capacity)])
+            yield pd.DataFrame({"n": sizes, "sums": pd.Series(sums, dtype=object)})
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), cut.asNondeterministic()(F.col("text").cast("string")).alias("p"))
-    return found.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
+    start = F.col("piece").cast("long") * capacity
+    each = found.select("doc_id", "p.n", F.posexplode("p.sums").alias("piece", "ids_crc32"))
+    return each.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - start).alias("length"), "ids_crc32")
 
 
 def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> DataFrame:
