@@ -3,7 +3,9 @@ import random
 import re
 from collections import Counter
 
-from trailweave.llm.sentences import find_spans, remove_repeats
+import pytest
+
+from trailweave.llm.sentences import OP2_SQL, find_spans, remove_repeats
 
 SCHEMA = "doc_id long, text string, h1 string, till int"
 END = ".!?\n\u3002\uff01\uff1f\u0964\u061f"
@@ -16,8 +18,10 @@ def brute(rows, least=2, words=20):
     for k, (_, text) in enumerate(rows):
         parts[k] = []
         for p in re.findall(f"[^{END}]+[{END}]*|[{END}]+", text or ""):
-            starts = [m.start() for m in re.finditer(WORD, p)]
-            cuts = [0, *(starts[words // 2 :: words // 2] if len(starts) >= words else []), len(p)]
+            found = [(hashlib.md5(m[0].encode()).digest()[:8], -m.start()) for m in re.finditer(WORD, p)]
+            near = words // 2
+            chosen = {-min(found[i : i + near])[1] for i in range(len(found) - near + 1)} if len(found) >= words else set()
+            cuts = [0, *sorted(chosen - {-found[0][1]} if found else []), len(p)]
             parts[k] += [p[i:j] for i, j in zip(cuts, cuts[1:])]
         real = [i for i, p in enumerate(parts[k]) if p.strip(" \t\r\n\x0b\x0c")]
         for a in range(len(real)):
@@ -73,6 +77,36 @@ def test_rows_that_repeat_nulls_and_empty_table(spark):
     assert out[(9, "c")][0] == "" and out[(None, "a")] == (text, 1) and out[(7, "b")] == ("", 2) and out[(8, None)] == ("Own words.", None)
 
 
+def test_a_passage_is_found_wherever_it_stands_in_long_sentences(spark):
+    rng = random.Random(5)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, passages = [], []
+    for i in range(40):
+        passages.append(own(rng.randrange(50, 60)) if i % 2 else [rng.choice(["the", "of", "a"]) + rng.choice(["", str(rng.randrange(9))]) for _ in range(rng.randrange(51, 60))])
+        rows += [(2 * i, " ".join(own(rng.randrange(1, 25)) + passages[i] + own(rng.randrange(1, 25)))), (2 * i + 1, " ".join(own(rng.randrange(1, 25)) + passages[i] + own(rng.randrange(1, 25))))]
+    rows.append((90, " ".join(own(400))))
+    out = {r.doc_id: r for r in remove_repeats(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()}
+    assert all(out[2 * i + 1].n_removed > 0 and out[2 * i].n_removed == 0 for i in range(1, 40, 2)) and all(out[2 * i + 1].n_removed > 0 for i in range(0, 40, 2))
+    assert out[90].n_removed == 0
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.values())
+    assert got == brute(rows)
+
+
+def test_sql_agrees(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(11)
+    marks = [". ", "! ", ".\n", "\u3002", " \u0964 ", " "]
+    chunk = lambda: " ".join(rng.choice(["the", "of", "a\u00e9", "\u4e00\u4e8c\u4e09", "x\u4e00y", "tab\tq"]) + rng.choice(["", str(rng.randrange(40))]) for _ in range(rng.randrange(1, 40))) + rng.choice(marks)
+    shared = [chunk() for _ in range(20)]
+    rows = [(i, "".join(rng.choice(shared) if rng.random() < 0.5 else chunk() for _ in range(rng.randrange(12)))) for i in range(80)] + [(None, None), (3, ""), (4, " . ! ")]
+    db = duckdb.connect()
+    db.execute("create table documents(doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", rows)
+    want = Counter(db.sql(f"select doc_id, n_bytes, n_removed, n_spans, kept_sha256 from ({OP2_SQL})").fetchall())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect())
+    assert got == want == brute(rows)
+
+
 def thue_morse(n, a, b):
     return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
 

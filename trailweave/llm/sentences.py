@@ -1,8 +1,10 @@
 """Substring removal by sliding spans of sentences.
 
 From every sentence on, the shortest run of at least two sentences with at least
-20 words is hashed. A sentence of 20 words or more counts as several: it is cut
-after every tenth word, so that it makes runs of its own parts too. All runs of all documents meet by hash; of equal runs
+20 words is hashed. A sentence of 20 words or more counts as several: of each ten
+neighbouring words it is cut before the one of least digest, so that a passage is
+cut alike wherever it stands in a sentence. A passage of 50 words within longer
+sentences holds at least one whole run. All runs of all documents meet by hash; of equal runs
 the one with the smallest (doc_id, row, place) is the first, and every sentence under
 another one goes. Runs are equal by BLAKE2b digests of 128 bits of the digests of
 their sentences.
@@ -11,6 +13,7 @@ their sentences.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -60,12 +63,31 @@ def word_starts(data: np.ndarray) -> np.ndarray:
     return opens
 
 
-def cut_long(start: np.ndarray, opens: np.ndarray, words: int) -> np.ndarray:
-    """Starts of sentences, with further ones after every words / 2 words of a sentence of at least that many."""
+def word_ranks(data: np.ndarray, opens: np.ndarray, some: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """First 64 bits of the MD5 digest of ``some`` of the words that begin at ``opens``: an order of words that owes nothing to where they stand. A word ends before a blank, the next word or the next sentence; an ideograph is one character."""
+    following, blanks = np.append(opens[1:], len(data))[some], np.append(np.flatnonzero(_BLANK[data]), len(data))
+    opens = opens[some]
+    stop = np.minimum(following, blanks[np.searchsorted(blanks, opens)])
+    view = memoryview(data)
+    out = [np.zeros(0, np.uint64)]
+    for i in range(0, len(opens), block):
+        each = [md5(view[a:b]).digest()[:8] for a, b in zip(opens[i : i + block].tolist(), stop[i : i + block].tolist(), strict=True)]
+        out.append(np.frombuffer(b"".join(each), ">u8").astype(np.uint64))
+    return np.concatenate(out)
+
+
+def cut_long(data: np.ndarray, start: np.ndarray, opens: np.ndarray, words: int) -> np.ndarray:
+    """Starts of sentences, with further ones in sentences of at least ``words`` words: before the word of least rank (the last of equal ones) of each words / 2 neighbours of a sentence, but for its first. Equal passages so get equal cuts wherever they stand in their sentences."""
     of = np.searchsorted(start, opens, side="right") - 1
-    count = np.bincount(of, minlength=len(start))
-    place = np.arange(len(opens)) - (np.cumsum(count) - count)[of]
-    return np.union1d(start, opens[(place > 0) & (place % max(1, words // 2) == 0) & (count[of] >= words)])
+    long = np.bincount(of, minlength=len(start))[of] >= words
+    n, near = int(long.sum()), max(1, words // 2)
+    if n < near:
+        return start
+    ranks, of, opens = word_ranks(data, opens, long), of[long], opens[long]
+    least = np.lib.stride_tricks.sliding_window_view(ranks[::-1], near).argmin(axis=1)
+    last = n - 1 - np.arange(len(least))
+    at = (last - least)[of[last] == of[last - near + 1]]
+    return np.union1d(start, opens[at[(at > 0) & (of[at - 1] == of[at])]])
 
 
 def sentences(data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +96,7 @@ def sentences(data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.
     start = np.concatenate([[0], np.flatnonzero(end[:-1] & ~end[1:]) + 1])
     opens = word_starts(data)
     opens[start] = ~_BLANK[data[start]]
-    start = cut_long(start, np.flatnonzero(opens), words)
+    start = cut_long(data, start, np.flatnonzero(opens), words)
     solid = np.flatnonzero(~_BLANK[data])
     stop = np.append(start[1:], len(data))
     lo, hi = np.searchsorted(solid, start), np.searchsorted(solid, stop)
@@ -148,8 +170,9 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 20, text_out: b
     """Every document without the sentences under a repeated run that is not the first of its kind.
 
     Sentences end after line feeds and after full stops, exclamation and question
-    marks (also ideographic, Devanagari and Arabic ones), and a long one is cut
-    after every ``words`` / 2 words; blanks around them make no difference.
+    marks (also ideographic, Devanagari and Arabic ones), and one of at least
+    ``words`` words is cut before the word of least digest (the last of equal
+    ones) of each ``words`` / 2 neighbours; blanks around parts make no difference.
     Characters from U+3000 to U+9FFF are words of their own. A null text counts
     as empty; a null doc_id sorts before all others. Every row is a document of
     its own, also of rows that repeat: the table is written once with numbers of
@@ -174,8 +197,18 @@ WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
 ), a AS (
   SELECT k, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS i FROM (SELECT k, regexp_extract_all(t, '[^.!?\n。！？।؟]+[.!?\n。！？।؟]*|[.!?\n。！？।؟]+') AS x FROM d)
+), sized AS (
+  SELECT k, i, s, len(regexp_extract_all(s, '[\x{3000}-\x{9FFF}]|[^ \t\r\n\x0b\x0c\x{3000}-\x{9FFF}]+')) AS words FROM a
+), tokens AS (
+  SELECT k, i, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS j FROM (SELECT k, i, regexp_extract_all(s, '[ \t\r\n\x0b\x0c]*(?:[\x{3000}-\x{9FFF}]|[^ \t\r\n\x0b\x0c\x{3000}-\x{9FFF}]+)[ \t\r\n\x0b\x0c]*') AS x FROM sized WHERE words >= 20)
+), near AS (
+  SELECT k, i, j, min(substr(md5(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 1, 16) || printf('%010d', 1000000000 - j)) OVER (PARTITION BY k, i ORDER BY j ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS least FROM tokens
+), cuts AS (
+  SELECT DISTINCT k, i, 1000000000 - CAST(substr(least, 17) AS BIGINT) AS j, 1 AS cut FROM near WHERE j >= 10
 ), b AS (
-  SELECT k, i, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS j FROM (SELECT k, i, CASE WHEN len(regexp_extract_all(s, '[\x{3000}-\x{9FFF}]|[^ \t\r\n\x0b\x0c\x{3000}-\x{9FFF}]+')) >= 20 THEN regexp_extract_all(s, '[ \t\r\n\x0b\x0c]*(?:(?:[\x{3000}-\x{9FFF}]|[^ \t\r\n\x0b\x0c\x{3000}-\x{9FFF}]+)[ \t\r\n\x0b\x0c]*){1,10}') ELSE [s] END AS x FROM a)
+  SELECT k, i, 0 AS j, s FROM sized WHERE words < 20
+  UNION ALL
+  SELECT k, i, part, string_agg(s, '' ORDER BY j) FROM (SELECT k, i, j, s, count(cut) FILTER (WHERE j > 1) OVER (PARTITION BY k, i ORDER BY j) AS part FROM tokens LEFT JOIN cuts USING (k, i, j)) GROUP BY k, i, part
 ), p AS (
   SELECT k, row_number() OVER (PARTITION BY k ORDER BY i, j) AS n, s FROM b
 ), c AS (
