@@ -19,7 +19,7 @@ def brute(rows, least=2, words=20):
         parts[k] = []
         for p in re.findall(f"[^{END}]+[{END}]*|[{END}]+", text or ""):
             found = [(hashlib.md5(m[0].encode()).digest()[:8], -m.start()) for m in re.finditer(WORD, p)]
-            near = words // 2
+            near = 4 * words // 5
             chosen = {-min(found[i : i + near])[1] for i in range(len(found) - near + 1)} if len(found) >= words else set()
             cuts = [0, *sorted(chosen - {-found[0][1]} if found else []), len(p)]
             parts[k] += [p[i:j] for i, j in zip(cuts, cuts[1:])]
@@ -82,7 +82,7 @@ def test_a_passage_is_found_wherever_it_stands_in_long_sentences(spark):
     own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     rows, passages = [], []
     for i in range(40):
-        passages.append(own(rng.randrange(50, 60)) if i % 2 else [rng.choice(["the", "of", "a"]) + rng.choice(["", str(rng.randrange(9))]) for _ in range(rng.randrange(51, 60))])
+        passages.append(own(rng.randrange(51, 60)) if i % 2 else [rng.choice(["the", "of", "a"]) + rng.choice(["", str(rng.randrange(9))]) for _ in range(rng.randrange(51, 60))])
         rows += [(2 * i, " ".join(own(rng.randrange(1, 25)) + passages[i] + own(rng.randrange(1, 25)))), (2 * i + 1, " ".join(own(rng.randrange(1, 25)) + passages[i] + own(rng.randrange(1, 25))))]
     rows.append((90, " ".join(own(400))))
     out = {r.doc_id: r for r in remove_repeats(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()}

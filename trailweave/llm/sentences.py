@@ -1,10 +1,11 @@
 """Substring removal by sliding spans of sentences.
 
 From every sentence on, the shortest run of at least two sentences with at least
-20 words is hashed. A sentence of 20 words or more counts as several: of each ten
+20 words is hashed. A sentence of 20 words or more counts as several: of each 16
 neighbouring words it is cut before the one of least digest, so that a passage is
-cut alike wherever it stands in a sentence. A passage of 50 words within longer
-sentences holds at least one whole run. All runs of all documents meet by hash; of equal runs
+cut alike wherever it stands in a sentence. The first cut of a passage is before
+one of its first 16 words and a run from there ends within 35 more, so a passage of
+more than 50 words within longer sentences holds at least one whole run. All runs of all documents meet by hash; of equal runs
 the one with the smallest (doc_id, row, place) is the first, and every sentence under
 another one goes. Runs are equal by BLAKE2b digests of 128 bits of the digests of
 their sentences.
@@ -77,10 +78,10 @@ def word_ranks(data: np.ndarray, opens: np.ndarray, some: np.ndarray, block: int
 
 
 def cut_long(data: np.ndarray, start: np.ndarray, opens: np.ndarray, words: int) -> np.ndarray:
-    """Starts of sentences, with further ones in sentences of at least ``words`` words: before the word of least rank (the last of equal ones) of each words / 2 neighbours of a sentence, but for its first. Equal passages so get equal cuts wherever they stand in their sentences."""
+    """Starts of sentences, with further ones in sentences of at least ``words`` words: before the word of least rank (the last of equal ones) of each 4 / 5 ``words`` neighbours of a sentence, but for its first. Equal passages so get equal cuts wherever they stand in their sentences."""
     of = np.searchsorted(start, opens, side="right") - 1
     long = np.bincount(of, minlength=len(start))[of] >= words
-    n, near = int(long.sum()), max(1, words // 2)
+    n, near = int(long.sum()), max(1, 4 * words // 5)
     if n < near:
         return start
     ranks, of, opens = word_ranks(data, opens, long), of[long], opens[long]
@@ -172,7 +173,7 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 20, text_out: b
     Sentences end after line feeds and after full stops, exclamation and question
     marks (also ideographic, Devanagari and Arabic ones), and one of at least
     ``words`` words is cut before the word of least digest (the last of equal
-    ones) of each ``words`` / 2 neighbours; blanks around parts make no difference.
+    ones) of each 4 / 5 ``words`` neighbours; blanks around parts make no difference.
     Characters from U+3000 to U+9FFF are words of their own. A null text counts
     as empty; a null doc_id sorts before all others. Every row is a document of
     its own, also of rows that repeat: the table is written once with numbers of
@@ -202,9 +203,9 @@ WITH d AS (
 ), tokens AS (
   SELECT k, i, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS j FROM (SELECT k, i, regexp_extract_all(s, '[ \t\r\n\x0b\x0c]*(?:[\x{3000}-\x{9FFF}]|[^ \t\r\n\x0b\x0c\x{3000}-\x{9FFF}]+)[ \t\r\n\x0b\x0c]*') AS x FROM sized WHERE words >= 20)
 ), near AS (
-  SELECT k, i, j, min(substr(md5(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 1, 16) || printf('%010d', 1000000000 - j)) OVER (PARTITION BY k, i ORDER BY j ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS least FROM tokens
+  SELECT k, i, j, min(substr(md5(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 1, 16) || printf('%010d', 1000000000 - j)) OVER (PARTITION BY k, i ORDER BY j ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS least FROM tokens
 ), cuts AS (
-  SELECT DISTINCT k, i, 1000000000 - CAST(substr(least, 17) AS BIGINT) AS j, 1 AS cut FROM near WHERE j >= 10
+  SELECT DISTINCT k, i, 1000000000 - CAST(substr(least, 17) AS BIGINT) AS j, 1 AS cut FROM near WHERE j >= 16
 ), b AS (
   SELECT k, i, 0 AS j, s FROM sized WHERE words < 20
   UNION ALL
