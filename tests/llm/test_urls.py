@@ -52,7 +52,7 @@ def test_sql_agrees(spark):
 
 
 def link_rich(n):
-    """Pages with links of many kinds, absolute or without any, hidden or not."""
+    """Pages with links of many kinds, absolute, relative or without any, hidden or not."""
     rng = random.Random(n)
     hosts = ["b.com", "www.a.com", "x.example.org", "example.org", "n.net", "M.net", "o.net", "p.q.net", "org.net"]
     paths = ["/de/1", "/fr/2", "/es/x", "/en/1?a=1&b=2", "/", "", "/deep/er", "/go?u=http://b.com/de/1"]
@@ -63,10 +63,11 @@ def link_rich(n):
         lambda u: f'<!-- <link rel="canonical" href="{u}"> -->', lambda u: f'<script>var x = \'<link rel="canonical" href="{u}">\'</script>', lambda u: f'<link rel="stylesheet" href="{u}">', lambda u: f'<link rel="canonical" data-href="{u}">', lambda u: "<p>none</p>",
         lambda u: f'<title><link rel="canonical" href="{u}"></title>', lambda u: f'<!-- open <link rel="canonical" href="{u}">',
     ]
+    relative = ["/de/1", "//b.com/de/1", "//h3.net/1", "1", "./2", "../1", "../../0", "x/../1", "..", ".", "?a=1&b=2", "#f", "?", "/./0/", "mailto:a@b.com", "/go?u=//b.com/de/1", "deep/er/../../fr/2"]
     rows = []
     for i in range(n):
         url = rng.choice([None, "", "no scheme", *[address() if rng.random() < 0.5 else f"http://h{rng.randrange(n)}.net/{rng.randrange(3)}" for _ in range(9)]])
-        target = lambda: coded(address()) if rng.random() < 0.4 else f"http://h{rng.randrange(n)}.net/{rng.randrange(3)}"
+        target = lambda: coded(address()) if rng.random() < 0.3 else coded(rng.choice(relative)) if rng.random() < 0.4 else f"http://h{rng.randrange(n)}.net/{rng.randrange(3)}"
         rows.append(page(i, url, rng.choice(["", "<html>"]) + "".join(rng.choice(kinds)(target()) for _ in range(rng.randrange(3)))))
     return rows
 

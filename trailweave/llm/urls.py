@@ -175,19 +175,33 @@ WITH RECURSIVE p AS (
   FROM pages
 ), rules(action, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), tags AS (
-  SELECT host || path || regexp_extract(url, '://[^?#]*(\?[^#]*)', 1) AS a,
+  SELECT host || path || regexp_extract(url, '://[^?#]*(\?[^#]*)', 1) AS a, url, path,
          unnest(regexp_extract_all(regexp_replace(html, '""" + HIDDEN + r"""', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
   FROM p WHERE instr(url, '://') > 0
 ), targets AS (
-  SELECT a, CASE
+  SELECT a, url, path, CASE
     WHEN regexp_matches(tag, '(?is)^<link\b.*[\s"''/]rel\s*=\s*["'']?\s*canonical\b') THEN regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*["'']?\s*([^"''\s>]+)', 1)
     WHEN regexp_matches(tag, '(?is)^<meta\b.*[\s"''/]http-equiv\s*=\s*["'']?\s*refresh\b') THEN regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*["'']?\s*[\d.]*\s*;?\s*url\s*=\s*["'']?([^"''>\s]+)', 1)
   END AS coded FROM tags
 ), decoded AS (
-  SELECT a, """ + _DECODE + r""" AS target FROM targets WHERE coded <> ''
+  SELECT a, url, path, """ + _DECODE + r""" AS target FROM targets WHERE coded <> ''
+), split AS (
+  SELECT *, regexp_extract(target, '^([^?#]*)', 1) AS own, regexp_extract(target, '^[^?#]*((?s:.*))', 1) AS tail, regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1) AS site FROM decoded
+), parted AS (
+  SELECT *, string_split(substr(CASE WHEN starts_with(own, '/') THEN own WHEN path = '' THEN '/' || own ELSE regexp_extract(path, '^((?s:.*)/)', 1) || own END, 2), '/') AS parts FROM split
+), dotless AS (
+  SELECT *, list_reduce([CAST([] AS VARCHAR[])] || list_transform(parts, lambda x: [x]), lambda done, p: CASE p[1] WHEN '..' THEN done[1:len(done) - 1] WHEN '.' THEN done ELSE done || p END) AS kept FROM parted
+), full_target AS (
+  SELECT a, CASE
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN starts_with(target, '//') THEN regexp_extract(url, '^((?s:.*?))://', 1) || ':' || target
+    WHEN target = '' OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN own = '' THEN site || path || CASE WHEN starts_with(tail, '?') THEN '' ELSE regexp_extract(url, '^[^#?]*(\?[^#]*)', 1) END || tail
+    ELSE site || '/' || coalesce(array_to_string(kept, '/'), '') || CASE WHEN parts[-1] IN ('.', '..') AND len(kept) > 0 THEN '/' ELSE '' END || tail
+  END AS target FROM dotless
 ), edges AS (
   SELECT a, translate(regexp_extract(target, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(target, '^(?s:.*?)://[^/?#]*([^#]*)', 1) AS b
-  FROM decoded WHERE regexp_matches(target, '(?is)^[a-z][a-z0-9+.-]*://')
+  FROM full_target WHERE target IS NOT NULL
 ), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges
 ), reach(a, b) AS (
   SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
