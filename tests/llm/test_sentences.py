@@ -125,3 +125,11 @@ def test_a_text_of_many_pieces_equals_the_whole():
     text = "".join(rng.choice(["some words here", "more", "\u4e00\u4e8c", "a b c d e f g h i j k l"]) + rng.choice([". ", "! ", ".\n", "\n\n", "\u3002", "\n.\n "]) for _ in range(4000)).encode()
     for a, b in zip(find_spans(text, 2, 20), find_spans(text, 2, 20, 1000), strict=True):
         assert (a == b).all()
+
+
+def test_a_long_sentence_is_cut_in_blocks_as_at_once(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["the", "of", f"w{rng.randrange(99)}"]) for _ in range(3000)).encode()
+    whole = find_spans(text, 2, 20)
+    monkeypatch.setattr("trailweave.llm.sentences.BLOCK", 100)
+    assert len(whole[0]) > 300 and all((a == b).all() for a, b in zip(whole, find_spans(text, 2, 20), strict=True))

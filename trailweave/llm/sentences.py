@@ -33,6 +33,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of a text that are looked at together.
 PIECE = 1 << 20
+#: Words that are ranked together.
+BLOCK = 1 << 16
 
 
 def end_bytes(data: np.ndarray) -> np.ndarray:
@@ -64,15 +66,15 @@ def word_starts(data: np.ndarray) -> np.ndarray:
     return opens
 
 
-def word_ranks(data: np.ndarray, opens: np.ndarray, some: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+def word_ranks(data: np.ndarray, opens: np.ndarray, some: np.ndarray) -> np.ndarray:
     """First 64 bits of the MD5 digest of ``some`` of the words that begin at ``opens``: an order of words that owes nothing to where they stand. A word ends before a blank, the next word or the next sentence; an ideograph is one character."""
     following, blanks = np.append(opens[1:], len(data))[some], np.append(np.flatnonzero(_BLANK[data]), len(data))
     opens = opens[some]
     stop = np.minimum(following, blanks[np.searchsorted(blanks, opens)])
     view = memoryview(data)
     out = [np.zeros(0, np.uint64)]
-    for i in range(0, len(opens), block):
-        each = [md5(view[a:b]).digest()[:8] for a, b in zip(opens[i : i + block].tolist(), stop[i : i + block].tolist(), strict=True)]
+    for i in range(0, len(opens), BLOCK):
+        each = [md5(view[a:b]).digest()[:8] for a, b in zip(opens[i : i + BLOCK].tolist(), stop[i : i + BLOCK].tolist(), strict=True)]
         out.append(np.frombuffer(b"".join(each), ">u8").astype(np.uint64))
     return np.concatenate(out)
 
@@ -85,7 +87,9 @@ def cut_long(data: np.ndarray, start: np.ndarray, opens: np.ndarray, words: int)
     if n < near:
         return start
     ranks, of, opens = word_ranks(data, opens, long), of[long], opens[long]
-    least = np.lib.stride_tricks.sliding_window_view(ranks[::-1], near).argmin(axis=1)
+    windows = np.lib.stride_tricks.sliding_window_view(ranks[::-1], near)
+    # argmin copies what it looks at, each word as often as there are neighbours.
+    least = np.concatenate([windows[i : i + BLOCK].argmin(axis=1) for i in range(0, len(windows), BLOCK)])
     last = n - 1 - np.arange(len(least))
     at = (last - least)[of[last] == of[last - near + 1]]
     return np.union1d(start, opens[at[(at > 0) & (of[at - 1] == of[at])]])
@@ -97,15 +101,20 @@ def sentences(data: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.
     start = np.concatenate([[0], np.flatnonzero(end[:-1] & ~end[1:]) + 1])
     opens = word_starts(data)
     opens[start] = ~_BLANK[data[start]]
-    start = cut_long(data, start, np.flatnonzero(opens), words)
-    solid = np.flatnonzero(~_BLANK[data])
+    opens = np.flatnonzero(opens)
+    start = cut_long(data, start, opens, words)
     stop = np.append(start[1:], len(data))
-    lo, hi = np.searchsorted(solid, start), np.searchsorted(solid, stop)
-    some = lo < hi
-    first = np.where(some, solid[np.minimum(lo, max(0, len(solid) - 1))] if len(solid) else start, start)
-    last = np.where(some, solid[np.maximum(hi - 1, 0)] + 1 if len(solid) else start, start)
-    total = np.concatenate([[0], np.cumsum(opens)])
-    return start, first, np.maximum(first, last), total[stop] - total[start]
+    blank = _BLANK[data]
+    closes = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    lo, hi = np.searchsorted(opens, start), np.searchsorted(opens, stop)
+    first, last = start.copy(), start.copy()
+    some = np.flatnonzero(lo < hi)
+    first[some] = opens[lo[some]]
+    # What ends in a blank ends after its last word, which a blank closes.
+    last[some] = stop[some]
+    loose = some[blank[stop[some] - 1]]
+    last[loose] = closes[np.searchsorted(closes, stop[loose], side="right") - 1]
+    return start, first, last, hi - lo
 
 
 def pieces(raw: bytes, size: int) -> Iterator[tuple[int, int]]:
