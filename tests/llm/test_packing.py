@@ -68,6 +68,42 @@ def test_ids_equal_the_library(spark):
         assert t.encode(text) == t.whole(text), text[:50]
 
 
+class Counted:
+    """A tokenizer that counts its calls."""
+
+    def __init__(self, inner):
+        self.inner, self.calls = inner, 0
+
+    def encode(self, *args, **kwargs):
+        self.calls += 1
+        return self.inner.encode(*args, **kwargs)
+
+
+def test_new_words_of_many_texts_take_few_calls():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeéñ") for _ in range(rng.randrange(3, 12))) + rng.choice(["", "", ",", "!!", "'s", "-7a"])
+    texts = [" ".join(word() for _ in range(5)) for _ in range(400)]
+    t = WordTokenizer(default_path())
+    want = [t.whole(x) for x in texts]
+    t.library, t.words = Counted(t.library), Counted(t.words)
+    assert list(t.encode_all(texts)) == want
+    assert t.library.calls + t.words.calls < 20  # one for each text before
+    t.words.calls = 0
+    assert list(t.encode_all(texts[::-1])) == want[::-1] and t.words.calls == 0
+
+
+@pytest.mark.parametrize("group", [1, 40, 1 << 20])
+def test_texts_encoded_together_keep_their_order(monkeypatch, group):
+    monkeypatch.setattr("trailweave.llm.tokenize._GROUP", group)
+    t = WordTokenizer(default_path(), room=12)
+    texts = [None, "", "a b", "日本 a", " \n", "\tA  b\r\nc'll \n", "<|endoftext|>", "a-b 1a2 é É", None, "x" * 50, "a b", "'S ''s ½", "one two three four", "a b", ""]
+    assert list(t.encode_all(texts)) == [t.whole(x or "") for x in texts]
+    assert list(t.encode_all([])) == []
+    assert list(t.encode_all([None, "日本"])) == [b"", t.whole("日本")]
+    long = ("Été don't, " * 200_000) + "end"
+    assert list(t.encode_all(["a", long, "b c"])) == [t.whole("a"), t.whole("Été don't, ") * 200_000 + t.whole("end"), t.whole("b c")]
+
+
 def test_every_token_has_its_slot(spark):
     rng = random.Random(1)
     words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma7", "Été"]) for _ in range(n))

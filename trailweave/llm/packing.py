@@ -92,8 +92,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
         tokenizer = tokenizer_at(path)
         for texts in batches:
             sizes, sums = [], []
-            for text in texts:
-                ids = tokenizer.encode(text) + END
+            for ids in tokenizer.encode_all(texts):
+                ids += END
                 sizes.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[s : s + 4 * capacity]) for s in range(0, len(ids), 4 * capacity)])
             yield pd.DataFrame({"n": sizes, "sums": pd.Series(sums, dtype=object)})
